@@ -8,6 +8,7 @@ dropped by `measure`.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,14 +20,12 @@ SPACES = r"[\x09-\x0D\x20]+"
 NOT_SPACE = r"[^\x09-\x0D\x20]"
 #: A line has to end in one of these, closing quotes and brackets may follow.
 TERMINAL = r"""[.!?:;…。！？][\x22')\]»”’*#$%&]*$"""
-#: Four or more short items divided by bars or arrows.
-NAVIGATION = r"([^|»]+[|»][\x09-\x0D\x20]*){4}"
-#: Four or more words in a row that end in doubled exclamation marks.
-SHOUTING = r"([^\x09-\x0D\x20]+!!(\x20|$)){4}"
+#: Bars or arrows that make a line navigation, and doubled exclamation marks that make it shouting.
+NAVIGATION, SHOUTING = 4, 4
 BOILERPLATE = (
-    r"all rights reserved|licensed under|released under|terms of (use|service)|privacy policy|accept (all )?cookies"
-    r"|enable javascript|lorem ipsum|click here|subscribe to our|sign up for our"
-)
+    "all rights reserved", "licensed under", "released under", "terms of use", "terms of service", "privacy policy",
+    "accept cookies", "accept all cookies", "enable javascript", "lorem ipsum", "click here", "subscribe to our", "sign up for our",
+)
 
 
 @dataclass(frozen=True)
@@ -64,13 +63,16 @@ def _repeat_words(words: Column) -> Column:
 
 
 def _line_keeps(line: Column, rules: QualityRules) -> Column:
-    bare = F.regexp_replace(line, r"[^#*$%&|<>]+", "")
+    size, low = F.length(line), F.lower(line)
+    marks = F.length(F.regexp_replace(line, r"[^#*$%&|<>»]+", ""))  # few lines have any: the others need no second look
+    symbols = F.length(F.regexp_replace(line, r"[^#*$%&|<>]+", ""))
+    bars = F.length(F.regexp_replace(line, r"[^|»]+", ""))
+    shouts = (size - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
     return (
-        F.rtrim(line).rlike(TERMINAL)
-        & ~line.rlike(SHOUTING)
-        & ~line.rlike(NAVIGATION)
-        & ~F.lower(line).rlike(BOILERPLATE)
-        & (F.length(bare) * 100 <= F.length(line) * rules.max_symbol_percent)
+        F.right(F.rtrim(line), F.lit(12)).rlike(TERMINAL)
+        & ((marks == 0) | ((bars < NAVIGATION) & (symbols * 100 <= size * rules.max_symbol_percent)))
+        & (shouts < SHOUTING)
+        & ~functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
     )
 
 
@@ -137,8 +139,8 @@ r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS
 c AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + j AS p FROM r, range(0, 5) AS o(j)) GROUP BY rid),
 g AS (
   SELECT *, list_filter(ls, lambda x: regexp_matches(rtrim(x, ' '), '[.!?:;…。！？][\x22''\)\]»”’*#$%&]*$')
-      AND NOT regexp_matches(x, '([^\x09-\x0D\x20]+!!(\x20|$)){4}')
-      AND NOT regexp_matches(x, '([^|»]+[|»][\x09-\x0D\x20]*){4}')
+      AND (length(x) - length(replace(x, '!!', ''))) < 8
+      AND length(regexp_replace(x, '[^|»]+', '', 'g')) < 4
       AND NOT regexp_matches(lower(x), 'all rights reserved|licensed under|released under|terms of (use|service)|privacy policy|accept (all )?cookies|enable javascript|lorem ipsum|click here|subscribe to our|sign up for our')
       AND length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) * 100 <= length(x) * 8) AS ok
   FROM d),
