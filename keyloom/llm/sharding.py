@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import whole_text
 
-#: Rows of one repeated record that a task writes at most before they are dealt out.
+#: A record that one input partition repeats more often than this is dealt to a range of its own.
 CHUNK = 100_000
 
 
@@ -33,28 +33,24 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 def place(docs: DataFrame, n_shards: int = 8, weights: list[float] | None = None, grown_weight: float = 1.0, buckets: int = 4096) -> DataFrame:
     """Shard, slot in the shard (gapless from 0) and the shard under one more shard, for every row.
 
-    Equal records are counted before the shuffle. Slots: records are dealt to `buckets` ranges per shard, whose sums are
-    at most shards x buckets rows and give each range its first slot.
+    Equal records of one input partition are counted before the shuffle, so no count passes a partition's rows. Slots: records
+    are dealt to `buckets` ranges per shard, whose sums are at most shards x buckets rows and give each range its first slot.
     """
     weights = list(weights or [1.0] * n_shards)
     text = whole_text()
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("_n"))
-    bucket = F.conv(F.substring(F.md5(F.concat_ws(":", key, F.col("size"), F.col("text_crc32")).cast("binary")), 20, 8), 16, 10).cast("long") % buckets
+    rows = rows.withColumn("_p", F.spark_partition_id()).groupBy("doc_id", "size", "text_crc32", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.when(F.col("_n") > CHUNK, F.col("_p"))  # null, and so left out, but for such records
+    bucket = F.conv(F.substring(F.md5(F.concat_ws(":", key, "size", "text_crc32", own).cast("binary")), 20, 8), 16, 10).cast("long") % buckets
     rows = rows.select("*", rendezvous(key, weights).alias("shard"), rendezvous(key, [*weights, grown_weight]).alias("grown_shard"), bucket.alias("_b"))
 
     by_shard = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("shard", "_b").agg(F.sum("_n").alias("_s"))
     firsts = sums.select("shard", "_b", F.coalesce(F.sum("_s").over(by_shard), F.lit(0)).alias("_first"))
-    in_bucket = Window.partitionBy("shard", "_b").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    in_bucket = Window.partitionBy("shard", "_b").orderBy("doc_id", "size", "text_crc32", "_p").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_at", F.coalesce(F.sum("_n").over(in_bucket), F.lit(0)))
     placed = placed.join(F.broadcast(firsts), ["shard", "_b"])  # shards x buckets rows
 
-    out = ["doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "grown_shard", (F.col("_first") + F.col("_at")).alias("_at"), "_n"]
-    placed = placed.select(*out)
-    few = placed.filter(F.col("_n") <= CHUNK).withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
-    many = placed.filter(F.col("_n") > CHUNK)
-    many = many.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(CHUNK).cast("long")))).repartition("doc_id", "_c")
-    many = many.withColumn("_k", F.explode(F.sequence(F.col("_c"), F.least(F.col("_c") + CHUNK - 1, F.col("_n") - 1)))).drop("_c")
-    return few.unionByName(many).select("doc_id", "size", "text_crc32", "law", "shard", (F.col("_at") + F.col("_k")).alias("slot"), "grown_shard")
+    placed = placed.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_first") + F.col("_at") + F.col("_k")).alias("slot"), "grown_shard")
