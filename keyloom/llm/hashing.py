@@ -51,15 +51,20 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
 
-def words(texts: list[bytes], separators: np.ndarray = _SPACE):
-    """(text, hash, begin, end in the joined bytes, the joined bytes) of every word of these texts; words don't cross texts."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+def joined(texts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+
+
+def words(texts: list[bytes], separators: np.ndarray = _SPACE, data: np.ndarray | None = None):
+    """(text, hash, begin, end in the joined bytes) of every word of these texts; words don't cross texts. `data`: hash these
+    bytes, of the same length, for the joined ones."""
+    data = joined(texts) if data is None else data
     out = np.r_[True, separators[data]]
     begin = np.flatnonzero(out[:-1] & ~out[1:])
     end = np.flatnonzero(~out[:-1] & out[1:])
     sums, inverse = prefix(data)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return np.searchsorted(ends, begin, side="right"), string_hash(sums, inverse, begin, end - begin), begin, end, data
+    return np.searchsorted(ends, begin, side="right"), string_hash(sums, inverse, begin, end - begin), begin, end
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -191,16 +191,23 @@ def _cover(runs, size: int, length: int) -> list[tuple[int, int]]:
     return found
 
 
-def _strip(length: int, with_text: bool):
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["text"] * with_text
-    kinds = [pa.int64()] * 4 + [pa.string()] * (1 + with_text)
+def _inward(data: bytes, begin: int, end: int) -> tuple[int, int]:
+    """The whole characters between these bytes."""
+    while begin < end and data[begin] & 0xC0 == 0x80:
+        begin += 1
+    while end > begin and end < len(data) and data[end] & 0xC0 == 0x80:
+        end -= 1
+    return begin, end
 
-    def inward(data: bytes, begin: int, end: int) -> tuple[int, int]:
-        while begin < end and data[begin] & 0xC0 == 0x80:
-            begin += 1
-        while end > begin and end < len(data) and data[end] & 0xC0 == 0x80:
-            end -= 1
-        return begin, end
+
+def _outside(data: bytes, spans) -> bytes:
+    edges = [0, *[e for s in spans for e in s], len(data)]
+    return b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
+
+
+def _digests(length: int):
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    kinds = [pa.int64()] * 4 + [pa.string()]
 
     def run(batches):
         for batch in batches:
@@ -208,12 +215,8 @@ def _strip(length: int, with_text: bool):
             for r2, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = text.encode("utf-8", "surrogatepass")
                 spans = _cover(runs, len(data), length)
-                edges = [0, *[e for s in spans for e in s], len(data)]
-                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-                row = [None if r2 == NO_ID else r2, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()]
-                if with_text:  # whole characters only: one that is cut stays
-                    edges = [0, *[e for s in spans for e in inward(data, *s)], len(data)]
-                    row.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])).decode("utf-8", "replace"))
+                kept = _outside(data, spans)
+                row = (None if r2 == NO_ID else r2, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
                 for c, v in zip(columns, row):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -221,12 +224,34 @@ def _strip(length: int, with_text: bool):
     return run
 
 
+def _texts(length: int):
+    """Replaces text by what is left of it, and n_chars by its length; the last column has the runs."""
+
+    def run(batches):
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            left = []
+            for text, runs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if runs:
+                    data = text.encode("utf-8", "surrogatepass")
+                    text = _outside(data, [_inward(data, *s) for s in _cover(runs, len(data), length)]).decode("utf-8", "surrogatepass")
+                left.append(text)
+            columns = list(batch.columns[:-1])
+            columns[at] = pa.array(left, pa.string())
+            if "n_chars" in batch.schema.names:
+                k = batch.schema.names.index("n_chars")
+                columns[k] = pa.array([None if t is None else len(t) for t in left], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = whole_text()
     return docs.select(F.xxhash64(text).alias("r1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("r2"), text.alias("text"))
 
 
-def repeated_runs(docs: DataFrame, keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def repeated_runs(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(r1, r2, runs): the runs of repeated starts of each text that has any."""
     found = keyed.mapInArrow(_scan(length, gram), "m long, sh long, r1 long, r2 long, start int, n int, again boolean")
     found = materialise(found, "segments")
@@ -241,10 +266,16 @@ def repeated_runs(docs: DataFrame, keyed: DataFrame, length: int = LENGTH, gram:
     return back.groupBy("r1", "r2").agg(F.collect_list(F.struct((F.col("start") + F.col("off")).alias("s"), F.col("n").alias("n"))).alias("runs"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
-    """Per document: bytes, removed bytes, maximal removed runs and the digest of what is left; with_text adds the text that is
-    left, where a character that is cut stays whole."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Per document: bytes, removed bytes, maximal removed runs and the digest of what is left."""
     keyed = _keyed(docs)
-    runs = repeated_runs(docs, keyed, length)
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text
-    return keyed.join(runs, ["r1", "r2"], "left").select("r2", "text", "runs").mapInArrow(_strip(length, with_text), schema)
+    runs = repeated_runs(keyed, length)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    return keyed.join(runs, ["r1", "r2"], "left").select("r2", "text", "runs").mapInArrow(_digests(length), schema)
+
+
+def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """`docs` with the text that is left; a character of which a byte stays is whole."""
+    runs = repeated_runs(_keyed(docs), length).select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), F.col("runs").alias("_runs"))
+    keyed = docs.withColumns({"_r1": F.xxhash64(whole_text()), "_r2": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
+    return keyed.join(runs, ["_r1", "_r2"], "left").select(*docs.columns, "_runs").mapInArrow(_texts(length), docs.schema)
