@@ -1,0 +1 @@
+"""Relational operators over keyed rows and cells."""

@@ -1,0 +1 @@
+"""Conversion of a growing folder in micro-batches."""
