@@ -128,6 +128,8 @@ class ArrowStreamSource(DataSource):
 
 
 def read(spark: SparkSession, path: str | None = None, files: list[str] = (), position: bool = False) -> DataFrame:
+    if not list_files(path, ",".join(files)):
+        raise SourceError("no Arrow file was found")
     spark.dataSource.register(ArrowStreamSource)
     reader = spark.read.format("arrow_stream").option("position", str(position).lower()).option("files", ",".join(files))
     return reader.load(path) if path else reader.load()
