@@ -5,9 +5,8 @@ from pathlib import Path
 import pytest
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, f"{ROOT}/tests"]
 os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
-SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
@@ -31,19 +30,9 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from helpers import SMALL
 
     con = duckdb.connect()
     for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     return con
-
-
-def rows_of(frame):
-    """Rows with columns in the order of their names, sorted; doubles rounded."""
-    columns = sorted(frame.columns)
-    frame = frame[columns].copy()
-    for c in columns:
-        if str(frame[c].dtype).startswith("float"):
-            frame[c] = frame[c].round(6)
-        frame[c] = frame[c].astype(str)
-    return columns, sorted(map(tuple, frame.itertuples(index=False)))

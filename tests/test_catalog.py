@@ -1,5 +1,5 @@
 import pytest
-from conftest import SMALL, rows_of
+from helpers import SMALL, rows_of
 
 from keyloom import catalog
 
