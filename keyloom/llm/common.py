@@ -49,3 +49,32 @@ def whole_text(col: str = "text") -> Column:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """These names, made longer until no column of `df` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """(r1, r2, text): what tells rows apart, a hash of the text and doc_id, and the whole text."""
+    text = whole_text()
+    return docs.select(F.xxhash64(text).alias("r1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("r2"), text.alias("text"))
+
+
+def join_rows(docs: DataFrame, keys: DataFrame, how: str, once: bool = False) -> DataFrame:
+    """`docs` joined by (r1, r2) with `keys`, whose columns must have spare names but for these; the columns of both, without the
+    keys. `once`: rows that agree in both keys are left once."""
+    a, b = spare(docs, "_row_hash", "_row_id")
+    keyed = docs.withColumns({a: F.xxhash64(whole_text()), b: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
+    out = keyed.join(keys.withColumnsRenamed({"r1": a, "r2": b}), [a, b], how)
+    return (out.dropDuplicates([a, b]) if once else out).drop(a, b)

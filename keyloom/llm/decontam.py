@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialise, whole_text
+from .common import NO_ID, join_rows, materialise, own_columns, row_keyed
 from .hashing import blocks, joined, mix, windows, words
 
 WINDOW, MIN = 8, 3
@@ -169,11 +169,6 @@ def _batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["r1", "r2", "item_id", "coverage", "consistency", "exact"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = whole_text()
-    return docs.select(F.xxhash64(text).alias("r1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("r2"), text.alias("text"))
-
-
 def _by_broadcast(keyed: DataFrame, items: DataFrame, covered: float, consistent: float) -> DataFrame:
     rows = items.collect()  # within the limit
     index = keyed.sparkSession.sparkContext.broadcast(Index.of([r["item_id"] for r in rows], [r["text"].encode("utf-8", "surrogatepass") for r in rows]))
@@ -230,7 +225,7 @@ def _by_shuffle(keyed: DataFrame, items: DataFrame, covered: float, consistent:
 def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, consistent: float = CONSISTENT, limit: int = LIMIT) -> DataFrame:
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    return (_by_broadcast if size <= limit else _by_shuffle)(_keyed(docs), items, covered, consistent)
+    return (_by_broadcast if size <= limit else _by_shuffle)(row_keyed(docs), items, covered, consistent)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -241,6 +236,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of `docs` in which no item was found."""
-    found = materialise(find(docs, benchmark, **options).select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")).distinct(), "leaks")
-    keyed = docs.withColumns({"_r1": F.xxhash64(whole_text()), "_r2": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
-    return keyed.join(found, ["_r1", "_r2"], "left_anti").select(*docs.columns)
+    found = materialise(find(docs, benchmark, **options).select("r1", "r2").distinct(), "leaks")
+    return join_rows(docs, found, "left_anti").select(*own_columns(docs))

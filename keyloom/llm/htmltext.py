@@ -175,6 +175,8 @@ FEATURES = 9
 
 
 def features(found: list[Block]) -> np.ndarray:
+    if not found:
+        return np.zeros((0, FEATURES))
     own = np.array([[len(b.words), b.linked / len(b.words)] for b in found], np.float64).reshape(-1, 2)
     pad = np.zeros((1, 2))
     flags = np.array([[b.furniture, b.inside, b.heading] for b in found], np.float64).reshape(-1, 3)

@@ -5,8 +5,10 @@
    times tf and shingles of a large group of copies keep their say.
 2. Each text gets `bands * rows` consistent weighted samples: two texts agree in one with the probability of their weighted
    Jaccard similarity. Equal texts are one node from here on.
-3. Texts that share a band meet its smallest node. Those that don't clearly agree with it go on under a key that holds one more
-   sample, until each is alone; so large groups stay stars and chance meetings fall apart without all pairs.
+3. Texts that share a band are compared by their samples in blocks of a fixed size, and each block proposes a few spanning forests of
+   its best pairs. A key with more members than a block has them all compared with its middle, the member that agrees
+   most with a block; those that don't clearly agree go on under a key that holds one more sample. So pairs stay in proportion to members, and
+   chance meetings fall apart.
 4. Every link is verified by the weighted Jaccard similarity of the whole texts; components of the links are the classes.
 
 Defined results: a text without a word (null and empty too) is no duplicate of anything; under five words the whole text is the
@@ -21,15 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, fresh_path, materialise, whole_text
+from .common import NO_ID, fresh_path, join_rows, materialise, own_columns, row_keyed, whole_text
 from .components import components
 from .hashing import blocks, mix, windows, words
 
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 10, 3, 0.8
 SLOTS = 1 << 18
 PART = 1024
-#: Shares of agreeing samples: below MAYBE a pair at 0.8 falls once in about 5,000; above SURE nothing is left to look for.
-MAYBE, SURE = 0.5, 0.87
+#: Of BANDS * ROWS samples: a pair at 0.8 agrees in fewer than LEAST about once in a thousand; from SURE on a member of a large key
+#: needs no more company than its middle.
+LEAST, SURE = 17, 26
+#: Members of a key that are compared at once.
+MEMBERS = 64
 
 
 def _gamma_table() -> np.ndarray:
@@ -148,23 +153,91 @@ def _signatures(weights):
     return run
 
 
+def _forests(agree: np.ndarray, least: int, times: int = 3) -> list[tuple[int, int]]:
+    """Pairs that agree in `least` samples, best first, as edge-disjoint spanning forests: whatever hangs together by these pairs
+    still does if up to `times` - 1 of the pairs across any cut prove false, and the pairs stay in proportion to the members."""
+    i, j = np.nonzero(np.triu(agree >= least, 1))
+    order = np.argsort(-agree[i, j], kind="stable")
+    left = list(zip(i[order].tolist(), j[order].tolist()))
+    out: list[tuple[int, int]] = []
+    for _ in range(times):
+        parent, rest = list(range(len(agree))), []
+
+        def root(x, parent=parent):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            return x
+
+        for pair in left:
+            x, y = root(pair[0]), root(pair[1])
+            if x == y:
+                rest.append(pair)
+            else:
+                parent[x] = y
+                out.append(pair)
+        left = rest
+    return out
+
+
+def _compare(batches):
+    """Rows come sorted by band and key. Members of a key are compared in blocks by their samples; of each block come its pairs, and
+    the member that agrees most with the others (the middle) where the key may have more blocks."""
+    held: list[tuple] = []
+    out: list[tuple] = []
+
+    def solve():
+        if len(held) > 1:
+            sig = np.array([h[3] for h in held])
+            agree = (sig[:, None] == sig[None]).sum(2)
+            for i, j in _forests(agree, LEAST):
+                out.append((*held[i][:3], held[j][2], 0, None))
+            middle = int(agree.sum(1).argmax())
+            out.append((*held[middle][:3], None, int(agree[middle].sum() * 1000 // len(held)), held[middle][3]))
+        elif held:
+            out.append((*held[0][:3], None, 0, held[0][3]))
+        held.clear()
+
+    def flush():
+        columns = list(zip(*out)) or [()] * 6
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int32())]
+        done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["band", "key", "a", "b", "score", "sig"])
+        out.clear()
+        return done
+
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            if held and (held[-1][:2] != row[:2] or len(held) == MEMBERS):
+                solve()
+            held.append(row)
+        if len(out) > 20_000:
+            yield flush()
+    solve()
+    yield flush()
+
+
 def _candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b) pairs of a text and the smallest text under one of its keys; see step 3."""
+    """(a, b) pairs of texts that may be similar; see step 3."""
     k, spark = BANDS * ROWS, nodes.sparkSession
     band = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]).alias("key")) for b in range(BANDS)]))
-    left = nodes.select("node", "sig", band.alias("x")).select("node", "sig", "x.band", "x.key")
+    signed = nodes.select("node", "sig")
+    left = signed.select("node", band.alias("x")).select("node", "x.band", "x.key")
     out, step = fresh_path(spark, "candidates"), 0
     while True:
-        lead = left.groupBy("band", "key").agg(F.min(F.struct("node", "sig")).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-        met = left.join(lead, ["band", "key"]).filter(F.col("node") != F.col("lead.node"))
-        agree = F.aggregate(F.zip_with("sig", "lead.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        met = materialise(met.select("band", "key", "node", "sig", F.col("lead.node").alias("lead"), agree.alias("agree")), "met")
-        met.filter(F.col("agree") >= MAYBE * k).select(F.col("node").alias("a"), F.col("lead").alias("b")).write.mode("append").parquet(out)
-        left = met.filter(F.col("agree") < SURE * k)
-        if step >= k - ROWS or left.isEmpty():
-            return spark.read.parquet(out).distinct()
+        shared = left.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        met = materialise(left.join(shared, ["band", "key"]).join(signed, "node").select("band", "key", "node", "sig", "c"), "met")
+        spread = met.select("band", "key", "node", "sig").repartitionByRange("band", "key", "node").sortWithinPartitions("band", "key", "node")
+        found = materialise(spread.mapInArrow(_compare, "band int, key long, a binary, b binary, score int, sig array<int>"), "pairs")
+        found.filter("b is not null").select("a", "b").write.mode("append").parquet(out)
+        middle = found.filter("b is null").groupBy("band", "key").agg(F.max(F.struct("score", F.col("a").alias("node"), "sig")).alias("mid"))
+        large = met.filter(F.col("c") > MEMBERS).join(middle, ["band", "key"]).filter(F.col("node") != F.col("mid.node"))
+        agree = F.aggregate(F.zip_with("sig", "mid.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+        large = materialise(large.select("band", "key", "node", F.col("mid.node").alias("mid"), agree.alias("agree"), "sig"), "large")
+        large.filter(F.col("agree") >= LEAST).select(F.col("node").alias("a"), F.col("mid").alias("b")).write.mode("append").parquet(out)
+        rest = large.filter(F.col("agree") < SURE)
+        if step >= k - ROWS or rest.isEmpty():
+            return spark.read.parquet(out).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         extra = F.element_at("sig", (F.col("band") * ROWS + ROWS + step) % k + 1)
-        left = left.select("node", "sig", "band", F.xxhash64("key", extra).alias("key"))
+        left = rest.select("node", "band", F.xxhash64("key", extra).alias("key"))
         step += 1
 
 
@@ -188,14 +261,9 @@ def _verify(weights, least: float):
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = whole_text()
-    return docs.select(F.xxhash64(text).alias("r1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("r2"), text.alias("text"))
-
-
 def classify(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(r1, r2, root_id, root_r1): for each row key the smallest row key of its class."""
-    keyed = _keyed(docs)
+    keyed = row_keyed(docs)
     weights = docs.sparkSession.sparkContext.broadcast(idf(docs))  # SLOTS floats
     signed = materialise(keyed.select("r1", "r2", "text").mapInArrow(_signatures(weights), "r1 long, r2 long, node binary, sig array<int>"), "signatures")
     nodes = materialise(signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("r2", "r1", "sig")).alias("x")).select("node", "x.r1", "x.r2", "x.sig"), "nodes")
@@ -220,6 +288,5 @@ def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
 def deduplicate(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of `docs` whose key is the smallest of their class, once each."""
-    keep = classify(docs, similar).filter((F.col("r2") == F.col("root_id")) & (F.col("r1") == F.col("root_r1"))).select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2")).distinct()
-    keyed = docs.withColumns({"_r1": F.xxhash64(whole_text()), "_r2": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
-    return keyed.join(keep, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]).select(*docs.columns)
+    keep = classify(docs, similar).filter((F.col("r2") == F.col("root_id")) & (F.col("r1") == F.col("root_r1"))).select("r1", "r2").distinct()
+    return join_rows(docs, keep, "left_semi", once=True).select(*own_columns(docs))

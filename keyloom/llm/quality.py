@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bind, whole_text
+from .common import bind, own_columns, spare, whole_text
 
 SPACES = r"[\x09-\x0D\x20]+"
 NOT_SPACE = r"[^\x09-\x0D\x20]"
@@ -76,8 +76,8 @@ def _line_keeps(line: Column, rules: QualityRules) -> Column:
     )
 
 
-def with_rules(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """`docs` with one struct column `_q`: the counts, the verdict and the text that is left."""
+def with_rules(docs: DataFrame, rules: QualityRules = QualityRules(), name: str = "_q") -> DataFrame:
+    """`docs` with one struct column: the counts, the verdict and the text that is left."""
     text = whole_text()
 
     def judge(lines: Column, words: Column) -> Column:
@@ -108,7 +108,7 @@ def with_rules(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFra
         return bind(good, verdict)
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
-    return docs.withColumn("_q", bind(_words(text), lambda w: bind(lines, lambda x: judge(x, w))))
+    return docs.withColumn(name, bind(_words(text), lambda w: bind(lines, lambda x: judge(x, w))))
 
 
 def measure(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
@@ -119,11 +119,12 @@ def measure(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
 
 def clean(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """The documents that pass, without their failing lines; the columns of `docs`."""
-    judged = with_rules(docs, rules).filter(F.col("_q")["kept"])
-    put = {"text": F.col("_q")["clean_text"]}
+    (name,) = spare(docs, "_q")
+    judged = with_rules(docs, rules, name).filter(F.col(name)["kept"])
+    put = {"text": F.col(name)["clean_text"]}
     if "n_chars" in docs.columns:
-        put["n_chars"] = F.length(F.col("_q")["clean_text"]).cast("long")
-    return judged.withColumns(put).select(*docs.columns)
+        put["n_chars"] = F.length(F.col(name)["clean_text"]).cast("long")
+    return judged.withColumns(put).select(*own_columns(docs))
 
 
 #: DuckDB SQL for the base columns and the verdict under the default rules.
