@@ -20,10 +20,7 @@ def _types(t: np.ndarray) -> np.ndarray:
     s = np.zeros(n, bool)
     s[-1] = True
     if len(differs):  # every position takes the type that the next change of symbol decides
-        at = np.searchsorted(differs, np.arange(n - 1))
-        ok = at < len(differs)
-        d = differs[np.minimum(at, len(differs) - 1)]
-        s[:-1] = ok & (t[d] < t[np.minimum(d + 1, n - 1)])
+        s[: differs[-1] + 1] = np.repeat(t[differs] < t[differs + 1], np.diff(np.r_[-1, differs]))
     return s
 
 
@@ -85,28 +82,30 @@ def _induce_buckets(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int)
 
 def _induce_scan(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
     n, ends = len(t), np.cumsum(np.bincount(t, minlength=size))
-    starts = np.r_[0, ends[:-1]].tolist()
-    symbols, small = t.tolist(), is_s.tolist()
-    sa, tails = [0] * n, ends.tolist()
-    for i in reversed(lms.tolist()):
-        c = symbols[i]
-        tails[c] -= 1
-        sa[tails[c]] = i
-    for i in range(n):  # 0: empty or the first suffix, neither induces
-        if j := sa[i]:
-            j -= 1
-            if not small[j]:
-                c = symbols[j]
-                sa[starts[c]] = j
-                starts[c] += 1
-    tails = ends.tolist()
-    for i in range(n - 1, 0, -1):
-        if j := sa[i]:
-            j -= 1
-            if small[j]:
-                c = symbols[j]
-                tails[c] -= 1
-                sa[tails[c]] = j
+    heads, tails = np.r_[0, ends[:-1]].tolist(), ends.tolist()
+    before = np.r_[-1, t[:-1]]  # the symbol on the left; -1 where the suffix there isn't of the type that is induced
+    larger, smaller = before.copy(), before.copy()
+    larger[1:][is_s[:-1]] = -1
+    smaller[1:][~is_s[:-1]] = -1
+    larger, smaller = larger.tolist(), smaller.tolist()
+    sa = np.zeros(n, np.int64)  # 0: empty or the first suffix, neither induces
+    symbols = t[lms]
+    first = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
+    count = np.diff(np.r_[first, len(lms)])
+    sa[np.repeat(ends[symbols[first]] - count - first, count) + np.arange(len(lms))] = lms
+    sa = sa.tolist()
+    for j in sa:  # the list grows ahead of the scan
+        c = larger[j]
+        if c >= 0:
+            k = heads[c]
+            sa[k] = j - 1
+            heads[c] = k + 1
+    for j in reversed(sa):
+        c = smaller[j]
+        if c >= 0:
+            k = tails[c] - 1
+            sa[k] = j - 1
+            tails[c] = k
     sa[0] = n - 1
     return np.array(sa, np.int64)
 
@@ -174,7 +173,7 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray,
         value[live[equal]] += 1
         live, a, b = live[equal], a[equal], b[equal]
         step += 1
-    last = np.searchsorted(irreducible, i, side="right") - 1
+    last = np.cumsum(~reducible) - 1
     plcp = np.maximum(value[last] - (i - irreducible[last]), 0)
     return phi, plcp
 

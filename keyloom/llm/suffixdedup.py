@@ -3,7 +3,8 @@
 1. Each start of a `length`-byte string is keyed by the smallest hash among the grams inside it, so equal strings have equal
    keys wherever they are; runs of starts with one key are segments. A key of one segment, whose gram that segment holds
    once, can have no repeat.
-2. Segments of the other keys are counted by content, so that copies cost one segment, and one of each is cut from its text.
+2. Segments of the other keys are counted by content, so that copies cost one segment, and one of each is cut from its text;
+   neighbouring segments whose keys have no other content are cut as one string.
 3. Segments with one key meet in one shard, whose suffix array (induced sorting) and permuted common prefixes tell which starts
    are repeated. Keys with very many segments are split by the string's own hash and answered from the sorted stream.
 4. The repeated starts go back to every document with that segment; covered bytes are removed.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, materialise, whole_text
+from .common import NO_ID, join_rows, materialise, own_columns, row_keyed, spare
 from .hashing import blocks, mix, prefix, string_hash
 from .suffixarray import repeated_starts
 
@@ -88,28 +89,49 @@ def _scan(length: int, gram: int):
     return run
 
 
+_PIECES = pa.list_(pa.struct([("m", pa.int64()), ("sh", pa.int64()), ("n", pa.int32()), ("cnt", pa.int64())]))
+
+
+def _strings(items: list[dict]):
+    """(start, pieces): segments with one content that follow each other are one string, so their overlap is sorted once."""
+    found: list[tuple[int, list[dict]]] = []
+    end, open_ = -1, False
+    for x in sorted(items, key=lambda x: x["start"]):
+        if open_ and x["sole"] and x["start"] == end:
+            found[-1][1].append(x)
+        else:
+            found.append((x["start"], [x]))
+        end, open_ = x["start"] + x["n"], x["sole"] and not x["hot"]
+    return found
+
+
 def _cut(length: int):
-    """Of each text its wanted segments, or the strings' hashes where the key is hot."""
+    """Of each text its wanted strings, or the strings' hashes where the key is hot."""
 
     def run(batches):
-        names = ["key", "m", "sh", "off", "n", "cnt", "bytes"]
-        kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64(), pa.binary()]
+        names = ["key", "off", "pieces", "bytes"]
+        kinds = [pa.int64(), pa.int32(), _PIECES, pa.binary()]
 
         def batch_of(rows):
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
+        last = None
         for batch in batches:
             rows, held = [], 0
-            for text, items in zip(batch.column(0), batch.column(1)):
+            for r1, r2, text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                if (r1, r2) == last:  # a repeated row: its strings are counted already
+                    continue
+                last = r1, r2
                 data = text.as_py().encode("utf-8", "surrogatepass")
-                for x in items.as_py():
-                    cut = data[x["start"] : x["start"] + x["n"] + length - 1]
-                    if x["hot"]:
+                for start, pieces in _strings(items.as_py()):
+                    cut = data[start : start + sum(x["n"] for x in pieces) + length - 1]
+                    told = [{k: x[k] for k in ("m", "sh", "n", "cnt")} for x in pieces]
+                    if pieces[0]["hot"]:
                         sums, inverse = prefix(np.frombuffer(cut, np.uint8))
-                        keys = string_hash(sums, inverse, np.arange(x["n"]), length).view(np.int64).tolist()
-                        rows += [(k, x["m"], x["sh"], i, 1, x["cnt"], None) for i, k in enumerate(keys)]
+                        keys = string_hash(sums, inverse, np.arange(pieces[0]["n"]), length).view(np.int64).tolist()
+                        rows += [(k, i, told, None) for i, k in enumerate(keys)]
                     else:
-                        rows.append((x["m"], x["m"], x["sh"], 0, x["n"], x["cnt"], cut))
+                        rows.append((pieces[0]["m"], 0, told, cut))
                     held += len(cut)
                 if held >= 4 * BLOCK or len(rows) > 50_000:
                     yield batch_of(rows)
@@ -133,16 +155,20 @@ def _shards(length: int):
         shard: list[tuple] = []
         held, last, waiting = 0, None, None
 
-        def tell(m, sh, off, n):
-            for c, v in zip(out, (m, sh, off, n)):
+        def tell(*row):
+            for c, v in zip(out, row):
                 c.append(v)
 
         def solve():
-            for (m, sh, cnt, data), mask in zip(shard, repeated_starts([s[3] for s in shard], length)):
-                if cnt > 1:
-                    mask[:] = True
-                for off, n in zip(*_runs(mask)):
-                    tell(m, sh, off, n)
+            for (pieces, data), mask in zip(shard, repeated_starts([s[1] for s in shard], length)):
+                at = 0
+                for x in pieces:
+                    own = mask[at : at + x["n"]]
+                    at += x["n"]
+                    if x["cnt"] > 1:
+                        own[:] = True
+                    for off, n in zip(*_runs(own)):
+                        tell(x["m"], x["sh"], off, n)
             shard.clear()
 
         def flush():
@@ -152,23 +178,23 @@ def _shards(length: int):
             return done
 
         for batch in batches:
-            for key, m, sh, off, n, cnt, data in zip(*(batch.column(k).to_pylist() for k in range(7))):
-                if key != last and held >= SHARD:
-                    solve()
-                    held = 0
+            for key, off, pieces, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if key != last:
+                    waiting = None
+                    if held >= SHARD:
+                        solve()
+                        held = 0
                 if data is not None:
-                    if not (shard and shard[-1][:2] == (m, sh)):
-                        shard.append((m, sh, cnt, data))
-                        held += len(data)
+                    shard.append((pieces, data))
+                    held += len(data)
                 else:  # a hot key's string: repeated if it was counted twice or a neighbour has the same hash
-                    again = key == last and waiting is not None
-                    if again and not waiting[4]:
-                        tell(*waiting[:4])
-                    waiting = (m, sh, off, 1, again or cnt > 1)
-                    if waiting[4]:
-                        tell(*waiting[:4])
-                if data is not None:
-                    waiting = None
+                    x = pieces[0]
+                    again = waiting is not None
+                    if again and not waiting[1]:
+                        tell(*waiting[0])
+                    waiting = (x["m"], x["sh"], off, 1), again or x["cnt"] > 1
+                    if waiting[1]:
+                        tell(*waiting[0])
                 last = key
             if len(out[0]) > 20_000:
                 yield flush()
@@ -246,11 +272,6 @@ def _texts(length: int):
     return run
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = whole_text()
-    return docs.select(F.xxhash64(text).alias("r1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("r2"), text.alias("text"))
-
-
 def repeated_runs(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(r1, r2, runs): the runs of repeated starts of each text that has any."""
     found = keyed.mapInArrow(_scan(length, gram), "m long, sh long, r1 long, r2 long, start int, n int, again boolean")
@@ -258,17 +279,17 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     shared = found.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again")).filter("c > 1 or again").drop("again")
     candidates = found.drop("again").join(shared, "m")
     one = candidates.groupBy("m", "sh").agg(F.count(F.lit(1)).alias("cnt"), F.max("c").alias("c"), F.min(F.struct("r1", "r2", "start", "n")).alias("at"))
-    item = F.struct("m", "sh", F.col("at.start").alias("start"), F.col("at.n").alias("n"), "cnt", (F.col("c") > HOT).alias("hot"))
+    item = F.struct("m", "sh", F.col("at.start").alias("start"), F.col("at.n").alias("n"), "cnt", (F.col("c") > HOT).alias("hot"), ((F.col("cnt") == F.col("c")) & (F.col("cnt") > 1)).alias("sole"))
     wanted = one.select(F.col("at.r1").alias("r1"), F.col("at.r2").alias("r2"), item.alias("item")).groupBy("r1", "r2").agg(F.collect_list("item").alias("items"))
-    cut = keyed.join(wanted, ["r1", "r2"]).select("text", "items").mapInArrow(_cut(length), "key long, m long, sh long, off int, n int, cnt long, bytes binary")
-    repeated = cut.repartition("key").sortWithinPartitions("key", "m", "sh").mapInArrow(_shards(length), "m long, sh long, off int, n int")
+    cut = keyed.join(wanted, ["r1", "r2"]).select("r1", "r2", "text", "items").mapInArrow(_cut(length), "key long, off int, pieces array<struct<m:long,sh:long,n:int,cnt:long>>, bytes binary")
+    repeated = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(length), "m long, sh long, off int, n int")
     back = candidates.select("m", "sh", "r1", "r2", "start").join(repeated, ["m", "sh"])
     return back.groupBy("r1", "r2").agg(F.collect_list(F.struct((F.col("start") + F.col("off")).alias("s"), F.col("n").alias("n"))).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Per document: bytes, removed bytes, maximal removed runs and the digest of what is left."""
-    keyed = _keyed(docs)
+    keyed = row_keyed(docs)
     runs = repeated_runs(keyed, length)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return keyed.join(runs, ["r1", "r2"], "left").select("r2", "text", "runs").mapInArrow(_digests(length), schema)
@@ -276,6 +297,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """`docs` with the text that is left; a character of which a byte stays is whole."""
-    runs = repeated_runs(_keyed(docs), length).select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), F.col("runs").alias("_runs"))
-    keyed = docs.withColumns({"_r1": F.xxhash64(whole_text()), "_r2": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
-    return keyed.join(runs, ["_r1", "_r2"], "left").select(*docs.columns, "_runs").mapInArrow(_texts(length), docs.schema)
+    (name,) = spare(docs, "_runs")
+    runs = repeated_runs(row_keyed(docs), length).withColumnRenamed("runs", name)
+    joined = join_rows(docs, runs, "left").select(*own_columns(docs), name)
+    return joined.mapInArrow(_texts(length), docs.schema)
