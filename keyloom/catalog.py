@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import keycodes as K
 from .functions import text as X
-from .operators import batches, cells, dedup, layout, metrics, regions, verify
+from .operators import batches, cells, dedup, encoding, layout, metrics, regions, verify
 from .plans import rules
 from .plans.convert import convert, counters, keyed, visible
 from .plans.options import ConvertOptions
@@ -316,6 +316,37 @@ def biggest_cell(spark, sf):
     return _read(spark, sf, "documents").filter("text is not null").groupBy("lang").agg(F.max(size).alias("bytes"), F.max_by("doc_id", F.struct(size, -F.col("doc_id"))).alias("doc_id"))
 
 
+@query(
+    "SELECT o_orderkey, CASE WHEN v BETWEEN -112 AND 127 THEN right('0' || to_hex(v), 2) ELSE to_hex((CASE WHEN v < 0 THEN 136 ELSE 144 END) - n) || lpad(x, (2 * n)::INT, '0') END AS code "
+    "FROM (SELECT *, (strlen(x) + 1) // 2 AS n FROM (SELECT o_orderkey, v, ltrim(to_hex(CASE WHEN v < 0 THEN -(v + 1) ELSE v END), '0') AS x FROM (SELECT o_orderkey, (o_orderkey - 500) * (o_orderkey % 3 * 1000002 + 1) AS v FROM orders)))"
+)
+def vint_bytes(spark, sf):
+    v = (F.col("o_orderkey") - 500) * (F.col("o_orderkey") % 3 * 1000002 + 1)
+    return _read(spark, sf, "orders").select("o_orderkey", F.hex(encoding.writable_vint_bytes(v)).alias("code"))
+
+
+@query()
+def block_checksums(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", encoding.checksums(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("checksums"))
+
+
+@query(
+    "SELECT n_regionkey AS f, count(*)::BIGINT AS n_entries, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1"
+)
+def meta_map(spark, sf):
+    entries = _read(spark, sf, "nation").select(F.col("n_regionkey").alias("f"), F.col("n_name").alias("name"), F.encode("n_name", "UTF-8").alias("value"))
+    return layout.meta_map(entries, ["f"]).select("f", F.size("meta").cast("long").alias("n_entries"), F.array_join(F.map_keys("meta"), ",").alias("names"))
+
+
+@query(
+    "SELECT r_regionkey, CASE r_regionkey WHEN 0 THEN 'org.apache.hadoop.hbase.KeyValue$KVComparator' WHEN 1 THEN 'org.apache.hadoop.hbase.KeyValue$MetaComparator' ELSE r_name END AS name FROM region"
+)
+def comparator_map(spark, sf):
+    k = F.col("r_regionkey")
+    name = F.when(k == 0, "org.apache.hadoop.hbase.CellComparatorImpl").when(k == 1, "org.apache.hadoop.hbase.MetaCellComparator").otherwise(F.col("r_name"))
+    return _read(spark, sf, "region").select("r_regionkey", layout.comparator(name).alias("name"))
+
+
 # ---- regions
 
 _SPLITS = ["0000000200", "0000000500", "0000000501", "0000001200"]

@@ -41,8 +41,8 @@ def duplicate_cells(df: DataFrame, keys: list[str]) -> DataFrame:
 def auto_sort(df: DataFrame) -> DataFrame:
     """Cells in order; refuses repeated full keys, which only the data can show, when the action runs."""
     n = F.count(F.lit(1)).over(Window.partitionBy("row", "family", "qualifier", "ts", "type"))
-    ok = F.when(n == 1, True).otherwise(F.raise_error(F.lit(f"{SortViolation.__name__}: a cell key occurs twice")).cast("boolean"))
-    return df.filter(ok).orderBy(*cell_order())
+    ok = F.when(F.col("_same") == 1, True).otherwise(F.raise_error(F.lit(f"{SortViolation.__name__}: a cell key occurs twice")).cast("boolean"))
+    return df.withColumn("_same", n).filter(ok).drop("_same").orderBy(*cell_order())
 
 
 def _size(name: str) -> Column:

@@ -3,7 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from keyloom.errors import InvalidArgument, SchemaMismatch
-from keyloom.operators import batches, cells, layout, regions, verify
+from keyloom.operators import batches, cells, encoding, layout, regions, verify
 
 CELL = "row string, family string, qualifier string, ts long, type short, value string"
 
@@ -97,3 +97,16 @@ def test_blocks_restart_with_every_file(spark):
     df = spark.createDataFrame([(f, i, 5) for f in "ab" for i in range(5)], "f string, i int, size long")
     got = {(r["f"], r["i"]): r["block"] for r in layout.assign_blocks(df, ["f"], ["i"], "size", 10).collect()}
     assert got == {(f, i): i // 2 for f in "ab" for i in range(5)}
+
+
+def test_integer_codes():
+    for v in (0, 1, 127, 128, 300, 2**31, 2**63 - 1, -1, -112, -113, -129, -(2**63)):
+        code = encoding.writable_vint(v)
+        assert encoding.read_writable_vint(code) == (v, len(code))
+    assert encoding.varint(0) == b"\0" and encoding.varint(300) == b"\xac\x02"
+
+
+def test_checksums_per_chunk():
+    assert encoding.crc32c(b"123456789") == [0xE3069283]
+    assert encoding.crc32c(b"") == [] and encoding.crc32c(b"123456789" * 2, 9) == [0xE3069283] * 2
+    assert len(encoding.crc32c(b"x" * 40_000)) == 3
