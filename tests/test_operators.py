@@ -108,5 +108,9 @@ def test_integer_codes():
 
 def test_checksums_per_chunk():
     assert encoding.crc32c(b"123456789") == [0xE3069283]
+    data, plain = bytes(range(256)) * 3, 0xFFFFFFFF
+    for b in data:
+        plain = plain >> 8 ^ int(encoding._TABLE[(plain ^ b) & 255])
+    assert encoding.crc32c(data) == [plain ^ 0xFFFFFFFF]
     assert encoding.crc32c(b"") == [] and encoding.crc32c(b"123456789" * 2, 9) == [0xE3069283] * 2
     assert len(encoding.crc32c(b"x" * 40_000)) == 3
