@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import InvalidArgument
 
-#: Up to so many split points are a literal array in the plan; more become a table.
+#: Up to so many split points are a literal array in the plan; more are searched by bisection.
 LITERAL = 4096
 
 
@@ -25,10 +29,14 @@ def region_of(key: Column, splits: list[str]) -> Column:
 
 
 def assign(df: DataFrame, key: str, splits: list[str]) -> DataFrame:
-    """`df` with `region`. Many split points are sorted into the rows and counted in key order, range by range."""
+    """`df` with `region`. Many split points are searched by bisection, batch by batch; the list is the caller's and so fits a driver."""
     check_splits(splits)
     if len(splits) <= LITERAL:
         return df.withColumn("region", region_of(F.col(key), splits))
-    edges = df.sparkSession.createDataFrame([(a, b, i) for i, (a, b) in enumerate(zip([None, *splits], [*splits, None]))], "_low string, _high string, region int")
-    inside = (F.col("_low").isNull() | (F.col(key) >= F.col("_low"))) & (F.col("_high").isNull() | (F.col(key) < F.col("_high")))
-    return df.join(edges, inside).drop("_low", "_high")
+    edges = [s.encode() for s in splits]
+
+    @F.pandas_udf(T.IntegerType())
+    def search(keys: pd.Series) -> pd.Series:
+        return keys.map(lambda k: None if k is None else bisect.bisect_right(edges, k.encode()), na_action="ignore").astype("Int32")
+
+    return df.withColumn("region", search(key))
