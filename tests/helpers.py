@@ -8,5 +8,5 @@ def rows_of(frame):
     for c in columns:
         if str(frame[c].dtype).startswith("float"):
             frame[c] = frame[c].round(6)
-        frame[c] = frame[c].astype(str)
-    return columns, sorted(map(tuple, frame.itertuples(index=False)))
+        frame[c] = [None if v is None or v != v else str(int(v)) if isinstance(v, float) and v == int(v) else str(v) for v in frame[c].astype(object).where(frame[c].notna(), None)]
+    return columns, sorted(map(tuple, frame.itertuples(index=False)), key=str)
