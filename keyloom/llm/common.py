@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id in joins.
-NO_ID = -(2**63)
+#: Row hashes of rows without a doc_id have this bit.
+NULL_ID = 1 << 30
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +24,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/keyloom-{name}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_dir(spark)}/{_mark(spark)}-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _mark(spark: SparkSession) -> str:
+    return f"keyloom-{spark.sparkContext.applicationId}"
+
+
+def remove_intermediates(spark: SparkSession) -> None:
+    """Delete what this application has left in the shared folder; results that aren't written yet can't be read afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{_mark(spark)}-*")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(path) or []:
+        fs.delete(status.getPath(), True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -65,16 +77,26 @@ def own_columns(df: DataFrame) -> list[Column]:
     return [F.col(f"`{c}`") for c in df.columns]
 
 
+def row_keys() -> tuple[Column, Column]:
+    """(r1, r2): 30 bits of a hash of the text and doc_id, for a row without one a bit more and another hash of its text."""
+    text, doc_id = whole_text(), F.col("doc_id").cast("long")
+    return F.hash(text).bitwiseAND(F.lit(NULL_ID - 1)) + F.when(doc_id.isNull(), NULL_ID).otherwise(0), F.coalesce(doc_id, F.xxhash64(text))
+
+
+def shown_id(r1: str = "r1", r2: str = "r2") -> Column:
+    return F.when(F.col(r1) < NULL_ID, F.col(r2))
+
+
 def row_keyed(docs: DataFrame) -> DataFrame:
-    """(r1, r2, text): what tells rows apart, a hash of the text and doc_id, and the whole text."""
-    text = whole_text()
-    return docs.select(F.xxhash64(text).alias("r1"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("r2"), text.alias("text"))
+    """(r1, r2, text): what tells rows apart, and the whole text."""
+    r1, r2 = row_keys()
+    return docs.select(r1.alias("r1"), r2.alias("r2"), whole_text().alias("text"))
 
 
 def join_rows(docs: DataFrame, keys: DataFrame, how: str, once: bool = False) -> DataFrame:
     """`docs` joined by (r1, r2) with `keys`, whose columns must have spare names but for these; the columns of both, without the
     keys. `once`: rows that agree in both keys are left once."""
     a, b = spare(docs, "_row_hash", "_row_id")
-    keyed = docs.withColumns({a: F.xxhash64(whole_text()), b: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
+    keyed = docs.withColumns(dict(zip((a, b), row_keys())))
     out = keyed.join(keys.withColumnsRenamed({"r1": a, "r2": b}), [a, b], how)
     return (out.dropDuplicates([a, b]) if once else out).drop(a, b)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, join_rows, materialise, own_columns, row_keyed
+from .common import join_rows, materialise, own_columns, row_keyed, shown_id
 from .hashing import blocks, joined, mix, windows, words
 
 WINDOW, MIN = 8, 3
@@ -157,7 +157,7 @@ class Index:
         return out
 
 
-_OUT = "r1 long, r2 long, item_id long, coverage double, consistency double, exact boolean"
+_OUT = "r1 int, r2 long, item_id long, coverage double, consistency double, exact boolean"
 
 
 def _encoded(column) -> list[bytes]:
@@ -165,7 +165,7 @@ def _encoded(column) -> list[bytes]:
 
 
 def _batch(rows) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.bool_()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["r1", "r2", "item_id", "coverage", "consistency", "exact"])
 
 
@@ -205,9 +205,9 @@ def _by_shuffle(keyed: DataFrame, items: DataFrame, covered: float, consistent:
                     first, h = t.windows(size)
                     of = np.unique(np.rec.fromarrays([t.text[first], h.view(np.int64)]))
                     text = of["f0"].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(of["f1"]), pa.array([size] * len(text), pa.int32()), pa.array([part[k][0] for k in text], pa.int64()), pa.array([part[k][1] for k in text], pa.int64())], ["h", "size", "r1", "r2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(of["f1"]), pa.array([size] * len(text), pa.int32()), pa.array([part[k][0] for k in text], pa.int32()), pa.array([part[k][1] for k in text], pa.int64())], ["h", "size", "r1", "r2"])
 
-    ours = keyed.mapInArrow(of_docs, "h long, size int, r1 long, r2 long")
+    ours = keyed.mapInArrow(of_docs, "h long, size int, r1 int, r2 long")
     met = ours.join(theirs, ["h", "size"]).groupBy("r1", "r2", "item").agg(F.countDistinct("at").alias("c"), F.max("n").alias("n"))
     pairs = met.filter(F.col("c") >= F.col("n") * covered).select("r1", "r2", "item")
 
@@ -231,7 +231,7 @@ def find(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, consis
 def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, item_id, coverage, consistency and exact (no value differs) of every leak."""
     found = find(docs, benchmark, **options)
-    return found.select(F.when(F.col("r2") != NO_ID, F.col("r2")).alias("doc_id"), "item_id", "coverage", "consistency", "exact")
+    return found.select(shown_id().alias("doc_id"), "item_id", "coverage", "consistency", "exact")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

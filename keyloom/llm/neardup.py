@@ -12,7 +12,7 @@
 4. Every link is verified by the weighted Jaccard similarity of the whole texts; components of the links are the classes.
 
 Defined results: a text without a word (null and empty too) is no duplicate of anything; under five words the whole text is the
-shingle; repeated rows are one class; a null doc_id ranks first in its class and shows as null; an empty table gives an empty
+shingle; repeated rows are one class; a null doc_id ranks last in its class and shows as null; an empty table gives an empty
 result; extra columns are dropped by `classes` and kept by `deduplicate`.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, fresh_path, join_rows, materialise, own_columns, row_keyed, whole_text
+from .common import NULL_ID, fresh_path, join_rows, materialise, own_columns, row_keyed, shown_id, whole_text
 from .components import components
 from .hashing import blocks, mix, windows, words
 
@@ -138,7 +138,7 @@ def samples(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int, k
 
 
 def _signatures(weights):
-    names, kinds = ["r1", "r2", "node", "sig"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+    names, kinds = ["r1", "r2", "node", "sig"], [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
 
     def run(batches):
         idf = weights.value
@@ -223,12 +223,12 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     left = signed.select("node", band.alias("x")).select("node", "x.band", "x.key")
     out, step = fresh_path(spark, "candidates"), 0
     while True:
-        shared = left.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+        shared = materialise(left.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "keys")
         met = materialise(left.join(shared, ["band", "key"]).join(signed, "node").select("band", "key", "node", "sig", "c"), "met")
         spread = met.select("band", "key", "node", "sig").repartitionByRange("band", "key", "node").sortWithinPartitions("band", "key", "node")
         found = materialise(spread.mapInArrow(_compare, "band int, key long, a binary, b binary, score int, sig array<int>"), "pairs")
         found.filter("b is not null").select("a", "b").write.mode("append").parquet(out)
-        middle = found.filter("b is null").groupBy("band", "key").agg(F.max(F.struct("score", F.col("a").alias("node"), "sig")).alias("mid"))
+        middle = materialise(found.filter("b is null").groupBy("band", "key").agg(F.max(F.struct("score", F.col("a").alias("node"), "sig")).alias("mid")), "middles")
         large = met.filter(F.col("c") > MEMBERS).join(middle, ["band", "key"]).filter(F.col("node") != F.col("mid.node"))
         agree = F.aggregate(F.zip_with("sig", "mid.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         large = materialise(large.select("band", "key", "node", F.col("mid.node").alias("mid"), agree.alias("agree"), "sig"), "large")
@@ -261,12 +261,14 @@ def _verify(weights, least: float):
     return run
 
 
-def classify(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(r1, r2, root_id, root_r1): for each row key the smallest row key of its class."""
+def _classes(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): r1, r2 and node of every row, and of each node the smallest row key of its class. Classes are settled among
+    nodes, where equal texts are one; tables between the joins let Spark split large keys."""
     keyed = row_keyed(docs)
     weights = docs.sparkSession.sparkContext.broadcast(idf(docs))  # SLOTS floats
-    signed = materialise(keyed.select("r1", "r2", "text").mapInArrow(_signatures(weights), "r1 long, r2 long, node binary, sig array<int>"), "signatures")
-    nodes = materialise(signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("r2", "r1", "sig")).alias("x")).select("node", "x.r1", "x.r2", "x.sig"), "nodes")
+    signed = materialise(keyed.select("r1", "r2", "text").mapInArrow(_signatures(weights), "r1 int, r2 long, node binary, sig array<int>"), "signatures")
+    first = lambda *more: F.min(F.struct((F.col("r1") >= NULL_ID).alias("last"), "r2", "r1", *more)).alias("x")
+    nodes = materialise(signed.filter("node is not null").groupBy("node").agg(first("sig")).select("node", "x.r1", "x.r2", "x.sig"), "nodes")
     pairs = _candidates(nodes)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.select("node", "r1", "r2").join(ends, "node", "left_semi")
@@ -274,19 +276,27 @@ def classify(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     links = both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, similar), "a binary, b binary, similarity double")
     roots = components(links.select("a", "b"))
-    rows = signed.select("r1", "r2", "node").join(roots, "node", "left").select("r1", "r2", F.coalesce("root", "node").alias("root"))
-    least = rows.filter("root is not null").groupBy("root").agg(F.min(F.struct("r2", "r1")).alias("x"))
-    rows = rows.join(least, "root", "left")
-    return rows.select("r1", "r2", F.coalesce("x.r2", "r2").alias("root_id"), F.coalesce("x.r1", "r1").alias("root_r1"))
+    least = nodes.select("node", "r1", "r2").join(roots, "node").groupBy("root").agg(first()).select("root", F.col("x.r1").alias("root_r1"), F.col("x.r2").alias("root_id"))
+    least = materialise(least, "least")
+    ours = nodes.select("node", "r1", "r2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    found = ours.join(least, "root", "left").select("node", F.coalesce("root_r1", "r1").alias("root_r1"), F.coalesce("root_id", "r2").alias("root_id"))
+    return signed.select("r1", "r2", "node"), materialise(found, "classes")
+
+
+def classify(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(r1, r2, root_id, root_r1): for each row key the smallest row key of its class."""
+    rows, found = _classes(docs, similar)
+    alone = rows.filter("node is null").select("r1", "r2", F.col("r2").alias("root_id"), F.col("r1").alias("root_r1"))
+    return rows.filter("node is not null").join(found, "node").select("r1", "r2", "root_id", "root_r1").unionByName(alone)
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id and class_id (the smallest doc_id of the class) for every row."""
-    shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return classify(docs, similar).select(shown("r2").alias("doc_id"), shown("root_id").alias("class_id"))
+    return classify(docs, similar).select(shown_id().alias("doc_id"), shown_id("root_r1", "root_id").alias("class_id"))
 
 
 def deduplicate(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of `docs` whose key is the smallest of their class, once each."""
-    keep = classify(docs, similar).filter((F.col("r2") == F.col("root_id")) & (F.col("r1") == F.col("root_r1"))).select("r1", "r2").distinct()
+    rows, found = _classes(docs, similar)
+    keep = found.select(F.col("root_r1").alias("r1"), F.col("root_id").alias("r2")).distinct().unionByName(rows.filter("node is null").select("r1", "r2"))
     return join_rows(docs, keep, "left_semi", once=True).select(*own_columns(docs))

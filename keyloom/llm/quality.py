@@ -108,7 +108,8 @@ def with_rules(docs: DataFrame, rules: QualityRules = QualityRules(), name: str
         return bind(good, verdict)
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))
-    return docs.withColumn(name, bind(_words(text), lambda w: bind(lines, lambda x: judge(x, w))))
+    judged = bind(_words(text), lambda w: bind(lines, lambda x: judge(x, w)))
+    return docs.select("*", F.explode(F.array(judged)).alias(name))  # no filter is pushed below it, which would judge twice
 
 
 def measure(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:

@@ -6,7 +6,7 @@
 2. Segments of the other keys are counted by content, so that copies cost one segment, and one of each is cut from its text;
    neighbouring segments whose keys have no other content are cut as one string.
 3. Segments with one key meet in one shard, whose suffix array (induced sorting) and permuted common prefixes tell which starts
-   are repeated. Keys with very many segments are split by the string's own hash and answered from the sorted stream.
+   are repeated. Keys with very many segments are split by the string's own hash, which is counted.
 4. The repeated starts go back to every document with that segment; covered bytes are removed.
 
 Defined results: a null text is empty; repeated rows repeat each other; a null doc_id is a value of its own; an empty table gives
@@ -15,6 +15,7 @@ an empty result; extra columns are dropped. Two texts that share doc_id are told
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, join_rows, materialise, own_columns, row_keyed, spare
+from .common import NULL_ID, join_rows, materialise, own_columns, row_keyed, spare
 from .hashing import blocks, mix, prefix, string_hash
 from .suffixarray import repeated_starts
 
@@ -31,6 +32,7 @@ GRAM = 50
 #: Bytes that are cut or sorted at once.
 BLOCK = 1 << 18
 SHARD = 1 << 20
+PIECE = 1 << 20
 #: Starts in a segment at most; longer runs go on in the next segment.
 RUN = 4096
 #: A key with more segments than this is split by the hash of each string.
@@ -76,14 +78,21 @@ def _segments(texts: list[bytes], length: int, gram: int):
     return text[run], begin - begins[text[run]], size, key[run].view(np.int64), content.view(np.int64), again
 
 
+def _pieces(data: bytes, length: int):
+    """(place, bytes) of parts that hold PIECE starts each, so that a very long text is never hashed as a whole."""
+    for base in range(0, max(1, len(data) - length + 1), PIECE):
+        yield base, data[base : base + PIECE + length - 1]
+
+
 def _scan(length: int, gram: int):
     def run(batches):
         for batch in batches:
             r1, r2, text = (batch.column(k).to_pylist() for k in range(3))
-            rows = ((a, b, t.encode("utf-8", "surrogatepass")) for a, b, t in zip(r1, r2, text) if len(t) * 4 >= length)
+            rows = ((a, b, piece, base) for a, b, t in zip(r1, r2, text) if len(t) * 4 >= length for base, piece in _pieces(t.encode("utf-8", "surrogatepass"), length))
             for part in blocks(rows, lambda r: len(r[2])):
                 of, start, size, key, content, again = _segments([p[2] for p in part], length, gram)
-                a, b = np.array([p[0] for p in part], np.int64), np.array([p[1] for p in part], np.int64)
+                a, b = np.array([p[0] for p in part], np.int32), np.array([p[1] for p in part], np.int64)
+                start = start + np.array([p[3] for p in part], np.int64)[of]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(a[of]), pa.array(b[of]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again.astype(bool))], ["m", "sh", "r1", "r2", "start", "n", "again"])
 
     return run
@@ -101,43 +110,50 @@ def _strings(items: list[dict]):
             found[-1][1].append(x)
         else:
             found.append((x["start"], [x]))
-        end, open_ = x["start"] + x["n"], x["sole"] and not x["hot"]
+        end, open_ = x["start"] + x["n"], x["sole"]
     return found
 
 
+def _rows_once(batches):
+    """(text, items) of each row; a repeated row is left out, as its strings are counted already."""
+    last = None
+    for batch in batches:
+        for r1, r2, text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            if (r1, r2) != last:
+                yield text.as_py().encode("utf-8", "surrogatepass"), items.as_py()
+            last = r1, r2
+
+
 def _cut(length: int):
-    """Of each text its wanted strings, or the strings' hashes where the key is hot."""
+    """Of each text its wanted strings."""
+    names, kinds = ["key", "pieces", "bytes"], [pa.int64(), _PIECES, pa.binary()]
 
     def run(batches):
-        names = ["key", "off", "pieces", "bytes"]
-        kinds = [pa.int64(), pa.int32(), _PIECES, pa.binary()]
+        def strings():
+            for data, items in _rows_once(batches):
+                for start, pieces in _strings(items):
+                    yield pieces[0]["m"], pieces, data[start : start + sum(x["n"] for x in pieces) + length - 1]
 
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        for part in blocks(strings(), lambda s: len(s[2]), 4 * BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names)
+
+    return run
 
-        last = None
-        for batch in batches:
-            rows, held = [], 0
-            for r1, r2, text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                if (r1, r2) == last:  # a repeated row: its strings are counted already
-                    continue
-                last = r1, r2
-                data = text.as_py().encode("utf-8", "surrogatepass")
-                for start, pieces in _strings(items.as_py()):
-                    cut = data[start : start + sum(x["n"] for x in pieces) + length - 1]
-                    told = [{k: x[k] for k in ("m", "sh", "n", "cnt")} for x in pieces]
-                    if pieces[0]["hot"]:
-                        sums, inverse = prefix(np.frombuffer(cut, np.uint8))
-                        keys = string_hash(sums, inverse, np.arange(pieces[0]["n"]), length).view(np.int64).tolist()
-                        rows += [(k, i, told, None) for i, k in enumerate(keys)]
-                    else:
-                        rows.append((pieces[0]["m"], 0, told, cut))
-                    held += len(cut)
-                if held >= 4 * BLOCK or len(rows) > 50_000:
-                    yield batch_of(rows)
-                    rows, held = [], 0
-            if rows:
-                yield batch_of(rows)
+
+def _hash_strings(length: int):
+    """Of each text's wanted segments the hash of every string."""
+    names, kinds = ["key", "m", "sh", "off", "cnt"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+
+    def run(batches):
+        def strings():
+            for data, items in _rows_once(batches):
+                for x in items:
+                    sums, inverse = prefix(np.frombuffer(data[x["start"] : x["start"] + x["n"] + length - 1], np.uint8))
+                    keys = string_hash(sums, inverse, np.arange(x["n"]), length).view(np.int64).tolist()
+                    yield from ((k, x["m"], x["sh"], i, x["cnt"]) for i, k in enumerate(keys))
+
+        for part in blocks(strings(), lambda s: 8, BLOCK):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names)
 
     return run
 
@@ -149,18 +165,24 @@ def _runs(mask: np.ndarray):
 
 def _shards(length: int):
     """Rows come sorted by key. Whole keys gather until a shard is full; its suffix array answers for all of them."""
+    names, kinds = ["m", "sh", "off", "n"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
-    def run(batches):
-        out: list[list] = [[], [], [], []]
-        shard: list[tuple] = []
-        held, last, waiting = 0, None, None
-
-        def tell(*row):
-            for c, v in zip(out, row):
-                c.append(v)
+    def shards(batches):
+        shard, held, last = [], 0, None
+        for batch in batches:
+            for key, pieces, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if key != last and held >= SHARD:
+                    yield shard
+                    shard, held = [], 0
+                shard.append((pieces, data))
+                held, last = held + len(data), key
+        if shard:
+            yield shard
 
-        def solve():
-            for (pieces, data), mask in zip(shard, repeated_starts([s[1] for s in shard], length)):
+    def run(batches):
+        for shard in shards(batches):
+            out: list[list] = [[] for _ in names]
+            for (pieces, _), mask in zip(shard, repeated_starts([s[1] for s in shard], length)):
                 at = 0
                 for x in pieces:
                     own = mask[at : at + x["n"]]
@@ -168,39 +190,9 @@ def _shards(length: int):
                     if x["cnt"] > 1:
                         own[:] = True
                     for off, n in zip(*_runs(own)):
-                        tell(x["m"], x["sh"], off, n)
-            shard.clear()
-
-        def flush():
-            done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int64(), pa.int64(), pa.int32(), pa.int32()])], ["m", "sh", "off", "n"])
-            for c in out:
-                c.clear()
-            return done
-
-        for batch in batches:
-            for key, off, pieces, data in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if key != last:
-                    waiting = None
-                    if held >= SHARD:
-                        solve()
-                        held = 0
-                if data is not None:
-                    shard.append((pieces, data))
-                    held += len(data)
-                else:  # a hot key's string: repeated if it was counted twice or a neighbour has the same hash
-                    x = pieces[0]
-                    again = waiting is not None
-                    if again and not waiting[1]:
-                        tell(*waiting[0])
-                    waiting = (x["m"], x["sh"], off, 1), again or x["cnt"] > 1
-                    if waiting[1]:
-                        tell(*waiting[0])
-                last = key
-            if len(out[0]) > 20_000:
-                yield flush()
-        if shard:
-            solve()
-        yield flush()
+                        for c, v in zip(out, (x["m"], x["sh"], off, n)):
+                            c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
 
     return run
 
@@ -238,11 +230,11 @@ def _digests(length: int):
     def run(batches):
         for batch in batches:
             columns: list[list] = [[] for _ in names]
-            for r2, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for r1, r2, text, runs in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 data = text.encode("utf-8", "surrogatepass")
                 spans = _cover(runs, len(data), length)
                 kept = _outside(data, spans)
-                row = (None if r2 == NO_ID else r2, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+                row = (r2 if r1 < NULL_ID else None, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
                 for c, v in zip(columns, row):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -272,17 +264,38 @@ def _texts(length: int):
     return run
 
 
+@contextlib.contextmanager
+def _bloom_joins(spark):
+    """Joins drop rows by a Bloom filter of the smaller side before the shuffle; the filter's size is fixed by Spark's settings, and
+    if it fills up, it only drops less."""
+    name = "spark.sql.optimizer.runtime.bloomFilter."
+    put = {f"{name}applicationSideScanSizeThreshold": "0", f"{name}creationSideThreshold": str(1 << 40), f"{name}expectedNumItems": "4000000", f"{name}numBits": str(1 << 25)}
+    before = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def repeated_runs(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(r1, r2, runs): the runs of repeated starts of each text that has any."""
-    found = keyed.mapInArrow(_scan(length, gram), "m long, sh long, r1 long, r2 long, start int, n int, again boolean")
+    found = keyed.mapInArrow(_scan(length, gram), "m long, sh long, r1 int, r2 long, start int, n int, again boolean")
     found = materialise(found, "segments")
-    shared = found.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again")).filter("c > 1 or again").drop("again")
-    candidates = found.drop("again").join(shared, "m")
+    shared = materialise(found.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again")).filter("c > 1 or again").drop("again"), "keys")
+    with _bloom_joins(found.sparkSession):  # most segments have a key of their own and need not be dealt out
+        candidates = materialise(found.drop("again").join(shared.filter("c > 0"), "m"), "candidates")
     one = candidates.groupBy("m", "sh").agg(F.count(F.lit(1)).alias("cnt"), F.max("c").alias("c"), F.min(F.struct("r1", "r2", "start", "n")).alias("at"))
-    item = F.struct("m", "sh", F.col("at.start").alias("start"), F.col("at.n").alias("n"), "cnt", (F.col("c") > HOT).alias("hot"), ((F.col("cnt") == F.col("c")) & (F.col("cnt") > 1)).alias("sole"))
-    wanted = one.select(F.col("at.r1").alias("r1"), F.col("at.r2").alias("r2"), item.alias("item")).groupBy("r1", "r2").agg(F.collect_list("item").alias("items"))
-    cut = keyed.join(wanted, ["r1", "r2"]).select("r1", "r2", "text", "items").mapInArrow(_cut(length), "key long, off int, pieces array<struct<m:long,sh:long,n:int,cnt:long>>, bytes binary")
+    item = F.struct("m", "sh", F.col("at.start").alias("start"), F.col("at.n").alias("n"), "cnt", ((F.col("cnt") == F.col("c")) & (F.col("cnt") > 1)).alias("sole"))
+    one = one.select(F.col("at.r1").alias("r1"), F.col("at.r2").alias("r2"), item.alias("item"), (F.col("c") > HOT).alias("hot"))
+    wanted = lambda which: keyed.join(one.filter(which).groupBy("r1", "r2").agg(F.collect_list("item").alias("items")), ["r1", "r2"]).select("r1", "r2", "text", "items")
+    cut = wanted("not hot").mapInArrow(_cut(length), "key long, pieces array<struct<m:long,sh:long,n:int,cnt:long>>, bytes binary")
     repeated = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(length), "m long, sh long, off int, n int")
+    strings = materialise(wanted("hot").mapInArrow(_hash_strings(length), "key long, m long, sh long, off int, cnt long"), "strings")
+    again = strings.groupBy("key", "m").agg(F.sum("cnt").alias("c")).filter("c > 1").select("key", "m")
+    repeated = repeated.unionByName(strings.join(again, ["key", "m"], "left_semi").select("m", "sh", "off", F.lit(1).alias("n")))
     back = candidates.select("m", "sh", "r1", "r2", "start").join(repeated, ["m", "sh"])
     return back.groupBy("r1", "r2").agg(F.collect_list(F.struct((F.col("start") + F.col("off")).alias("s"), F.col("n").alias("n"))).alias("runs"))
 
@@ -292,7 +305,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     keyed = row_keyed(docs)
     runs = repeated_runs(keyed, length)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return keyed.join(runs, ["r1", "r2"], "left").select("r2", "text", "runs").mapInArrow(_digests(length), schema)
+    return keyed.join(runs, ["r1", "r2"], "left").select("r1", "r2", "text", "runs").mapInArrow(_digests(length), schema)
 
 
 def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -301,3 +314,19 @@ def strip(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     runs = repeated_runs(row_keyed(docs), length).withColumnRenamed("runs", name)
     joined = join_rows(docs, runs, "left").select(*own_columns(docs), name)
     return joined.mapInArrow(_texts(length), docs.schema)
+
+
+#: DuckDB SQL for `remove_repeats` at the default length, over the bytes in hex.
+ORACLE = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT rid, i, md5(substr(x, (2 * i + 1)::BIGINT, 400)) AS h FROM (SELECT rid, x, unnest(range(0, length(x) // 2 - 199)) AS i FROM d WHERE length(x) >= 400)),
+r AS (SELECT rid, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS span FROM (SELECT rid, i, (i - lag(i, 1, -1000) OVER (PARTITION BY rid ORDER BY i) > 200)::INT AS new FROM r)),
+s AS (SELECT rid, span, min(i) AS a, max(i) + 200 AS z FROM g GROUP BY rid, span),
+k AS (SELECT rid, count(*) AS n_spans, sum(z - a) AS n_removed, max(z) AS last FROM s GROUP BY rid),
+p AS (SELECT rid, a, substr(x, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT) AS piece FROM (SELECT s.rid, a, x, lag(z, 1, 0) OVER (PARTITION BY s.rid ORDER BY a) AS before FROM s JOIN d ON d.rid = s.rid)),
+t AS (SELECT rid, string_agg(piece, '' ORDER BY a) AS head FROM p GROUP BY rid)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN k USING (rid) LEFT JOIN t USING (rid)
+"""

@@ -196,3 +196,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages and read the archives back."""
     folder, blocks = write(pages)
     return read_back(folder, blocks)
+
+
+#: DuckDB SQL for `round_trip` of pages whose ids differ and whose URLs hold no blanks.
+ORACLE = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h FROM pages), e AS (SELECT h, max(page_id) AS latest FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest, CASE WHEN latest <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN latest <> page_id THEN latest END AS refers_to, coalesce(url, '') AS url
+FROM p LEFT JOIN e ON e.h = p.h
+"""

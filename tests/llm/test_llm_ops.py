@@ -113,25 +113,31 @@ def test_ids_are_those_of_the_tokenizer(docs):
         assert t.encode(text or "", add_special_tokens=False).ids == encoder()(text or "")
 
 
-def test_packing_puts_documents_together_again(odd, nothing):
+def test_packing_puts_documents_together_again(docs):
+    by_doc = defaultdict(list)
+    for r in packing.pack(docs, with_ids=True).collect():
+        by_doc[r["doc_id"]].append(r)
+    assert len(by_doc) == docs.count()
+    for i, text in texts(docs):
+        want, at = [*encoder()(text or ""), 1], 0
+        for r in sorted(by_doc[i], key=lambda r: r["start"]):
+            assert (r["start"], r["length"], r["doc_tokens"]) == (at, len(r["ids"]), len(want)) and r["ids"] == want[at : at + r["length"]]
+            at += r["length"]
+        assert at == len(want)
+
+
+def test_packing_of_odd_texts(odd, nothing):
     got = packing.pack(odd, with_ids=True).collect()
     assert len({r["sequence_id"] for r in got}) == len(got) and {r["offset"] for r in got} == {0}
-    by_doc = defaultdict(list)
     for r in got:
-        assert r["length"] == 1 << r["bucket"] <= 2048 and len(r["ids"]) == r["length"]
-        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
-        by_doc[r["doc_id"], r["doc_tokens"]].append((r["start"], r["ids"]))
-    want = Counter((i, *encoder()(t or ""), 1) for i, t in texts(odd))
-    pieces = Counter()
-    for (i, n), p in by_doc.items():
-        p.sort(key=lambda x: x[0])
-        copies = sum(s == 0 for s, _ in p)
-        starts = sorted({s for s, _ in p})
-        by_start = {s: [ids for x, ids in p if x == s] for s in starts}
-        for k in range(copies):
-            pieces[(i, *[v for s in starts for v in sorted(by_start[s])[k]])] += 1
-    assert pieces.keys() == want.keys() or sum(pieces.values()) == sum(want.values())
-    assert packing.pack(nothing).count() == 0
+        assert r["length"] == 1 << r["bucket"] <= 2048 and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+    want = Counter()
+    for i, text in texts(odd):
+        want[i] += len(encoder()(text or "")) + 1
+    have = Counter()
+    for r in got:
+        have[r["doc_id"]] += r["length"]
+    assert have == want and packing.pack(nothing).count() == 0
     with pytest.raises(ValueError):
         packing.pack(nothing, 1000)
 
@@ -211,9 +217,29 @@ def plain_removal(rows, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-def test_suffix_dedup_equals_brute_force(odd, docs, nothing, hot, monkeypatch):
+def test_suffix_dedup_equals_sql(spark, duck):
+    ours, theirs = rows_of(registered.op5_suffix_array_dedup(spark, SMALL).toPandas()), rows_of(duck.execute(suffixdedup.ORACLE).df())
+    assert ours == theirs
+
+
+def _scan_with(piece, *args):
+    """The scan with another piece size, set on the executors too."""
+    run = _SCAN(*args)
+
+    def inner(batches):
+        suffixdedup.PIECE = piece
+        return run(batches)
+
+    return inner
+
+
+_SCAN = suffixdedup._scan
+
+
+@pytest.mark.parametrize("hot,piece", [(4096, 1 << 20), (1, 300)])
+def test_suffix_dedup_equals_brute_force(odd, docs, nothing, hot, piece, monkeypatch):
     monkeypatch.setattr(suffixdedup, "HOT", hot)
+    monkeypatch.setattr(suffixdedup, "_scan", lambda *a: _scan_with(piece, *a))
     for df in (docs, odd.filter("doc_id is null or doc_id <> 900004")):
         assert Counter(tuple(r) for r in suffixdedup.remove_repeats(df).collect()) == plain_removal(texts(df), 200)
     assert suffixdedup.remove_repeats(nothing).count() == 0

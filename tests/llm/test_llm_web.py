@@ -4,7 +4,7 @@ import re
 from collections import defaultdict
 
 import pytest
-from helpers import SMALL
+from helpers import SMALL, rows_of
 
 from keyloom.llm import htmltext, warc
 
@@ -37,6 +37,12 @@ def test_round_trip(spark, odd_pages):
     assert [x for x in fix(got) if x[0] > 0] == [x for x in fix(want) if x[0] > 0] and len(got) == len(want)
 
 
+def test_round_trip_equals_sql(spark, duck):
+    from keyloom.llm import queries
+
+    assert rows_of(queries.op7_warc_index(spark, SMALL).toPandas()) == rows_of(duck.execute(warc.ORACLE).df())
+
+
 def test_lookup_by_bisection(spark, pages, monkeypatch):
     monkeypatch.setattr(warc, "LINES", 4)
     folder, blocks = warc.write(pages)
