@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import keycodes as K
 from .functions import text as X
 from .operators import batches, cells, dedup, encoding, layout, metrics, regions, verify
 from .plans import rules
@@ -197,8 +196,6 @@ def sorted_cells_rank(spark, sf):
     """Ranks over the whole order from range partitions: the rows before a partition, and the place in it."""
     rows = _keys(_read(spark, sf, "orders"), "CUST,1,false,10", "o_orderkey").select(F.col("rk").alias("row")).distinct()
     placed = rows.repartitionByRange("row").withColumn("_p", F.spark_partition_id())
-    from pyspark.sql import Window
-
     sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     first = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
     local = F.row_number().over(Window.partitionBy("_p").orderBy("row"))
@@ -325,7 +322,7 @@ def vint_bytes(spark, sf):
     return _read(spark, sf, "orders").select("o_orderkey", F.hex(encoding.writable_vint_bytes(v)).alias("code"))
 
 
-@query()
+@query()  # nor this polynomial
 def block_checksums(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", encoding.checksums(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("checksums"))
 
@@ -430,12 +427,12 @@ def bloom_row_keys(spark, sf):
     return layout.bloom_keys(rows, "row")
 
 
-@query()
+@query()  # SQL has no such hash
 def bloom_murmur(spark, sf):
     return _read(spark, sf, "customer").select("c_custkey", layout.murmur_hash(F.col("c_name")).alias("hash"))
 
 
-@query()
+@query()  # nor filters over it
 def bloom_build(spark, sf):
     keys = _read(spark, sf, "orders").select("o_orderpriority", F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("row"))
     return layout.bloom_chunks(keys, ["o_orderpriority"], "row", 500, 7, 1024).select("o_orderpriority", "chunk", "n_keys", F.hex("first_key").alias("first_key"), F.bit_count(F.crc32("bits")).alias("bits_mark"))
@@ -590,8 +587,6 @@ def metadata_expect(spark, sf):
 @query("SELECT count(*)::BIGINT AS n FROM (SELECT 1 WHERE false)")
 def diff_impl(spark, sf):
     """Two ways to the first row of each key must agree."""
-    from pyspark.sql import Window
-
     df = _read(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     one = dedup.first_wins(df.withColumn("_o", F.col("o_orderkey")), ["o_custkey"], "_o")
     two = df.withColumn("_n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))).filter("_n = 1").drop("_n")
