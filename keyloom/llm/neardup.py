@@ -10,6 +10,9 @@
    most with a block; those that don't clearly agree go on under a key that holds one more sample. So pairs stay in proportion to members, and
    chance meetings fall apart.
 4. Every link is verified by the weighted Jaccard similarity of the whole texts; components of the links are the classes.
+5. The forests only save work. Where a key still holds members of several components, every pair of them that agrees in enough samples is
+   compared too: members are dealt to blocks, each pair of blocks is a group with the texts of its open pairs, and a pair is left out only
+   when verified links already connect it.
 
 Defined results: a text without a word (null and empty too) is no duplicate of anything; under five words the whole text is the
 shingle; repeated rows are one class; a null doc_id ranks last in its class and shows as null; an empty table gives an empty
@@ -33,8 +36,8 @@ PART = 1024
 #: Of BANDS * ROWS samples: a pair at 0.8 agrees in fewer than LEAST about once in a thousand; from SURE on a member of a large key
 #: needs no more company than its middle.
 LEAST, SURE = 17, 26
-#: Members of a key that are compared at once.
-MEMBERS = 64
+#: Members of a key that are compared at once, and members of a block where all pairs of blocks are.
+MEMBERS, BLOCK = 64, 128
 
 
 def _gamma_table() -> np.ndarray:
@@ -215,16 +218,17 @@ def _compare(batches):
     yield flush()
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b) pairs of texts that may be similar; see step 3."""
+def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) pairs of texts that may be similar, see step 3; and (band, key, node) of every key with two members or more."""
     k, spark = BANDS * ROWS, nodes.sparkSession
     band = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]).alias("key")) for b in range(BANDS)]))
     signed = nodes.select("node", "sig")
     left = signed.select("node", band.alias("x")).select("node", "x.band", "x.key")
-    out, step = fresh_path(spark, "candidates"), 0
+    out, step, members = fresh_path(spark, "candidates"), 0, None
     while True:
         shared = materialise(left.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "keys")
         met = materialise(left.join(shared, ["band", "key"]).join(signed, "node").select("band", "key", "node", "sig", "c"), "met")
+        members = members or met.select("band", "key", "node")
         spread = met.select("band", "key", "node", "sig").repartitionByRange("band", "key", "node").sortWithinPartitions("band", "key", "node")
         found = materialise(spread.mapInArrow(_compare, "band int, key long, a binary, b binary, score int, sig array<int>"), "pairs")
         found.filter("b is not null").select("a", "b").write.mode("append").parquet(out)
@@ -235,7 +239,7 @@ def _candidates(nodes: DataFrame) -> DataFrame:
         large.filter(F.col("agree") >= LEAST).select(F.col("node").alias("a"), F.col("mid").alias("b")).write.mode("append").parquet(out)
         rest = large.filter(F.col("agree") < SURE)
         if step >= k - ROWS or rest.isEmpty():
-            return spark.read.parquet(out).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            return spark.read.parquet(out).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), members
         extra = F.element_at("sig", (F.col("band") * ROWS + ROWS + step) % k + 1)
         left = rest.select("node", "band", F.xxhash64("key", extra).alias("key"))
         step += 1
@@ -261,6 +265,131 @@ def _verify(weights, least: float):
     return run
 
 
+#: Sides of a group: its one block, or the first and second of two.
+ONE, FIRST, SECOND = range(3)
+
+
+def _groups(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(gid, band, side, node, root): members of keys that hold several components, in groups of one or two blocks, so that any two
+    of different components meet. A component of over half a block has blocks of its own, which needn't meet each other."""
+    ours = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = ours.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
+    small = F.coalesce(F.sum(F.when(F.col("n") <= BLOCK // 2, F.col("n"))), F.lit(0)).alias("small")
+    several = sizes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n_roots"), small).filter("n_roots > 1").drop("n_roots")
+    own = F.col("n") > BLOCK // 2
+    slot = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / BLOCK))
+    dealt = ours.join(sizes.join(several, ["band", "key"]), ["band", "key", "root"]).select(
+        "band", "key", "node", "root", F.when(own, F.col("root")).otherwise(F.lit(b"")).alias("home"), F.when(own, slot("node", "n")).otherwise(slot("root", "small")).alias("slot")
+    )
+    dealt = materialise(dealt, "dealt")
+    block = dealt.groupBy("band", "key").agg(F.collect_set(F.struct("home", "slot")).alias("b"))
+    two = block.select("band", "key", F.explode("b").alias("x"), "b").select("band", "key", "x", F.explode("b").alias("y"))
+    two = two.filter("x <= y and (x.home <> y.home or x.home = X'')").withColumn("gid", F.monotonically_increasing_id())
+    two = materialise(two, "groups")
+    side = lambda c, k: F.struct(F.col(f"{c}.home").alias("home"), F.col(f"{c}.slot").alias("slot"), F.lit(k).alias("side"))
+    sides = F.when(F.col("x") == F.col("y"), F.array(side("x", ONE))).otherwise(F.array(side("x", FIRST), side("y", SECOND)))
+    sides = two.select("gid", "band", "key", F.explode(sides).alias("s")).select("gid", "band", "key", "s.*")
+    return dealt.join(sides, ["band", "key", "home", "slot"]).select("gid", "band", "side", "node", "root")
+
+
+def _open(sig: np.ndarray, roots: np.ndarray, side: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs of a group are to be compared: enough samples agree, their components differ, and no earlier band has both."""
+    same = sig[:, None] == sig[None]
+    wanted = (same.sum(2) >= LEAST) & (roots[:, None] != roots[None]) & ((side[:, None] != side[None]) | (side == ONE))
+    earlier = same[:, :, : band * ROWS].reshape(len(sig), len(sig), band, ROWS).all(3).any(2)
+    return wanted & ~earlier
+
+
+def _by_group(batches, names: list[str], solve, most: int = 20_000):
+    """Rows come sorted by their first column; `solve` makes rows of those that share it."""
+    held: list[tuple] = []
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(k).to_pylist() for k in range(len(names)))):
+            if held and held[-1][0] != row[0]:
+                out += solve(held)
+                held = []
+            held.append(row)
+            if len(out) > most:
+                yield out
+                out = []
+        yield out
+    yield solve(held) if held else []
+
+
+_GROUP = ["gid", "band", "side", "node", "root", "sig"]
+
+
+def _mates(rows):
+    _, roots = np.unique(np.array([r[4].hex() for r in rows]), return_inverse=True)
+    return _open(np.array([r[5] for r in rows], np.int32), roots, np.array([r[2] for r in rows]), rows[0][1]), roots
+
+
+def _with_open_pairs(batches):
+    """The members of each group that have a pair to be compared."""
+
+    def solve(rows):
+        if len(rows) < 2:
+            return []
+        left = _mates(rows)[0]
+        return [r[:5] for r, k in zip(rows, (left | left.T).any(1)) if k]
+
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    for out in _by_group(batches, _GROUP, solve):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], _GROUP[:5])
+
+
+def _links(texts: list[bytes], wanted: np.ndarray, roots: np.ndarray, idf: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Of the wanted pairs those that are similar; one is not compared where these links or `roots` connect it already."""
+    text, h, tf, _ = shingles(texts)
+    w = tf * idf[_slot(h)]
+    vocabulary, at = np.unique(h, return_inverse=True)
+    start, total = np.searchsorted(text, np.arange(len(texts) + 1)), np.bincount(text, w, len(texts))
+    weight, roots, out = np.zeros(len(vocabulary)), roots.copy(), []
+    for i in range(len(texts)):
+        others = np.flatnonzero(wanted[i] & (roots != roots[i]))
+        others = others[others > i]
+        if not len(others):
+            continue
+        mine = slice(start[i], start[i + 1])
+        weight[at[mine]] = w[mine]
+        low = np.bincount(text, np.minimum(w, weight[at]), len(texts))[others]
+        weight[at[mine]] = 0
+        for j in others[low >= least * (total[i] + total[others] - low)]:
+            if roots[i] != roots[j]:
+                out.append((i, int(j)))
+                roots[roots == roots[j]] = roots[i]
+    return out
+
+
+def _verified(weights, least: float):
+    def solve(rows):
+        wanted, roots = _mates(rows)
+        return [(rows[i][3], rows[j][3]) for i, j in _links([r[6] for r in rows], wanted, roots, weights.value, least)]
+
+    def run(batches):
+        coded = (pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(_encoded(b.column(6)), pa.binary())], [*_GROUP, "text"]) for b in batches)
+        for out in _by_group(coded, [*_GROUP, "text"], solve):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)] or [pa.array([], pa.binary())] * 2, ["a", "b"])
+
+    return run
+
+
+def _completed(keyed: DataFrame, nodes: DataFrame, members: DataFrame, links: DataFrame, weights, similar: float) -> DataFrame:
+    """(node, root): components of `links` and of the similar pairs that these don't connect; see step 5."""
+    roots = components(links)
+    sorted_groups = lambda df: df.repartition("gid").sortWithinPartitions("gid")
+    sig = nodes.select("node", "sig")
+    rows = _groups(members, roots).join(sig, "node").select(*_GROUP)
+    left = materialise(sorted_groups(rows).mapInArrow(_with_open_pairs, "gid long, band int, side int, node binary, root binary"), "open")
+    wanted = nodes.join(left.select("node").distinct(), "node").select("node", "sig", "r1", "r2")
+    texts = materialise(keyed.join(wanted, ["r1", "r2"]).select("node", "sig", "text").dropDuplicates(["node"]), "open-texts")
+    more = materialise(sorted_groups(left.join(texts, "node").select(*_GROUP, "text")).mapInArrow(_verified(weights, similar), "a binary, b binary"), "more-links")
+    if more.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+
 def _classes(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): r1, r2 and node of every row, and of each node the smallest row key of its class. Classes are settled among
     nodes, where equal texts are one; tables between the joins let Spark split large keys."""
@@ -269,13 +398,13 @@ def _classes(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
     signed = materialise(keyed.select("r1", "r2", "text").mapInArrow(_signatures(weights), "r1 int, r2 long, node binary, sig array<int>"), "signatures")
     first = lambda *more: F.min(F.struct((F.col("r1") >= NULL_ID).alias("last"), "r2", "r1", *more)).alias("x")
     nodes = materialise(signed.filter("node is not null").groupBy("node").agg(first("sig")).select("node", "x.r1", "x.r2", "x.sig"), "nodes")
-    pairs = _candidates(nodes)
+    pairs, members = _candidates(nodes)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.select("node", "r1", "r2").join(ends, "node", "left_semi")
     texts = materialise(keyed.join(wanted, ["r1", "r2"]).select("node", "text").dropDuplicates(["node"]), "texts")
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     links = both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(weights, similar), "a binary, b binary, similarity double")
-    roots = components(links.select("a", "b"))
+    roots = _completed(keyed, nodes, members, links.select("a", "b"), weights, similar)
     least = nodes.select("node", "r1", "r2").join(roots, "node").groupBy("root").agg(first()).select("root", F.col("x.r1").alias("root_r1"), F.col("x.r2").alias("root_id"))
     least = materialise(least, "least")
     ours = nodes.select("node", "r1", "r2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -319,6 +319,32 @@ def test_near_duplicates_of_edited_texts(spark):
     assert all(got[i] == (i if i < 1000 else (i - 1000) // 10) for i, _ in rows)
 
 
+def test_copies_inside_a_template_group(spark):
+    """Texts of one template at about 0.75, too many for a block, and pairs among them at about 0.82."""
+    rng = np.random.default_rng(5)
+    template = [f"t{k}" for k in range(700)]
+    rows = []
+    for k in range(200):
+        own, twin = [template[:], template[:]], rng.integers(0, 700 - 45, 2)
+        for w in own:
+            w[twin[0] : twin[0] + 14] = [f"p{k}x{i}" for i in range(14)]
+        for side, w in enumerate(own):
+            at = (twin[0] + 100 + 200 * side) % 600
+            w[at : at + 26] = [f"q{k}y{side}z{i}" for i in range(26)]
+        rows += [(2 * k + side, " ".join(w)) for side, w in enumerate(own) if side == 0 or k % 4 == 0]
+    idf = neardup.idf(spark.createDataFrame(rows, "doc_id long, text string"))
+    text, h, tf, _ = neardup.shingles([t.encode() for _, t in rows])
+    _, at = np.unique(h, return_inverse=True)
+    w = np.zeros((len(rows), at.max() + 1))
+    w[text, at] = tf * idf[neardup._slot(h)]
+    low = np.array([np.minimum(w, x).sum(1) for x in w])
+    similar = low / (w.sum(1)[:, None] + w.sum(1)[None] - low)
+    want = {(rows[i][0], rows[j][0]) for i, j in zip(*np.nonzero(np.triu(similar >= 0.8, 1)))}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
+    assert len(want) >= 40 and not [p for p in want if got[p[0]] != got[p[1]]]
+
+
 def test_odd_texts_are_no_duplicates_of_empty_ones(odd, nothing):
     got = neardup.classes(odd).collect()
     assert len(got) == odd.count()
