@@ -25,6 +25,8 @@ from .hashing import blocks, joined, mix, windows, words
 WINDOW, MIN = 8, 3
 #: Share of an item's windows that a document must hold, and share of its placeholder values that must map one to one.
 COVERED, CONSISTENT = 0.5, 0.8
+#: Tokens by which windows of one alignment may be apart.
+TOLERANCE = 8
 LIMIT = 32 << 20
 
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
@@ -130,32 +132,67 @@ class Index:
         if not parts:
             return []
         d, i, size = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((d, i, item.text[i], doc.text[d]))
+        order = np.lexsort((d - i, i, item.text[i], doc.text[d]))
         d, i, size = d[order], i[order], size[order]
-        new = np.r_[True, i[1:] != i[:-1]] | np.r_[True, doc.text[d[1:]] != doc.text[d[:-1]]] if len(d) else np.zeros(0, bool)
-        d, i, size = d[new], i[new], size[new]  # an item's window counts once in a document
         pair = np.flatnonzero(np.r_[True, (item.text[i[1:]] != item.text[i[:-1]]) | (doc.text[d[1:]] != doc.text[d[:-1]])]) if len(d) else np.zeros(0, np.int64)
         out = []
         for a, b in zip(pair, np.r_[pair[1:], len(d)]):
-            which = int(item.text[i[a]])
-            coverage = (b - a) / self.n_windows[which]
-            if coverage < covered:
-                continue
-            span = np.concatenate([np.arange(s) for s in size[a:b]])
-            there = np.unique(np.c_[np.repeat(i[a:b], size[a:b]) + span, np.repeat(d[a:b], size[a:b]) + span], axis=0)
-            slots = there[item.kind[there[:, 0]] != LITERAL]
-            share, same = 1.0, True
-            if len(slots):
-                values = np.c_[item.value[slots[:, 0]], doc.value[slots[:, 1]]]
-                same = bool((values[:, 0] == values[:, 1]).all())
-                pairs = np.unique(values, axis=0)
-                _, x, nx = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
-                _, y, ny = np.unique(pairs[:, 1], return_inverse=True, return_counts=True)
-                share = float(((nx[x] == 1) & (ny[y] == 1)).mean())
-            if share >= consistent:
-                out.append((int(doc.text[d[a]]), which, float(coverage), share, same))
+            best = self._best(doc, d[a:b], i[a:b], size[a:b], covered, consistent)
+            if best:
+                coverage, same, share = best
+                out.append((int(doc.text[d[a]]), int(item.text[i[a]]), coverage, share, same))
         return out
 
+    def _best(self, doc: Template, d: np.ndarray, i: np.ndarray, size: np.ndarray, covered: float, consistent: float):
+        """(coverage, whether every value is the same, consistent share) of the best way to place an item in a document, or None. Each
+        window counts once. Its places are taken nearest to an alignment (document token less item token), for every alignment:
+        all windows, and those alone that are within TOLERANCE of it; also the first place of each."""
+        first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+        n = int(self.n_windows[self.template.text[i[0]]])
+        if len(first) < covered * n:
+            return None
+        last = np.r_[first[1:], len(i)] - 1
+        shift = d - i
+        shift -= shift.min()
+        width = int(shift.max()) + 1
+        window = np.repeat(np.arange(len(first)), last - first + 1)
+        place = window * width + shift
+        best, tried = None, set()
+
+        def judge(chosen):
+            nonlocal best
+            key = chosen.tobytes()
+            if len(chosen) < covered * n or key in tried or best and (len(chosen) / n, True, 1.0) <= best:
+                return
+            tried.add(key)
+            same, share = self._values(doc, d[chosen], i[chosen], size[chosen])
+            if share >= consistent and (best is None or (len(chosen) / n, same, share) > best):
+                best = len(chosen) / n, same, share
+
+        judge(first)
+        for at in np.unique(shift):
+            right = np.searchsorted(place, np.arange(len(first)) * width + at)
+            left, right = np.maximum(right - 1, first), np.minimum(right, last)
+            near = np.where(np.abs(shift[left] - at) <= np.abs(shift[right] - at), left, right)
+            judge(near)
+            judge(near[np.abs(shift[near] - at) <= TOLERANCE])
+            if best and best >= (len(first) / n, True, 1.0):
+                break
+        return best
+
+    def _values(self, doc: Template, d: np.ndarray, i: np.ndarray, size: np.ndarray) -> tuple[bool, float]:
+        """Whether every placeholder has the same value on both sides, and the share of them that map one to one."""
+        span = np.concatenate([np.arange(s) for s in size])
+        there = np.unique(np.c_[np.repeat(i, size) + span, np.repeat(d, size) + span], axis=0)
+        slots = there[self.template.kind[there[:, 0]] != LITERAL]
+        if not len(slots):
+            return True, 1.0
+        values = np.c_[self.template.value[slots[:, 0]], doc.value[slots[:, 1]]]
+        pairs = np.unique(values, axis=0)
+        _, x, nx = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
+        _, y, ny = np.unique(pairs[:, 1], return_inverse=True, return_counts=True)
+        return bool((values[:, 0] == values[:, 1]).all()), float(((nx[x] == 1) & (ny[y] == 1)).mean())
+
 
 _OUT = "r1 int, r2 long, item_id long, coverage double, consistency double, exact boolean"
 

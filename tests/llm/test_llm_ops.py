@@ -396,6 +396,19 @@ def test_questions_with_other_values(spark):
     assert decontam.leaks(short, items).count() == 1
 
 
+def test_questions_that_repeat_a_template(spark):
+    sells = "she sells {} red apples for {} dollars each to her ".format
+    item = f"On one day {sells(3, 2)}neighbour and on the next {sells(5, 4)}oldest cousin"
+    other = f"On one day {sells(8, 9)}neighbour and on the next {sells(7, 6)}oldest cousin"
+    partial = f"On one day {sells(4, 3)}neighbour"
+    docs = [(1, item), (2, "Well then. " + item + " today."), (3, other), (4, f"{partial}. {'Words go on here. ' * 30} {item}"), (5, f"{item}. {'Words go on here. ' * 30} {partial}"), (6, "Words go on here. " * 30)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for options in ({}, {"limit": 0}):
+        got = {r["doc_id"]: (r["coverage"], r["consistency"], r["exact"]) for r in decontam.leaks(docs, items, **options).collect()}
+        assert got == {i: (1.0, 1.0, i != 3) for i in range(1, 6)}
+
+
 def test_decontamination_keeps_clean_rows(spark, odd, nothing):
     bench = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     out = decontam.remove(odd, bench)
