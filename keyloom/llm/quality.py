@@ -20,8 +20,12 @@ SPACES = r"[\x09-\x0D\x20]+"
 NOT_SPACE = r"[^\x09-\x0D\x20]"
 #: A line has to end in one of these, closing quotes and brackets may follow.
 TERMINAL = r"""[.!?:;…。！？][\x22')\]»”’*#$%&]*$"""
-#: Bars or arrows that make a line navigation, and doubled exclamation marks that make it shouting.
-NAVIGATION, SHOUTING = 4, 4
+CLOSERS = r"""^[\x22')\]»”’*#$%&]+$"""
+#: Four or more items in a row divided by single bars or arrows, and four or more words in a row that end in doubled exclamation marks.
+#: Only lines with so many marks are searched; a search starts at the first mark, so it doesn't go back.
+ITEMS = 4
+NAVIGATION = r"[^|»][|»]([^|»]+[|»]){3}"
+SHOUTING = r"[^\x09-\x0D\x20]!!(\x20|$)([^\x09-\x0D\x20]+!!(\x20|$)){3}"
 BOILERPLATE = (
     "all rights reserved", "licensed under", "released under", "terms of use", "terms of service", "privacy policy",
     "accept cookies", "accept all cookies", "enable javascript", "lorem ipsum", "click here", "subscribe to our", "sign up for our",
@@ -68,10 +72,11 @@ def _line_keeps(line: Column, rules: QualityRules) -> Column:
     symbols = F.length(F.regexp_replace(line, r"[^#*$%&|<>]+", ""))
     bars = F.length(F.regexp_replace(line, r"[^|»]+", ""))
     shouts = (size - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
+    end = F.right(F.rtrim(line), F.lit(12))  # most lines end in a few closers at most
     return (
-        F.right(F.rtrim(line), F.lit(12)).rlike(TERMINAL)
-        & ((marks == 0) | ((bars < NAVIGATION) & (symbols * 100 <= size * rules.max_symbol_percent)))
-        & (shouts < SHOUTING)
+        (end.rlike(TERMINAL) | (end.rlike(CLOSERS) & F.rtrim(line).rlike(TERMINAL)))
+        & ((marks == 0) | (((bars < ITEMS) | ~line.rlike(NAVIGATION)) & (symbols * 100 <= size * rules.max_symbol_percent)))
+        & ((shouts < ITEMS) | ~line.rlike(SHOUTING))
         & ~functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
     )
 

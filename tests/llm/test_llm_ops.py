@@ -45,6 +45,19 @@ def test_quality_against_brute_force(odd):
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
+def test_line_rules_against_plain_patterns(spark):
+    import re
+
+    shouting, navigation, terminal = r"([^\t-\r ]+!!( |$)){4}", r"([^|»]+[|»][\t-\r ]*){4}", r"""[.!?:;…。！？]["')\]»”’*#$%&]*$"""
+    long = "These are the words of a plain line that is long enough to hold a few marks without being full of them, "
+    ends = ["so great!! it was!! and then!! at last!! it ended.", "so!! very!! very!! great!!", "so!! very!!  very!! great!! end.", "Great!!!!!!!! it was.", "a || b || c.", "a | b | c | d | e.", "a | b |  | c | d.", "a » b » c » d » e.", "he said." + "'" * 13, "he said" + "'" * 13, "end", "end.", "!!!! !!!! !!!! !!!!"]
+    lines = [long * k + e for e in ends for k in (0, 1, 9)]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_lines_failed"] for r in quality.measure(df).collect()}
+    symbols = [len(re.findall("[#*$%&|<>]", x)) * 100 > len(x) * 8 for x in lines]
+    assert got == {i: int(bool(re.search(shouting, x) or re.search(navigation, x) or s or not re.search(terminal, x.rstrip(" ")))) for i, (x, s) in enumerate(zip(lines, symbols))}
+
+
 def test_quality_uses_no_python(docs):
     plan = quality.measure(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Exchange" not in plan
