@@ -22,10 +22,12 @@ _LOOSE = re.compile(r"<(?P<end>/)?(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>[^>
 _ATTR = re.compile(r"""(class|id|role|style|aria-label|type)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))|(?:^|\s)(hidden)(?=[\s/=]|$)|(aria-hidden)\s*=\s*["']?true""", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas xmp noembed noframes select datalist audio video".split())
+RAW = frozenset("script style noscript template textarea title svg annotation annotation-xml iframe object canvas xmp noembed noframes select datalist audio video".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
+#: A formula's text belongs to the block it stands in; outside articles formulas are dropped.
+FORMULA = frozenset("math mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle mpadded mfenced menclose mmultiscripts semantics".split())
 FURNITURE = frozenset("nav aside footer header form menu dialog button label fieldset legend figcaption head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in class, id or role that mark page furniture; whole words after splitting at marks and case changes.
@@ -122,6 +124,8 @@ def blocks(page: str) -> list[Block]:
             close()
             continue
         if tag["end"]:
+            if name in FORMULA:
+                continue
             if name == "a":
                 links = 0
             if name not in INLINE or any(x.name == name for x in stack[-1:]):
@@ -134,15 +138,16 @@ def blocks(page: str) -> list[Block]:
                         close()
             continue
         attrs = tag["attrs"]
-        if name in RAW and not attrs.rstrip().endswith("/"):
-            if name not in INLINE:
+        outside = not (stack and stack[-1].inside)
+        if (name in RAW or name == "math" and outside) and not attrs.rstrip().endswith("/"):
+            if name not in INLINE and name not in ("annotation", "annotation-xml"):
                 close()
             low = page.lower() if low is None else low
             end = low.find(f"</{name}", at)
             gt = page.find(">", end) if end >= 0 else -1
             at = n if gt < 0 else gt + 1
             continue
-        if name in VOID:
+        if name in VOID or name in FORMULA:
             continue
         furniture, remarks, content, hidden = _marks(attrs) if attrs.strip() else (False, False, False, False)
         if name == "a":
@@ -165,7 +170,7 @@ def blocks(page: str) -> list[Block]:
         elif name == "header" and top.inside and not furniture:
             stack.append(Open(name, top.furniture, top.remarks, True))
         else:
-            stack.append(Open(name, top.furniture or furniture or hidden or name in FURNITURE, top.remarks or remarks, top.inside))
+            stack.append(Open(name, top.furniture or furniture or hidden or name in FURNITURE and not (name == "figcaption" and top.inside), top.remarks or remarks, top.inside))
     close()
     return found
 

@@ -97,6 +97,14 @@ def test_parts_of_a_page(order):
     assert htmltext.main_text(page) == "\n".join(["Title", *[v for _, v in inside]])
 
 
+def test_captions_and_formulas_of_an_article():
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='tex'>x = 1</annotation></semantics></math>"
+    caption = "<figure><img src=a><figcaption>A heron at the lake in the early morning of a cold day.</figcaption></figure>"
+    page = f"<nav>{formula}</nav><article><h1>Title</h1><p>So it follows that {formula} holds for every one of the cases above.</p>{caption}</article><figure><figcaption>Shop now</figcaption></figure>"
+    want = ["Title", "So it follows that x=1 holds for every one of the cases above.", "A heron at the lake in the early morning of a cold day."]
+    assert htmltext.main_text(f"<html><body>{page}</body></html>") == "\n".join(want)
+
+
 @pytest.mark.parametrize("page,text", [(None, ""), ("", ""), ("<", ""), ("<!-- x", ""), ("<script>x", ""), ("<article>open <p>text", "open\ntext"), ("<article>a<di", "a"), ("<nav><ul><li>Menu<article>Text of it.</article>", "Text of it.")])
 def test_broken_pages(page, text):
     assert htmltext.main_text(page) == text
