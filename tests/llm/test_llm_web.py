@@ -114,3 +114,71 @@ def test_pages_without_marks():
     line = "this paragraph of the page has quite a few words and no link at all in it "
     page = "<div><a href=1>Home</a><a href=2>News</a></div><div><a href=3>Old</a></div><h2>A title of it</h2><div>" + line * 3 + "</div><div>" + line * 2 + "</div><div><a href=4>Next page</a></div>"
     assert htmltext.main_text(page) == "A title of it\n" + " ".join((line * 3).split()) + "\n" + " ".join((line * 2).split())
+
+
+LINE = "this paragraph of the page has quite a few words and no link at all in it"
+WHOLE = f"<h1>Title</h1><p>{LINE}</p><p>{LINE} too</p>"
+TEXT = f"Title\n{LINE}\n{LINE} too"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body class='home right-sidebar'><article>{WHOLE}</article><div class=right-sidebar><p>{LINE}</p></div></body>",
+    f"<body class='search comments-open'><div class='layout with-sidebar'><article>{WHOLE}</article></div></body>",
+    f"<body><form id=aspnetForm><nav><a href=/>Home</a></nav><article>{WHOLE}</article><input type=submit></form></body>",
+    f"<body><form id=aspnetForm><div><a href=/>Home</a></div><div>{WHOLE}<p>{LINE} again</p></div></form></body>",
+    f"<article class='post category-search tag-advert comments-open'>{WHOLE}</article>",
+    f"<div class='right-sidebar search-page'><div class=post>{WHOLE}</div></div>",
+    f"<header><h1>Site</h1></header><div role=main>{WHOLE}</div><div role=complementary><p>{LINE}</p></div>",
+    f"<a name=top><article>{WHOLE}</article>",
+    f"<nav><ul><li>Menu<main>{WHOLE}</main>",
+    f"<div class=related><article><p>{LINE}</p></article></div><main>{WHOLE}</main>",
+    f"<main><nav><a href=/>Home</a></nav><article>{WHOLE}</article><ul><li><a href=/1>one</a><li><a href=/2>two</a></ul></main>",
+    f"<article>{WHOLE}<section id=comments><article class=comment><p>{LINE}, they say.</p></article></section></article>",
+    f"<article>{WHOLE}<div class=share><a href=/t>Tell</a> <a href=/m>Mail</a></div><form><p>{LINE}</p></form></article>",
+    f"<article>{WHOLE}</article><p>{LINE} outside</p><div>Made by us, all of it and with love</div>",
+    f"<article hidden=until-found>{WHOLE}</article>", f"<body style='display:none'><article>{WHOLE}</article></body>",
+])
+def test_wrappers_do_not_empty_a_page(page):
+    assert htmltext.main_text(page).removesuffix(f"\n{LINE} again") == TEXT
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<article>{WHOLE}<p><a href=/1>All of a list of links</a> <a href=/2>and more</a></p></article>", TEXT + "\nAll of a list of links and more"),
+    (f"<article>{WHOLE}<ul><li><a href=/1>one</a></li><li><a href=/2>two</a></li></ul></article>", TEXT + "\none\ntwo"),
+    ("<html><body><p>Hello world.</p></body></html>", "Hello world."), ("<div>Just a text</div>", "Just a text"), ("Bare", "Bare"), ("<h1>Title</h1><p>Short.</p>", "Title\nShort."),
+    ("<article><p>" + "İ" * 120 + "</p><script>x</script><p>rest</p></article>", "İ" * 120 + "\nrest"),
+    ("<article><p>Text.</p><script src=a.js/>code</script><p>more</p></article>", "Text.\nmore"), ("<article><p>Text.</p><SCRIPT>a</scripted></ScRipt ><p>more</p></article>", "Text.\nmore"),
+    ("<article><p>Text <svg><title>t</title><path d=1/>junk</svg> end</p><object>no</object><p>after</p></article>", "Text end\nafter"),
+    ("<article><p>Text.</p><svg/><p>after</p></article>", "Text.\nafter"),
+    (f"<article><section id=discussion><h2>Discussion</h2><p>{LINE} {LINE}</p></section></article>", f"Discussion\n{LINE} {LINE}"),
+    (f"<div id=comments><div class=comment><p>{LINE} {LINE}</p></div></div><div><p>{LINE}</p></div>", LINE), (f"<div class=cookie-notice><p>{LINE} {LINE} {LINE}</p></div><p>Hello.</p>", "Hello."),
+    (f"<h1>Title</h1><article><p>{LINE}</p></article>", f"Title\n{LINE}"), (f"<h1>Site</h1><article><h2>Title</h2><p>{LINE}</p></article>", f"Title\n{LINE}"),
+    ("<nav><a href=/1>One</a> <a href=/2>Two</a></nav>", ""), ("<ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul>", ""),
+])
+def test_contract_of_the_main_text(page, text):
+    assert htmltext.main_text(page) == text
+
+
+def test_generated_pages_without_an_article():
+    """Against the parts that they are made of: furniture of ten kinds around and between paragraphs, titles and list items."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    text = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    furniture = [
+        lambda: "<nav>" + "".join(f"<a href=/{word()}>{word()}</a>" for _ in range(5)) + "</nav>", lambda: f"<div class='site-header'>{text(2, 8)}</div>", lambda: f"<footer><p>{text(5, 60)}</p></footer>",
+        lambda: f"<aside><p>{text(20, 80)}</p></aside>", lambda: f"<div id=cookieNotice><p>{text(10, 40)}</p></div>", lambda: f"<div class=ad-box>{text(3, 50)}</div>", lambda: f"<form><p>{text(3, 20)}</p><label>{word()}</label></form>",
+        lambda: f"<script>var x = '<p>{text(5, 9)}</p>'</script>", lambda: "<ul class=menu>" + "".join(f"<li><a href=/{word()}>{text(1, 3)}</a>" for _ in range(4)) + "</ul>", lambda: f"<div class='comments'><div class=comment><p>{text(10, 60)}</p></div></div>",
+    ]
+    for _ in range(300):
+        parts, want = [], []
+        for _ in range(rng.randint(3, 9)):
+            parts += [rng.choice(furniture)() for _ in range(rng.randint(0, 2))]
+            kind = rng.choice(["p", "p", "div", "h2"])
+            body = text(25, 120) if kind == "div" else text(6, 90) if kind == "p" else text(5, 9)
+            parts.append(f"<{kind}>{body}</{kind}>" + (f"<p>{(more := text(20, 60))}</p>" if kind == "h2" else ""))
+            want += [body, more] if kind == "h2" else [body]
+        around = rng.choice(["{}", "<div class='page with-sidebar'>{}</div>", "<form name=f>{}</form>", "<div id=wrapper><div class='col left-sidebar'>{}</div></div>"])
+        page = "<!DOCTYPE html><html><head><title>T</title></head><body>" + around.format("".join([furniture[0](), furniture[1]()] + parts + [furniture[2]()])) + "</body></html>"
+        assert htmltext.main_text(page) == "\n".join(want), page
