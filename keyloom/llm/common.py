@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Row hashes of rows without a doc_id have this bit.
-NULL_ID = 1 << 30
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or a local one where it is unset."""
+    """The folder that driver and executors share, `spark.checkpoint.dir`. A local master has one machine only and may use its own folder."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
-    own = os.path.join(tempfile.gettempdir(), "keyloom-shared")
-    os.makedirs(own, exist_ok=True)
-    return "file://" + own
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/keyloom-shared"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -78,13 +75,17 @@ def own_columns(df: DataFrame) -> list[Column]:
 
 
 def row_keys() -> tuple[Column, Column]:
-    """(r1, r2): 30 bits of a hash of the text and doc_id, for a row without one a bit more and another hash of its text."""
+    """(r1, r2): 63 bits of a hash of the text and a bit that is set without a doc_id; doc_id, or another hash of the text."""
     text, doc_id = whole_text(), F.col("doc_id").cast("long")
-    return F.hash(text).bitwiseAND(F.lit(NULL_ID - 1)) + F.when(doc_id.isNull(), NULL_ID).otherwise(0), F.coalesce(doc_id, F.xxhash64(text))
+    return F.xxhash64(text).bitwiseAND(F.lit(-2)) + doc_id.isNull().cast("long"), F.coalesce(doc_id, F.xxhash64(F.lit("no id"), text))
+
+
+def without_id(r1: str = "r1") -> Column:
+    return F.col(r1).bitwiseAND(F.lit(1)) == 1
 
 
 def shown_id(r1: str = "r1", r2: str = "r2") -> Column:
-    return F.when(F.col(r1) < NULL_ID, F.col(r2))
+    return F.when(~without_id(r1), F.col(r2))
 
 
 def row_keyed(docs: DataFrame) -> DataFrame:
@@ -95,8 +96,25 @@ def row_keyed(docs: DataFrame) -> DataFrame:
 
 def join_rows(docs: DataFrame, keys: DataFrame, how: str, once: bool = False) -> DataFrame:
     """`docs` joined by (r1, r2) with `keys`, whose columns must have spare names but for these; the columns of both, without the
-    keys. `once`: rows that agree in both keys are left once."""
-    a, b = spare(docs, "_row_hash", "_row_id")
+    keys. `once`: rows that agree in both keys and in one more hash of their text are left once."""
+    a, b, c = spare(docs, "_row_hash", "_row_id", "_row_text")
     keyed = docs.withColumns(dict(zip((a, b), row_keys())))
+    keyed = keyed.withColumn(c, F.xxhash64(F.lit("text"), whole_text())) if once else keyed
     out = keyed.join(keys.withColumnsRenamed({"r1": a, "r2": b}), [a, b], how)
-    return (out.dropDuplicates([a, b]) if once else out).drop(a, b)
+    return (out.dropDuplicates([a, b, c]) if once else out).drop(a, b, c)
+
+
+@contextlib.contextmanager
+def bloom_joins(spark):
+    """Joins drop rows by a Bloom filter of the smaller side before the shuffle; the filter's size is fixed by Spark's settings, and
+    if it fills up, it only drops less."""
+    name = "spark.sql.optimizer.runtime.bloomFilter."
+    put = {f"{name}applicationSideScanSizeThreshold": "0", f"{name}creationSideThreshold": str(1 << 40), f"{name}expectedNumItems": "4000000", f"{name}numBits": str(1 << 25)}
+    before = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -1,53 +1,113 @@
-"""Benchmark decontamination by templates: numbers, names and units become typed placeholders, windows of template tokens are
-joined by hash with those of the benchmark, and the values in the placeholders must map one to one, so that the same question
+"""Benchmark decontamination by templates: numbers, names, pronouns and units become typed placeholders, windows of template tokens
+are joined by hash with those of the benchmark, and the values in the placeholders must map one to one, so that the same question
 with other numbers or names is found too.
 
+What a token is depends on the token itself (a unit of one letter also on the number before it), never on where it stands, so a
+passage has the same template in every text. A word with a capital is a name unless it is a common word; letters and digits are
+parted, so `5km` and `20%` are a number and a unit. Pronouns change with names and are not held to a mapping; two numbers of a question
+may be equal by chance, so fewer of them have to map one to one.
+
 The benchmark's index is shared with all tasks while its text is within `limit` bytes; a larger one is joined by shuffle, with the
-same result.
+same result: of each item only its rarest windows, one of which every leak must hold, propose pairs.
 
 Defined results: null and empty texts match nothing; an item with fewer than MIN template tokens, or without a window of MIN literal
 words, can't be found; repeated documents or items each give a row; null ids are carried along; an empty table gives an empty
-result; extra columns are dropped by `leaks` and kept by `remove`.
+result; extra columns are dropped by `leaks` and kept by `remove`. A very long text is searched whole, in memory. Of several places of an
+item in a document the best by coverage, equal values and consistency is reported; of equal ones the first.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_rows, materialise, own_columns, row_keyed, shown_id
-from .hashing import blocks, joined, mix, windows, words
+from .common import bloom_joins, join_rows, materialise, own_columns, row_keyed, shown_id
+from .hashing import blocks, mix, prefix, string_hash, windows
 
 WINDOW, MIN = 8, 3
-#: Share of an item's windows that a document must hold, and share of its placeholder values that must map one to one.
-COVERED, CONSISTENT = 0.5, 0.8
+#: Share of an item's windows that a document must hold; shares of its names and units, and of its numbers, that must map one to one.
+COVERED, CONSISTENT, NUMBERS_CONSISTENT = 0.5, 0.8, 0.5
 #: Tokens by which windows of one alignment may be apart.
 TOLERANCE = 8
 LIMIT = 32 << 20
 
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
 UNITS = (
-    "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds lb lbs ton tons ml l liter liters litre litres gallon gallons "
+    "mm cm km inch inches foot feet yard yards mile miles mg kg gram grams kilogram kilograms ounce ounces pound pounds lb lbs ton tons ml liter liters litre litres gallon gallons "
     "second seconds minute minutes hour hours day days week weeks month months year years percent cent cents dollar dollars euro euros usd eur degree degrees celsius fahrenheit "
-    "meter meters metre metres kilometer kilometers kilometre kilometres mph kmh watt watts volt volts joule joules"
+    "meter meters metre metres kilometer kilometers kilometre kilometres mph kmh watt watts volt volts joule joules % $ € £ °"
+).split()
+#: Units only right after a number.
+UNITS_AFTER = "m g l h s t min mins sec secs hr hrs in ft oz kw kwh w v c f k".split()
+PRONOUNS = "he she him her his hers himself herself".split()
+#: Words that are no names, with a capital or without.
+COMMON = (
+    "the a an if when while after before how what which who whose whom where why there then each every all some any many much more most few several in on at by for from to of with without into over under "
+    "and or but so because since as than is are was were be been do does did has have had can could will would should may might must let find given suppose assume consider calculate determine "
+    "it they them their its we us our you your i me my this that these those no not yes both either during between per total only also about note now"
 ).split()
 
-LITERAL, NUMBER, NAME, UNIT = range(4)
-_CODE = mix(np.array([0, 11, 22, 33], np.uint64))
-_SEPARATOR = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
-_STOP = np.isin(np.arange(256), np.frombuffer(b".!?:;\n\"", np.uint8))
-
-
-def _word_set(names: list[str]) -> np.ndarray:
-    return np.sort(words([n.encode() for n in names])[1])
-
-
-_NUMBERS, _UNITS = _word_set(NUMBER_WORDS), _word_set(UNITS)
+LITERAL, NUMBER, NAME, UNIT, PRONOUN = range(5)
+_CODE = mix(np.array([0, 11, 22, 33, 44], np.uint64))
+#: Classes of characters: between tokens, letters, digits, tokens of their own.
+GAP, LETTER, DIGIT, ALONE = range(4)
+_PLANES = 1 << 17
+_STOPS = ".!?:;\n\"。！？।؟"
+
+
+@functools.cache
+def _characters() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class, lower case, has a lower case, ends a sentence) of the code points below _PLANES; the last stands for all others."""
+    kind, lower = np.zeros(_PLANES, np.uint8), np.arange(_PLANES, dtype=np.uint32)
+    for cp in range(_PLANES):
+        ch = chr(cp)
+        group = unicodedata.category(ch)
+        if 0x3040 <= cp < 0x3100 or 0x3400 <= cp < 0xA000 or group == "Lo" and 0xF900 <= cp < 0xFB00 or cp == _PLANES - 1:
+            kind[cp] = ALONE  # scripts without spaces
+        elif group in ("Nd",):
+            kind[cp] = DIGIT
+        elif group[0] in "LM" or group in ("Nl", "No"):
+            kind[cp] = LETTER
+        small = ch.lower()
+        if len(small) == 1 and small != ch:
+            lower[cp] = ord(small)
+    kind[[ord(c) for c in "%$€£°"]] = ALONE
+    stops = np.zeros(_PLANES, bool)
+    stops[[ord(c) for c in _STOPS]] = True
+    return kind, lower, lower != np.arange(_PLANES), stops
+
+
+def _tokens(points: np.ndarray):
+    """(begin, end, class, hash of the lower case) of every token."""
+    classes, lower, _, _ = _characters()
+    known = np.minimum(points, _PLANES - 1)
+    kind = classes[known]
+    low = np.where(points < _PLANES, lower[known], points)
+    begins = (kind != GAP) & (np.r_[True, kind[1:] != kind[:-1]] | (kind == ALONE))
+    begin = np.flatnonzero(begins)
+    last = np.r_[kind[1:] != kind[:-1], True] | (kind == ALONE)
+    end = np.flatnonzero((kind != GAP) & last) + 1
+    sums, inverse = prefix(low)
+    return begin, end, kind[begin], string_hash(sums, inverse, begin, end - begin)
+
+
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+@functools.cache
+def _word_sets() -> list[np.ndarray]:
+    return [np.sort(_tokens(_points(names))[3]) for names in (NUMBER_WORDS, UNITS, UNITS_AFTER, PRONOUNS, COMMON)]
+
+
+def _among(h: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return words[np.minimum(np.searchsorted(words, h), len(words) - 1)] == h
 
 
 @dataclass
@@ -69,24 +129,25 @@ class Template:
         return np.flatnonzero(ok), h[ok]
 
 
-def canonical(texts: list[bytes]) -> Template:
-    raw = joined(texts)
-    low = _LOWER[raw]
-    after = np.r_[False, raw[:-1] == 0xC3]  # letters like É are 0xC3 and 0x80 to 0x9E in UTF-8, and 0x20 higher in lower case
-    upper = after & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)
-    low[upper] += 0x20
-    text, h, begin, end = words(texts, _SEPARATOR, low)
+def canonical(texts: list[str]) -> Template:
+    points = _points(texts)
+    begin, end, classes, h = _tokens(points)
     n = len(h)
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), begin, side="right")
     if not n:
         return Template(text, h, np.zeros(0, np.int8), h)
-    digits = np.cumsum(np.r_[0, (raw >= 48) & (raw <= 57)])
-    stops = np.cumsum(np.r_[0, _STOP[raw]])
-    opens = np.r_[True, (text[1:] != text[:-1]) | (stops[begin[1:]] > stops[end[:-1]])]
-    capital = ((raw[begin] >= 65) & (raw[begin] <= 90)) | upper[np.minimum(begin + 1, len(raw) - 1)]
-    kind = np.where(capital & ~opens, NAME, LITERAL).astype(np.int8)
-    kind[np.isin(h, _UNITS)] = UNIT
-    kind[(digits[end] - digits[begin] == end - begin) | np.isin(h, _NUMBERS)] = NUMBER
-    goes_on = np.r_[False, (kind[1:] == kind[:-1]) & (text[1:] == text[:-1]) & ((kind[1:] == NUMBER) | (kind[1:] == NAME))]
+    _, _, capitals, stop = _characters()
+    numbers, units, after, pronouns, common = _word_sets()
+    kind = np.zeros(n, np.int8)
+    kind[capitals[np.minimum(points[begin], _PLANES - 1)]] = NAME
+    kind[_among(h, common)] = LITERAL
+    kind[_among(h, pronouns)] = PRONOUN
+    kind[_among(h, units)] = UNIT
+    kind[(classes == DIGIT) | _among(h, numbers)] = NUMBER
+    kind[1:][(kind[:-1] == NUMBER) & (text[1:] == text[:-1]) & _among(h[1:], after)] = UNIT
+    stops = np.cumsum(np.r_[0, stop[np.minimum(points, _PLANES - 1)]])
+    opens = np.r_[True, (text[1:] != text[:-1]) | (stops[begin[1:]] > stops[end[:-1]]) & (begin[1:] > end[:-1] + 1)]
+    goes_on = np.r_[False, (kind[1:] == kind[:-1]) & ((kind[1:] == NUMBER) | (kind[1:] == NAME))] & ~opens
     first = np.flatnonzero(~goes_on)
     at = (np.arange(n) - np.repeat(first, np.diff(np.r_[first, n])) + 1).astype(np.uint64)
     value = np.add.reduceat(mix(h * at), first)
@@ -102,7 +163,7 @@ class Index:
     by_size: dict  # window size: sorted hashes, their first postings, postings (token) in the order of the hashes
 
     @staticmethod
-    def of(ids: list, texts: list[bytes]) -> Index:
+    def of(ids: list, texts: list[str]) -> Index:
         t = canonical(texts)
         tokens = np.bincount(t.text, minlength=len(ids))
         n_windows, by_size = np.zeros(len(ids), np.int64), {}
@@ -116,7 +177,7 @@ class Index:
             by_size[size] = keys, np.r_[start, len(h)], first[order]
         return Index(ids, t, n_windows, by_size)
 
-    def match(self, texts: list[bytes], covered: float, consistent: float):
+    def match(self, texts: list[str], covered: float, consistent: float):
         """(text, item, coverage, consistent share, whether every value is the same) of the leaks among these texts."""
         doc, item = canonical(texts), self.template
         parts = []
@@ -165,8 +226,8 @@ class Index:
             if len(chosen) < covered * n or key in tried or best and (len(chosen) / n, True, 1.0) <= best:
                 return
             tried.add(key)
-            same, share = self._values(doc, d[chosen], i[chosen], size[chosen])
-            if share >= consistent and (best is None or (len(chosen) / n, same, share) > best):
+            same, share, held = self._values(doc, d[chosen], i[chosen], size[chosen], consistent)
+            if held and (best is None or (len(chosen) / n, same, share) > best):
                 best = len(chosen) / n, same, share
 
         judge(first)
@@ -180,39 +241,47 @@ class Index:
                 break
         return best
 
-    def _values(self, doc: Template, d: np.ndarray, i: np.ndarray, size: np.ndarray) -> tuple[bool, float]:
-        """Whether every placeholder has the same value on both sides, and the share of them that map one to one."""
+    def _values(self, doc: Template, d: np.ndarray, i: np.ndarray, size: np.ndarray, consistent: float) -> tuple[bool, float, bool]:
+        """Whether every placeholder has the same value on both sides, the share of them (but for pronouns) that map one to one, and
+        whether enough of them do: names and units, and numbers, each for themselves."""
         span = np.concatenate([np.arange(s) for s in size])
         there = np.unique(np.c_[np.repeat(i, size) + span, np.repeat(d, size) + span], axis=0)
-        slots = there[self.template.kind[there[:, 0]] != LITERAL]
-        if not len(slots):
-            return True, 1.0
-        values = np.c_[self.template.value[slots[:, 0]], doc.value[slots[:, 1]]]
-        pairs = np.unique(values, axis=0)
+        kind = self.template.kind[there[:, 0]]
+        there, kind = there[kind != LITERAL], kind[kind != LITERAL]
+        same = self.template.value[there[:, 0]] == doc.value[there[:, 1]]
+        there, kind = there[kind != PRONOUN], kind[kind != PRONOUN]
+        if not len(there):
+            return bool(same.all()), 1.0, True
+        pairs, of = np.unique(np.c_[self.template.value[there[:, 0]], doc.value[there[:, 1]]], axis=0, return_inverse=True)
         _, x, nx = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
         _, y, ny = np.unique(pairs[:, 1], return_inverse=True, return_counts=True)
-        return bool((values[:, 0] == values[:, 1]).all()), float(((nx[x] == 1) & (ny[y] == 1)).mean())
+        single = (nx[x] == 1) & (ny[y] == 1)
+        kind_of = np.zeros(len(pairs), np.int8)
+        kind_of[of.ravel()] = kind
+        number = kind_of == NUMBER
+        held = all(not part.any() or single[part].mean() >= least for part, least in ((number, min(consistent, NUMBERS_CONSISTENT)), (~number, consistent)))
+        return bool(same.all()), float(single.mean()), bool(held)
 
 
-_OUT = "r1 int, r2 long, item_id long, coverage double, consistency double, exact boolean"
+_OUT = "r1 long, r2 long, item_id long, coverage double, consistency double, exact boolean"
 
 
-def _encoded(column) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
+def _texts(column) -> list[str]:
+    return [t or "" for t in column.to_pylist()]
 
 
 def _batch(rows) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["r1", "r2", "item_id", "coverage", "consistency", "exact"])
 
 
 def _by_broadcast(keyed: DataFrame, items: DataFrame, covered: float, consistent: float) -> DataFrame:
     rows = items.collect()  # within the limit
-    index = keyed.sparkSession.sparkContext.broadcast(Index.of([r["item_id"] for r in rows], [r["text"].encode("utf-8", "surrogatepass") for r in rows]))
+    index = keyed.sparkSession.sparkContext.broadcast(Index.of([r["item_id"] for r in rows], [r["text"] for r in rows]))
 
     def run(batches):
         for batch in batches:
-            for part in blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _encoded(batch.column(2))), lambda r: len(r[2])):
+            for part in blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2))), lambda r: len(r[2])):
                 found = index.value.match([p[2] for p in part], covered, consistent)
                 yield _batch([(part[k][0], part[k][1], index.value.ids[item], *rest) for k, item, *rest in found])
 
@@ -220,11 +289,13 @@ def _by_broadcast(keyed: DataFrame, items: DataFrame, covered: float, consistent
 
 
 def _by_shuffle(keyed: DataFrame, items: DataFrame, covered: float, consistent: float) -> DataFrame:
-    """Windows of both sides meet by hash; pairs that cover enough are then compared as texts."""
+    """Windows of both sides meet by hash; pairs that may cover enough are then compared as texts. An item of n windows that is found
+    lacks n - ceil(covered * n) of them at most, so one of its n - ceil(covered * n) + 1 rarest is there: common windows propose
+    nothing, however many documents and items hold them."""
 
     def of_items(batches):
         for batch in batches:
-            for part in blocks(zip(batch.column(0).to_pylist(), _encoded(batch.column(1))), lambda r: len(r[1])):
+            for part in blocks(zip(batch.column(0).to_pylist(), _texts(batch.column(1))), lambda r: len(r[1])):
                 index = Index.of([p[0] for p in part], [p[1] for p in part])
                 rows = [(int(h), size, k, index.ids[w], int(index.n_windows[w])) for size, (keys, start, post) in index.by_size.items() for j, h in enumerate(keys.view(np.int64)) for k in post[start[j] : start[j + 1]].tolist() for w in [int(index.template.text[k])]]
                 columns = list(zip(*rows)) or [()] * 5
@@ -236,22 +307,27 @@ def _by_shuffle(keyed: DataFrame, items: DataFrame, covered: float, consistent:
 
     def of_docs(batches):
         for batch in batches:
-            for part in blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _encoded(batch.column(2))), lambda r: len(r[2])):
+            for part in blocks(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2))), lambda r: len(r[2])):
                 t = canonical([p[2] for p in part])
                 for size in sizes:
                     first, h = t.windows(size)
                     of = np.unique(np.rec.fromarrays([t.text[first], h.view(np.int64)]))
                     text = of["f0"].tolist()
-                    yield pa.RecordBatch.from_arrays([pa.array(of["f1"]), pa.array([size] * len(text), pa.int32()), pa.array([part[k][0] for k in text], pa.int32()), pa.array([part[k][1] for k in text], pa.int64())], ["h", "size", "r1", "r2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(of["f1"]), pa.array([size] * len(text), pa.int32()), pa.array([part[k][0] for k in text], pa.int64()), pa.array([part[k][1] for k in text], pa.int64())], ["h", "size", "r1", "r2"])
 
-    ours = keyed.mapInArrow(of_docs, "h long, size int, r1 int, r2 long")
-    met = ours.join(theirs, ["h", "size"]).groupBy("r1", "r2", "item").agg(F.countDistinct("at").alias("c"), F.max("n").alias("n"))
-    pairs = met.filter(F.col("c") >= F.col("n") * covered).select("r1", "r2", "item")
+    with bloom_joins(keyed.sparkSession):
+        ours = keyed.mapInArrow(of_docs, "h long, size int, r1 long, r2 long").join(theirs.select("h", "size").distinct(), ["h", "size"])
+        ours = materialise(ours, "shared-windows")
+    spread = ours.groupBy("h", "size").agg(F.count(F.lit(1)).alias("df"))
+    by_rarity = Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "h", "at")  # the windows of one item
+    ranked = theirs.join(spread, ["h", "size"], "left").withColumn("rank", F.row_number().over(by_rarity))
+    rare = ranked.filter("df is not null").filter(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * covered) + 1).select("h", "size", "item").distinct()
+    pairs = ours.join(rare, ["h", "size"]).select("r1", "r2", "item").distinct()
 
     def compare(batches):
         for batch in batches:
             rows = []
-            for r1, r2, item_id, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), _encoded(batch.column(3)), _encoded(batch.column(4))):
+            for r1, r2, item_id, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), _texts(batch.column(3)), _texts(batch.column(4))):
                 rows += [(r1, r2, item_id, *rest) for _, _, *rest in Index.of([0], [b]).match([a], covered, consistent)]
             yield _batch(rows)
 

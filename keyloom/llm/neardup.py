@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, fresh_path, join_rows, materialise, own_columns, row_keyed, shown_id, whole_text
+from .common import fresh_path, join_rows, materialise, own_columns, row_keyed, shown_id, whole_text, without_id
 from .components import components
 from .hashing import blocks, mix, windows, words
 
@@ -141,7 +141,7 @@ def samples(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int, k
 
 
 def _signatures(weights):
-    names, kinds = ["r1", "r2", "node", "sig"], [pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+    names, kinds = ["r1", "r2", "node", "sig"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
 
     def run(batches):
         idf = weights.value
@@ -395,8 +395,8 @@ def _classes(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
     nodes, where equal texts are one; tables between the joins let Spark split large keys."""
     keyed = row_keyed(docs)
     weights = docs.sparkSession.sparkContext.broadcast(idf(docs))  # SLOTS floats
-    signed = materialise(keyed.select("r1", "r2", "text").mapInArrow(_signatures(weights), "r1 int, r2 long, node binary, sig array<int>"), "signatures")
-    first = lambda *more: F.min(F.struct((F.col("r1") >= NULL_ID).alias("last"), "r2", "r1", *more)).alias("x")
+    signed = materialise(keyed.select("r1", "r2", "text").mapInArrow(_signatures(weights), "r1 long, r2 long, node binary, sig array<int>"), "signatures")
+    first = lambda *more: F.min(F.struct(without_id().alias("last"), "r2", "r1", *more)).alias("x")
     nodes = materialise(signed.filter("node is not null").groupBy("node").agg(first("sig")).select("node", "x.r1", "x.r2", "x.sig"), "nodes")
     pairs, members = _candidates(nodes)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()

@@ -10,12 +10,11 @@
 4. The repeated starts go back to every document with that segment; covered bytes are removed.
 
 Defined results: a null text is empty; repeated rows repeat each other; a null doc_id is a value of its own; an empty table gives
-an empty result; extra columns are dropped. Two texts that share doc_id are told apart by a 64-bit hash.
+an empty result; extra columns are dropped. Two texts that share doc_id are told apart by 63 bits of a hash.
 """
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, join_rows, materialise, own_columns, row_keyed, spare
+from .common import bloom_joins, join_rows, materialise, own_columns, row_keyed, spare
 from .hashing import blocks, mix, prefix, string_hash
 from .suffixarray import repeated_starts
 
@@ -91,7 +90,7 @@ def _scan(length: int, gram: int):
             rows = ((a, b, piece, base) for a, b, t in zip(r1, r2, text) if len(t) * 4 >= length for base, piece in _pieces(t.encode("utf-8", "surrogatepass"), length))
             for part in blocks(rows, lambda r: len(r[2])):
                 of, start, size, key, content, again = _segments([p[2] for p in part], length, gram)
-                a, b = np.array([p[0] for p in part], np.int32), np.array([p[1] for p in part], np.int64)
+                a, b = np.array([p[0] for p in part], np.int64), np.array([p[1] for p in part], np.int64)
                 start = start + np.array([p[3] for p in part], np.int64)[of]
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(a[of]), pa.array(b[of]), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(again.astype(bool))], ["m", "sh", "r1", "r2", "start", "n", "again"])
 
@@ -234,7 +233,7 @@ def _digests(length: int):
                 data = text.encode("utf-8", "surrogatepass")
                 spans = _cover(runs, len(data), length)
                 kept = _outside(data, spans)
-                row = (r2 if r1 < NULL_ID else None, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+                row = (None if r1 & 1 else r2, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
                 for c, v in zip(columns, row):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -264,28 +263,12 @@ def _texts(length: int):
     return run
 
 
-@contextlib.contextmanager
-def _bloom_joins(spark):
-    """Joins drop rows by a Bloom filter of the smaller side before the shuffle; the filter's size is fixed by Spark's settings, and
-    if it fills up, it only drops less."""
-    name = "spark.sql.optimizer.runtime.bloomFilter."
-    put = {f"{name}applicationSideScanSizeThreshold": "0", f"{name}creationSideThreshold": str(1 << 40), f"{name}expectedNumItems": "4000000", f"{name}numBits": str(1 << 25)}
-    before = {k: spark.conf.get(k) for k in put}
-    try:
-        for k, v in put.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
-
-
 def repeated_runs(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(r1, r2, runs): the runs of repeated starts of each text that has any."""
-    found = keyed.mapInArrow(_scan(length, gram), "m long, sh long, r1 int, r2 long, start int, n int, again boolean")
+    found = keyed.mapInArrow(_scan(length, gram), "m long, sh long, r1 long, r2 long, start int, n int, again boolean")
     found = materialise(found, "segments")
     shared = materialise(found.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again")).filter("c > 1 or again").drop("again"), "keys")
-    with _bloom_joins(found.sparkSession):  # most segments have a key of their own and need not be dealt out
+    with bloom_joins(found.sparkSession):  # most segments have a key of their own and need not be dealt out
         candidates = materialise(found.drop("again").join(shared.filter("c > 0"), "m"), "candidates")
     one = candidates.groupBy("m", "sh").agg(F.count(F.lit(1)).alias("cnt"), F.max("c").alias("c"), F.min(F.struct("r1", "r2", "start", "n")).alias("at"))
     item = F.struct("m", "sh", F.col("at.start").alias("start"), F.col("at.n").alias("n"), "cnt", ((F.col("cnt") == F.col("c")) & (F.col("cnt") > 1)).alias("sole"))

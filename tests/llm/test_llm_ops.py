@@ -429,3 +429,134 @@ def test_decontamination_keeps_clean_rows(spark, odd, nothing):
     assert out.columns == odd.columns and out.count() == odd.filter(~odd["doc_id"].isin(list(leaked)) | odd["doc_id"].isNull()).count()
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontam.leaks(odd, empty).count() == 0 and decontam.remove(odd, empty).count() == odd.count() and decontam.remove(nothing, bench).count() == 0
+
+
+def plain_template(text):
+    """Tokens (code, kind, value) by the rules as the docstring states them, one character after another."""
+    import regex
+
+    alone = "%$€£°\u3040-\u30ff\u3400-\u9fff"
+    low = lambda w: "".join(c.lower() if len(c.lower()) == 1 else c for c in w)
+    found = [(m.group(), m.start(), m.end()) for m in regex.finditer(rf"[{alone}]|[^\W_\d{alone}]+(?:(?![{alone}])[\p{{L}}\p{{M}}\p{{Nl}}\p{{No}}])*|[\p{{M}}\p{{No}}]+|\d+", text, regex.V0)]
+    kinds = []
+    for k, (w, _, _) in enumerate(found):
+        kind = decontam.NAME if low(w[0]) != w[0] else decontam.LITERAL
+        kind = decontam.LITERAL if low(w) in decontam.COMMON else kind
+        kind = decontam.PRONOUN if low(w) in decontam.PRONOUNS else kind
+        kind = decontam.UNIT if low(w) in decontam.UNITS or kinds and kinds[-1] == decontam.NUMBER and low(w) in decontam.UNITS_AFTER else kind
+        kinds.append(decontam.NUMBER if w.isdecimal() or low(w) in decontam.NUMBER_WORDS else kind)
+    out = []
+    for k, ((w, a, b), kind) in enumerate(zip(found, kinds)):
+        gap = text[found[k - 1][2] : a] if k else ""
+        if k and kind == kinds[k - 1] and kind in (decontam.NUMBER, decontam.NAME) and not (len(gap) > 1 and set(gap) & set(decontam._STOPS)):
+            out[-1] = (out[-1][0], kind, out[-1][2] + (low(w),))
+        else:
+            out.append((low(w) if kind == decontam.LITERAL else kind, kind, (low(w),)))
+    return out
+
+
+def plain_leaks(docs, items):
+    def windows(t, size):
+        return [(k, tuple(x[0] for x in t[k : k + size])) for k in range(len(t) - size + 1) if sum(x[1] == decontam.LITERAL for x in t[k : k + size]) >= min(3, size)]
+
+    def values(item, doc, places, size):
+        slots = {(i + k, d + k) for i, d in places for k in range(size) if item[i + k][1] != decontam.LITERAL}
+        same = all(item[i][2] == doc[d][2] for i, d in slots)
+        pairs = {}
+        for i, d in sorted(slots):
+            if item[i][1] != decontam.PRONOUN:
+                pairs[item[i][2], doc[d][2]] = item[i][1]
+        left, right = Counter(a for a, _ in pairs), Counter(b for _, b in pairs)
+        single = {p: left[p[0]] == 1 and right[p[1]] == 1 for p in pairs}
+        share = lambda want: (lambda x: sum(x) / len(x) if x else 1.0)([v for p, v in single.items() if want(pairs[p])])
+        held = share(lambda k: k == decontam.NUMBER) >= 0.5 and share(lambda k: k != decontam.NUMBER) >= 0.8
+        return same, share(lambda k: True), held
+
+    found, seen = [], {}
+    for item_id, item_text in items:
+        item = plain_template(item_text)
+        size = min(len(item), 8)
+        wanted = windows(item, size) if size >= 3 else []
+        for doc_id, text in docs:
+            if (doc_id, size) not in seen:
+                places = defaultdict(list)
+                doc = plain_template(text or "")
+                for k, w in windows(doc, size) if size >= 3 else []:
+                    places[w].append(k)
+                seen[doc_id, size] = doc, places
+            doc, places = seen[doc_id, size]
+            met = [(i, places[w]) for i, w in wanted if w in places]
+            if not met or len(met) < 0.5 * len(wanted):
+                continue
+            ways = [[(i, d[0]) for i, d in met]]
+            for at in sorted({x - i for i, d in met for x in d}):
+                near = [(i, min(d, key=lambda x, i=i: (abs(x - i - at), x))) for i, d in met]
+                ways += [near, [(i, x) for i, x in near if abs(x - i - at) <= 8]]
+            best = None
+            for way in ways:
+                if len(way) >= 0.5 * len(wanted):
+                    same, share, held = values(item, doc, way, size)
+                    if held and (best is None or (len(way) / len(wanted), same, share) > best):
+                        best = len(way) / len(wanted), same, share
+            if best:
+                found.append((doc_id, item_id, best[0], best[2], best[1]))
+    return found
+
+
+def test_leaks_equal_the_whole_method_in_plain_python(spark):
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    leaks = [tuple(r) for r in decontam.leaks(docs, bench).collect()]
+    hit, rows = {r[0] for r in leaks}, texts(docs)
+    sample = [(i, t) for i, t in rows if i in hit or i % 9 == 0]
+    want = plain_leaks(sample, [(r["item_id"], r["text"]) for r in bench.collect() if r["text"]])
+    assert sorted(want) == sorted(leaks) and len(want) > 10
+
+
+ANNA = "{} has {} apples in a basket. {} gives {} apples to a friend and buys {} more at the market. How many apples does {} have now?".format
+ASKED = {
+    "anna": (ANNA("Anna", 12, "Anna", 3, 5, "Anna"), ANNA("Peter", 20, "Peter", 7, 9, "Peter"), ANNA("Anna", 15, "Peter", 4, 6, "Maria")),
+    "tom": ("Tom runs 5km in 20min and rests for 10% of the whole time before the way back home.", "Susan runs 8km in 35min and rests for 20% of the whole time before the way back home.", "Susan walks to the shop and rests on the way back home before the evening."),
+    "janet": (
+        "Janet's ducks lay 16 eggs per day. She eats three for breakfast every morning and bakes muffins for her friends every day with four. She sells the rest at the market for $2 per egg. How much does she make every day?",
+        "Robert's ducks lay 25 eggs per day. He eats five for breakfast every morning and bakes muffins for his friends every day with two. He sells the rest at the market for $3 per egg. How much does he make every day?",
+        "Robert sells eggs at the market for $3 each. How much does he make every day if the ducks lay 25 eggs?",
+    ),
+    "russian": ("Поезд выехал из города Москва в 9 часов и прошёл 300 километров за 5 часов. С какой скоростью он ехал всё это время?", "Поезд выехал из города Омск в 7 часов и прошёл 480 километров за 6 часов. С какой скоростью он ехал всё это время?", "Поезд стоял в городе Омск и долго ждал, пока все люди войдут и сядут на места у окна."),
+    "accents": ("Élodie achète 4 pommes au marché et donne 2 pommes à son ami Örjan avant le soir.", "Ägidius achète 9 pommes au marché et donne 5 pommes à son ami Łukasz avant le soir.", "Élodie va au marché avec son ami Örjan et rentre à la maison avant le soir."),
+}
+
+
+@pytest.mark.parametrize("options", [{}, {"limit": 0}])
+def test_questions_with_other_names_and_units(spark, options):
+    around = "Some words of a page come first. {} And other words of the page follow."
+    items = spark.createDataFrame([(k, v[0]) for k, v in enumerate(ASKED.values())], "item_id long, text string")
+    rows = [(10 * k + j, around.format(v[j])) for k, v in enumerate(ASKED.values()) for j in range(3)]
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items, **options).collect()}
+    assert got == {(10 * k + j, k): j == 0 for k in range(len(ASKED)) for j in range(2)}
+
+
+def test_templates_do_not_depend_on_the_place():
+    for item, *_ in ASKED.values():
+        alone, within = decontam.canonical([item]), decontam.canonical(["Anna und Peter. " + item + " Ja, Anna!"])
+        a, b = alone.code.tolist(), within.code.tolist()
+        assert any(b[k : k + len(a)] == a for k in range(len(b)))
+
+
+def test_rows_with_one_id_and_other_texts(spark):
+    """Texts that a 30-bit hash of the text takes for one."""
+    rows = [(1, "alpha beta gamma delta text number 149591"), (1, "alpha beta gamma delta text number 384672")]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    assert sorted(r["text"] for r in neardup.deduplicate(df).collect()) == [t for _, t in rows]
+    assert neardup.row_keyed(df).distinct().count() == 2
+    assert Counter(tuple(r) for r in suffixdedup.remove_repeats(df).collect()) == plain_removal(rows * 2, 200)
+
+
+def test_a_window_that_everything_shares(spark):
+    """Items and documents that all hold one passage propose no pairs by it."""
+    common = "this sentence stands in every single text of the table without any change at all"
+    own = lambda k: " ".join("w" + f"{k:02}{j:02}".translate(str.maketrans("0123456789", "abcdefghij")) for j in range(30))
+    docs = spark.createDataFrame([(k, f"{common} {own(k)}") for k in range(60)], "doc_id long, text string")
+    items = spark.createDataFrame([(k, f"{common} {own(k)}") for k in range(30)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs, items, limit=0).collect()}
+    assert got == {(k, k) for k in range(30)}
