@@ -1,22 +1,22 @@
 """Near-duplicate classes by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Shingles are five neighbouring lower-case words. Their document frequencies are counted over all documents in a fixed number
-   of hashed slots, as in the usual hashing TF-IDF; the weight is tf * (1 + ln((N + 1) / (df + 1)) / ln(slots)), so it is 1 to 2
-   times tf and shingles of a large group of copies keep their say.
+   of hashed slots, as in the usual hashing TF-IDF. The weight is tf * (1 + min(1, ln((N + 1) / (df + 1)) / ln(COMMON)) / 2): a shingle in
+   less than one of COMMON documents weighs 1.5 tf, one in all of them tf, so that shingles of a large group of copies keep their say. Other
+   shingles of a slot add about (shingles a document) / SLOTS of all documents to a frequency, whatever the size of the corpus.
 2. Each text gets `bands * rows` consistent weighted samples: two texts agree in one with the probability of their weighted
    Jaccard similarity. Equal texts are one node from here on.
-3. Texts that share a band are compared by their samples in blocks of a fixed size, and each block proposes a few spanning forests of
-   its best pairs. A key with more members than a block has them all compared with its middle, the member that agrees
-   most with a block; those that don't clearly agree go on under a key that holds one more sample. So pairs stay in proportion to members, and
-   chance meetings fall apart.
+3. Texts that share a band are compared by their samples in blocks of about a fixed size, and each block proposes a spanning forest of
+   its best pairs. All members of a key with several blocks are compared with its middle, the member that agrees most with a block.
 4. Every link is verified by the weighted Jaccard similarity of the whole texts; components of the links are the classes.
 5. The forests only save work. Where a key still holds members of several components, every pair of them that agrees in enough samples is
    compared too: members are dealt to blocks, each pair of blocks is a group with the texts of its open pairs, and a pair is left out only
-   when verified links already connect it.
+   when verified links already connect it. So which pairs are linked does not depend on how rows are dealt to tasks.
 
 Defined results: a text without a word (null and empty too) is no duplicate of anything; under five words the whole text is the
 shingle; repeated rows are one class; a null doc_id ranks last in its class and shows as null; an empty table gives an empty
-result; extra columns are dropped by `classes` and kept by `deduplicate`.
+result; extra columns are dropped by `classes` and kept by `deduplicate`. A very long text is hashed whole, in one task, with arrays
+over it. Of equal best samples of a text the shingle with the smaller hash is taken; a class is named by its smallest doc_id.
 """
 
 from __future__ import annotations
@@ -26,18 +26,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, join_rows, materialise, own_columns, row_keyed, shown_id, whole_text, without_id
+from .common import join_rows, materialise, own_columns, row_keyed, shown_id, whole_text, without_id
 from .components import components
 from .hashing import blocks, mix, windows, words
 
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 10, 3, 0.8
 SLOTS = 1 << 18
 PART = 1024
-#: Of BANDS * ROWS samples: a pair at 0.8 agrees in fewer than LEAST about once in a thousand; from SURE on a member of a large key
-#: needs no more company than its middle.
-LEAST, SURE = 17, 26
-#: Members of a key that are compared at once, and members of a block where all pairs of blocks are.
-MEMBERS, BLOCK = 64, 128
+COMMON = 64
+#: Of BANDS * ROWS samples a pair at 0.8 agrees in fewer than LEAST about once in a thousand.
+LEAST = 17
+#: Members of a key that are compared at once; members and bytes of text of a block where all pairs of blocks are.
+MEMBERS, BLOCK, BLOCK_BYTES = 64, 1024, 4 << 20
+#: Groups of partitions whose frequencies are added first.
+PARTS_AT_ONCE = 512
 
 
 def _gamma_table() -> np.ndarray:
@@ -93,18 +95,19 @@ def _frequencies(batches):
             seen = np.unique(text * SLOTS + _slot(h)) % SLOTS
             count += np.bincount(seen, minlength=SLOTS).astype(np.int32)
             n += len(part)
-    parts = [(i // PART, count[i : i + PART]) for i in range(0, SLOTS, PART) if count[i : i + PART].any()]
-    yield pa.RecordBatch.from_arrays([pa.array([-1, *[p for p, _ in parts]], pa.int32()), pa.array([np.array([n], np.int32).tobytes(), *[c.tobytes() for _, c in parts]], pa.binary())], ["part", "counts"])
+    parts = [(i // PART, count[i : i + PART].astype(np.int64)) for i in range(0, SLOTS, PART) if count[i : i + PART].any()]
+    yield pa.RecordBatch.from_arrays([pa.array([-1, *[p for p, _ in parts]], pa.int32()), pa.array([np.array([n], np.int64).tobytes(), *[c.tobytes() for _, c in parts]], pa.binary())], ["part", "counts"])
 
 
 def _add(key, table):
-    total = sum(np.frombuffer(b, np.int32).astype(np.int64) for b in table.column("counts").to_pylist())
+    total = sum(np.frombuffer(b, np.int64) for b in table.column("counts").to_pylist())
     return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def idf(docs: DataFrame) -> np.ndarray:
-    """SLOTS weights from the document frequencies of all documents; a vector of fixed size."""
+    """SLOTS weights from the document frequencies of all documents; a vector of fixed size. Partitions are added up in two steps."""
     rows = docs.select(whole_text().alias("text")).mapInArrow(_frequencies, "part int, counts binary")
+    rows = rows.withColumn("some", F.spark_partition_id() % PARTS_AT_ONCE).groupBy("some", "part").applyInArrow(lambda key, table: _add(key[1:], table), "part int, counts binary")
     rows = rows.groupBy("part").applyInArrow(_add, "part int, counts binary").collect()  # SLOTS / PART rows and one
     df, n = np.zeros(SLOTS), 0
     for r in rows:
@@ -112,7 +115,7 @@ def idf(docs: DataFrame) -> np.ndarray:
             n = int(np.frombuffer(r["counts"], np.int64)[0])
         else:
             df[r["part"] * PART : (r["part"] + 1) * PART] = np.frombuffer(r["counts"], np.int64)
-    return (1 + np.log((n + 1) / (df + 1)) / np.log(SLOTS)).astype(np.float32)
+    return (1 + np.minimum(1, np.log((n + 1) / (df + 1)) / np.log(COMMON)) / 2).astype(np.float32)
 
 
 def samples(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int, k: int) -> np.ndarray:
@@ -141,7 +144,7 @@ def samples(text: np.ndarray, h: np.ndarray, weight: np.ndarray, n_texts: int, k
 
 
 def _signatures(weights):
-    names, kinds = ["r1", "r2", "node", "sig"], [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
+    names, kinds = ["r1", "r2", "node", "size", "sig"], [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int32())]
 
     def run(batches):
         idf = weights.value
@@ -150,99 +153,86 @@ def _signatures(weights):
             for part in blocks(rows, lambda r: len(r[2])):
                 text, h, tf, nodes = shingles([p[2] for p in part])
                 sig = (samples(text, h, tf * idf[_slot(h)], len(part), BANDS * ROWS) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                columns = [[p[0] for p in part], [p[1] for p in part], nodes, list(sig)]
+                columns = [[p[0] for p in part], [p[1] for p in part], nodes, [len(p[2]) for p in part], list(sig)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return run
 
 
-def _forests(agree: np.ndarray, least: int, times: int = 3) -> list[tuple[int, int]]:
-    """Pairs that agree in `least` samples, best first, as edge-disjoint spanning forests: whatever hangs together by these pairs
-    still does if up to `times` - 1 of the pairs across any cut prove false, and the pairs stay in proportion to the members."""
+def _forest(agree: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Of the pairs that agree in `least` samples, best first, those that connect what is not connected yet."""
     i, j = np.nonzero(np.triu(agree >= least, 1))
     order = np.argsort(-agree[i, j], kind="stable")
-    left = list(zip(i[order].tolist(), j[order].tolist()))
-    out: list[tuple[int, int]] = []
-    for _ in range(times):
-        parent, rest = list(range(len(agree))), []
-
-        def root(x, parent=parent):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        for pair in left:
-            x, y = root(pair[0]), root(pair[1])
-            if x == y:
-                rest.append(pair)
-            else:
-                parent[x] = y
-                out.append(pair)
-        left = rest
+    parent, out = list(range(len(agree))), []
+
+    def root(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in zip(i[order].tolist(), j[order].tolist()):
+        x, y = root(a), root(b)
+        if x != y:
+            parent[x] = y
+            out.append((a, b))
     return out
 
 
-def _compare(batches):
-    """Rows come sorted by band and key. Members of a key are compared in blocks by their samples; of each block come its pairs, and
-    the member that agrees most with the others (the middle) where the key may have more blocks."""
+def _by_group(batches, n_columns: int, n_key: int, solve, most: int = 20_000):
+    """Rows come sorted by their first `n_key` columns; `solve` makes rows of those that share them."""
     held: list[tuple] = []
-    out: list[tuple] = []
-
-    def solve():
-        if len(held) > 1:
-            sig = np.array([h[3] for h in held])
-            agree = (sig[:, None] == sig[None]).sum(2)
-            for i, j in _forests(agree, LEAST):
-                out.append((*held[i][:3], held[j][2], 0, None))
-            middle = int(agree.sum(1).argmax())
-            out.append((*held[middle][:3], None, int(agree[middle].sum() * 1000 // len(held)), held[middle][3]))
-        elif held:
-            out.append((*held[0][:3], None, 0, held[0][3]))
-        held.clear()
-
-    def flush():
-        columns = list(zip(*out)) or [()] * 6
-        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int32())]
-        done = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["band", "key", "a", "b", "score", "sig"])
-        out.clear()
-        return done
-
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if held and (held[-1][:2] != row[:2] or len(held) == MEMBERS):
-                solve()
+        out = []
+        for row in zip(*(batch.column(k).to_pylist() for k in range(n_columns))):
+            if held and held[-1][:n_key] != row[:n_key]:
+                out += solve(held)
+                held = []
             held.append(row)
-        if len(out) > 20_000:
-            yield flush()
-    solve()
-    yield flush()
+            if len(out) > most:
+                yield out
+                out = []
+        yield out
+    yield solve(held) if held else []
+
+
+_PAIRS = ["band", "key", "a", "b", "score", "sig"]
+
+
+def _compare(batches):
+    """Rows come sorted by band, key and block. Of each block come the pairs of its forest, and the member that agrees most with the
+    others (the middle) where the key has more blocks."""
+
+    def solve(rows):
+        band, key, _, node, sig, blocks_of_key = rows[0]
+        sigs = np.array([r[4] for r in rows])
+        agree = (sigs[:, None] == sigs[None]).sum(2)
+        out = [(band, key, rows[i][3], rows[j][3], 0, None) for i, j in _forest(agree, LEAST)]
+        if blocks_of_key > 1:
+            middle = int(agree.sum(1).argmax())
+            out.append((band, key, rows[middle][3], None, int(agree[middle].sum() * 1000 // len(rows)), rows[middle][4]))
+        return out
+
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int32())]
+    for out in _by_group(batches, 6, 3, solve):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], _PAIRS)
 
 
 def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b) pairs of texts that may be similar, see step 3; and (band, key, node) of every key with two members or more."""
-    k, spark = BANDS * ROWS, nodes.sparkSession
     band = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]).alias("key")) for b in range(BANDS)]))
     signed = nodes.select("node", "sig")
-    left = signed.select("node", band.alias("x")).select("node", "x.band", "x.key")
-    out, step, members = fresh_path(spark, "candidates"), 0, None
-    while True:
-        shared = materialise(left.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "keys")
-        met = materialise(left.join(shared, ["band", "key"]).join(signed, "node").select("band", "key", "node", "sig", "c"), "met")
-        members = members or met.select("band", "key", "node")
-        spread = met.select("band", "key", "node", "sig").repartitionByRange("band", "key", "node").sortWithinPartitions("band", "key", "node")
-        found = materialise(spread.mapInArrow(_compare, "band int, key long, a binary, b binary, score int, sig array<int>"), "pairs")
-        found.filter("b is not null").select("a", "b").write.mode("append").parquet(out)
-        middle = materialise(found.filter("b is null").groupBy("band", "key").agg(F.max(F.struct("score", F.col("a").alias("node"), "sig")).alias("mid")), "middles")
-        large = met.filter(F.col("c") > MEMBERS).join(middle, ["band", "key"]).filter(F.col("node") != F.col("mid.node"))
-        agree = F.aggregate(F.zip_with("sig", "mid.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        large = materialise(large.select("band", "key", "node", F.col("mid.node").alias("mid"), agree.alias("agree"), "sig"), "large")
-        large.filter(F.col("agree") >= LEAST).select(F.col("node").alias("a"), F.col("mid").alias("b")).write.mode("append").parquet(out)
-        rest = large.filter(F.col("agree") < SURE)
-        if step >= k - ROWS or rest.isEmpty():
-            return spark.read.parquet(out).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), members
-        extra = F.element_at("sig", (F.col("band") * ROWS + ROWS + step) % k + 1)
-        left = rest.select("node", "band", F.xxhash64("key", extra).alias("key"))
-        step += 1
+    each = signed.select("node", band.alias("x")).select("node", "x.band", "x.key")
+    shared = materialise(each.groupBy("band", "key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "keys")
+    met = each.join(shared, ["band", "key"]).join(signed, "node").withColumn("n", F.ceil(F.col("c") / MEMBERS))
+    met = materialise(met.withColumn("block", F.pmod(F.xxhash64("node"), "n")).select("band", "key", "block", "node", "sig", "n"), "met")
+    spread = met.repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "node")
+    found = materialise(spread.mapInArrow(_compare, "band int, key long, a binary, b binary, score int, sig array<int>"), "pairs")
+    middle = found.filter("b is null").groupBy("band", "key").agg(F.max(F.struct("score", F.col("a").alias("node"), "sig")).alias("mid"))
+    large = met.filter("n > 1").join(middle, ["band", "key"]).filter(F.col("node") != F.col("mid.node"))
+    agree = F.aggregate(F.zip_with("sig", "mid.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    stars = large.filter(agree >= LEAST).select(F.col("node").alias("a"), F.col("mid.node").alias("b"))
+    pairs = found.filter("b is not null").select("a", "b").unionByName(stars)
+    return materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates"), met.select("band", "key", "node")
 
 
 def weighted_jaccard(a: bytes, b: bytes, idf: np.ndarray) -> float:
@@ -270,16 +260,17 @@ ONE, FIRST, SECOND = range(3)
 
 
 def _groups(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(gid, band, side, node, root): members of keys that hold several components, in groups of one or two blocks, so that any two
-    of different components meet. A component of over half a block has blocks of its own, which needn't meet each other."""
+    """(gid, band, side, node, root): members (with their size in bytes) of keys that hold several components, in groups of one or two
+    blocks, so that any two of different components meet. A component of over half a block has blocks of its own, which needn't meet
+    each other."""
     ours = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = ours.groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("n"))
-    small = F.coalesce(F.sum(F.when(F.col("n") <= BLOCK // 2, F.col("n"))), F.lit(0)).alias("small")
+    sizes = ours.groupBy("band", "key", "root").agg(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("size") / BLOCK_BYTES).alias("full"))
+    small = F.coalesce(F.sum(F.when(F.col("full") <= 0.5, F.col("full"))), F.lit(0.0)).alias("small")
     several = sizes.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n_roots"), small).filter("n_roots > 1").drop("n_roots")
-    own = F.col("n") > BLOCK // 2
-    slot = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / BLOCK))
+    own = F.col("full") > 0.5
+    slot = lambda c, n: F.pmod(F.xxhash64(c), F.greatest(F.ceil(F.col(n)), F.lit(1)))
     dealt = ours.join(sizes.join(several, ["band", "key"]), ["band", "key", "root"]).select(
-        "band", "key", "node", "root", F.when(own, F.col("root")).otherwise(F.lit(b"")).alias("home"), F.when(own, slot("node", "n")).otherwise(slot("root", "small")).alias("slot")
+        "band", "key", "node", "root", F.when(own, F.col("root")).otherwise(F.lit(b"")).alias("home"), F.when(own, slot("node", "full")).otherwise(slot("root", "small")).alias("slot")
     )
     dealt = materialise(dealt, "dealt")
     block = dealt.groupBy("band", "key").agg(F.collect_set(F.struct("home", "slot")).alias("b"))
@@ -292,29 +283,21 @@ def _groups(members: DataFrame, roots: DataFrame) -> DataFrame:
     return dealt.join(sides, ["band", "key", "home", "slot"]).select("gid", "band", "side", "node", "root")
 
 
-def _open(sig: np.ndarray, roots: np.ndarray, side: np.ndarray, band: int) -> np.ndarray:
+def _open(sig: np.ndarray, roots: np.ndarray, side: np.ndarray, band: int, rows: int = 64) -> np.ndarray:
     """Which pairs of a group are to be compared: enough samples agree, their components differ, and no earlier band has both."""
-    same = sig[:, None] == sig[None]
-    wanted = (same.sum(2) >= LEAST) & (roots[:, None] != roots[None]) & ((side[:, None] != side[None]) | (side == ONE))
-    earlier = same[:, :, : band * ROWS].reshape(len(sig), len(sig), band, ROWS).all(3).any(2)
-    return wanted & ~earlier
-
-
-def _by_group(batches, names: list[str], solve, most: int = 20_000):
-    """Rows come sorted by their first column; `solve` makes rows of those that share it."""
-    held: list[tuple] = []
-    for batch in batches:
-        out = []
-        for row in zip(*(batch.column(k).to_pylist() for k in range(len(names)))):
-            if held and held[-1][0] != row[0]:
-                out += solve(held)
-                held = []
-            held.append(row)
-            if len(out) > most:
-                yield out
-                out = []
-        yield out
-    yield solve(held) if held else []
+    n, columns = len(sig), np.ascontiguousarray(sig.T)
+    wanted = np.zeros((n, n), bool)
+    for at in range(0, n, rows):
+        part = slice(at, min(n, at + rows))
+        agree, earlier = np.zeros((part.stop - at, n), np.int8), np.zeros((part.stop - at, n), bool)
+        for b in range(len(columns) // ROWS):
+            same = [c[part, None] == c[None] for c in columns[b * ROWS : (b + 1) * ROWS]]
+            for x in same:
+                agree += x
+            if b < band:
+                earlier |= np.logical_and.reduce(same)
+        wanted[part] = (agree >= LEAST) & ~earlier & (roots[part, None] != roots[None]) & ((side[part, None] != side[None]) | (side[None] == ONE))
+    return wanted
 
 
 _GROUP = ["gid", "band", "side", "node", "root", "sig"]
@@ -332,10 +315,10 @@ def _with_open_pairs(batches):
         if len(rows) < 2:
             return []
         left = _mates(rows)[0]
-        return [r[:5] for r, k in zip(rows, (left | left.T).any(1)) if k]
+        return [r[:5] for r, k in zip(rows, left.any(1) | left.any(0)) if k]
 
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    for out in _by_group(batches, _GROUP, solve):
+    for out in _by_group(batches, len(_GROUP), 1, solve):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 5, kinds)], _GROUP[:5])
 
 
@@ -347,13 +330,17 @@ def _links(texts: list[bytes], wanted: np.ndarray, roots: np.ndarray, idf: np.nd
     start, total = np.searchsorted(text, np.arange(len(texts) + 1)), np.bincount(text, w, len(texts))
     weight, roots, out = np.zeros(len(vocabulary)), roots.copy(), []
     for i in range(len(texts)):
-        others = np.flatnonzero(wanted[i] & (roots != roots[i]))
-        others = others[others > i]
+        others = np.flatnonzero(wanted[i, i + 1 :] & (roots[i + 1 :] != roots[i])) + i + 1
+        fits = np.minimum(total[others], total[i]) >= least * np.maximum(total[others], total[i])  # or they can't be similar
+        others = others[fits]
         if not len(others):
             continue
         mine = slice(start[i], start[i + 1])
         weight[at[mine]] = w[mine]
-        low = np.bincount(text, np.minimum(w, weight[at]), len(texts))[others]
+        size = start[others + 1] - start[others]
+        first = np.cumsum(size) - size
+        where = np.repeat(start[others] - first, size) + np.arange(size.sum())
+        low = np.add.reduceat(np.minimum(w[where], weight[at[where]]), first)
         weight[at[mine]] = 0
         for j in others[low >= least * (total[i] + total[others] - low)]:
             if roots[i] != roots[j]:
@@ -369,7 +356,7 @@ def _verified(weights, least: float):
 
     def run(batches):
         coded = (pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(_encoded(b.column(6)), pa.binary())], [*_GROUP, "text"]) for b in batches)
-        for out in _by_group(coded, [*_GROUP, "text"], solve):
+        for out in _by_group(coded, len(_GROUP) + 1, 1, solve):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out)] or [pa.array([], pa.binary())] * 2, ["a", "b"])
 
     return run
@@ -378,9 +365,9 @@ def _verified(weights, least: float):
 def _completed(keyed: DataFrame, nodes: DataFrame, members: DataFrame, links: DataFrame, weights, similar: float) -> DataFrame:
     """(node, root): components of `links` and of the similar pairs that these don't connect; see step 5."""
     roots = components(links)
-    sorted_groups = lambda df: df.repartition("gid").sortWithinPartitions("gid")
+    sorted_groups = lambda df: df.repartition("gid").sortWithinPartitions("gid", "node")
     sig = nodes.select("node", "sig")
-    rows = _groups(members, roots).join(sig, "node").select(*_GROUP)
+    rows = _groups(members.join(nodes.select("node", "size"), "node"), roots).join(sig, "node").select(*_GROUP)
     left = materialise(sorted_groups(rows).mapInArrow(_with_open_pairs, "gid long, band int, side int, node binary, root binary"), "open")
     wanted = nodes.join(left.select("node").distinct(), "node").select("node", "sig", "r1", "r2")
     texts = materialise(keyed.join(wanted, ["r1", "r2"]).select("node", "sig", "text").dropDuplicates(["node"]), "open-texts")
@@ -395,9 +382,9 @@ def _classes(docs: DataFrame, similar: float) -> tuple[DataFrame, DataFrame]:
     nodes, where equal texts are one; tables between the joins let Spark split large keys."""
     keyed = row_keyed(docs)
     weights = docs.sparkSession.sparkContext.broadcast(idf(docs))  # SLOTS floats
-    signed = materialise(keyed.select("r1", "r2", "text").mapInArrow(_signatures(weights), "r1 long, r2 long, node binary, sig array<int>"), "signatures")
+    signed = materialise(keyed.select("r1", "r2", "text").mapInArrow(_signatures(weights), "r1 long, r2 long, node binary, size int, sig array<int>"), "signatures")
     first = lambda *more: F.min(F.struct(without_id().alias("last"), "r2", "r1", *more)).alias("x")
-    nodes = materialise(signed.filter("node is not null").groupBy("node").agg(first("sig")).select("node", "x.r1", "x.r2", "x.sig"), "nodes")
+    nodes = materialise(signed.filter("node is not null").groupBy("node").agg(first("size", "sig")).select("node", "x.r1", "x.r2", "x.size", "x.sig"), "nodes")
     pairs, members = _candidates(nodes)
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = nodes.select("node", "r1", "r2").join(ends, "node", "left_semi")
