@@ -180,6 +180,8 @@ def permuted_common_prefixes(t: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray,
 
 def repeated_starts(segments: list[bytes], length: int) -> list[np.ndarray]:
     """For each segment, a mask over its starts: whether the `length` bytes from there also start anywhere else in these segments."""
+    if not segments:
+        return []
     sizes = np.array([len(s) for s in segments])
     data = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64) + 2
     ends = np.cumsum(sizes)

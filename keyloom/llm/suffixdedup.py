@@ -3,14 +3,17 @@
 1. Each start of a `length`-byte string is keyed by the smallest hash among the grams inside it, so equal strings have equal
    keys wherever they are; runs of starts with one key are segments. A key of one segment, whose gram that segment holds
    once, can have no repeat.
-2. Segments of the other keys are counted by content, so that copies cost one segment, and one of each is cut from its text;
-   neighbouring segments whose keys have no other content are cut as one string.
+2. Segments of the other keys are counted by content. One with copies is repeated as a whole: if its key holds no other content nothing
+   more is asked, its copies cost no suffix array. One of each other content is cut from its text.
 3. Segments with one key meet in one shard, whose suffix array (induced sorting) and permuted common prefixes tell which starts
-   are repeated. Keys with very many segments are split by the string's own hash, which is counted.
-4. The repeated starts go back to every document with that segment; covered bytes are removed.
+   are repeated. Keys with very many segments are split by two 64-bit hashes of each string, which are counted.
+4. The repeated starts go back to every document with that segment; covered bytes are removed. Where copies were found by their 64-bit
+   content hash within their 64-bit key, each copy's own bytes must have the 128-bit BLAKE2 digest of the one that was looked at, or the
+   job stops.
 
 Defined results: a null text is empty; repeated rows repeat each other; a null doc_id is a value of its own; an empty table gives
-an empty result; extra columns are dropped. Two texts that share doc_id are told apart by 63 bits of a hash.
+an empty result; extra columns are dropped. Two texts that share doc_id are told apart by 63 bits of a hash. A very long text is hashed
+and cut in pieces; a string that is repeated anywhere is removed everywhere, none is kept as the first.
 """
 
 from __future__ import annotations
@@ -36,6 +39,9 @@ PIECE = 1 << 20
 RUN = 4096
 #: A key with more segments than this is split by the hash of each string.
 HOT = 4096
+#: Other values of bytes, for a second hash that shares no collisions with the first.
+_OTHER = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
+
 
 def _segments(texts: list[bytes], length: int, gram: int):
     """(text, start, starts, key, content hash, whether the key's gram is there again) arrays over texts that are hashed together."""
@@ -97,62 +103,56 @@ def _scan(length: int, gram: int):
     return run
 
 
-_PIECES = pa.list_(pa.struct([("m", pa.int64()), ("sh", pa.int64()), ("n", pa.int32()), ("cnt", pa.int64())]))
-
-
-def _strings(items: list[dict]):
-    """(start, pieces): segments with one content that follow each other are one string, so their overlap is sorted once."""
-    found: list[tuple[int, list[dict]]] = []
-    end, open_ = -1, False
-    for x in sorted(items, key=lambda x: x["start"]):
-        if open_ and x["sole"] and x["start"] == end:
-            found[-1][1].append(x)
-        else:
-            found.append((x["start"], [x]))
-        end, open_ = x["start"] + x["n"], x["sole"]
-    return found
-
-
 def _rows_once(batches):
     """(text, items) of each row; a repeated row is left out, as its strings are counted already."""
-    last = None
+    seen = set()
     for batch in batches:
         for r1, r2, text, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            if (r1, r2) != last:
+            if (r1, r2) not in seen:
+                seen.add((r1, r2))
                 yield text.as_py().encode("utf-8", "surrogatepass"), items.as_py()
-            last = r1, r2
+
+
+def _digest(data: bytes) -> tuple[int, int]:
+    both = hashlib.blake2b(data, digest_size=16).digest()
+    return int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
 
 
 def _cut(length: int):
-    """Of each text its wanted strings."""
-    names, kinds = ["key", "pieces", "bytes"], [pa.int64(), _PIECES, pa.binary()]
+    """Of each text its wanted segments: their bytes, and their digest where they have copies; without bytes where they need no array."""
+    names, kinds = ["m", "sh", "n", "d1", "d2", "bytes"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def run(batches):
         def strings():
             for data, items in _rows_once(batches):
-                for start, pieces in _strings(items):
-                    yield pieces[0]["m"], pieces, data[start : start + sum(x["n"] for x in pieces) + length - 1]
+                for x in items:
+                    string = data[x["start"] : x["start"] + x["n"] + length - 1]
+                    yield x["m"], x["sh"], x["n"], *(_digest(string) if x["cnt"] > 1 else (None, None)), None if x["sole"] else string
 
-        for part in blocks(strings(), lambda s: len(s[2]), 4 * BLOCK):
+        for part in blocks(strings(), lambda s: len(s[5] or b"") + 32, 4 * BLOCK):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names)
 
     return run
 
 
 def _hash_strings(length: int):
-    """Of each text's wanted segments the hash of every string."""
-    names, kinds = ["key", "m", "sh", "off", "cnt"], [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    """Of each text's wanted segments two hashes of every string."""
+    names, kinds = ["key", "also", "m", "sh", "off", "cnt"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def run(batches):
         def strings():
             for data, items in _rows_once(batches):
                 for x in items:
-                    sums, inverse = prefix(np.frombuffer(data[x["start"] : x["start"] + x["n"] + length - 1], np.uint8))
-                    keys = string_hash(sums, inverse, np.arange(x["n"]), length).view(np.int64).tolist()
-                    yield from ((k, x["m"], x["sh"], i, x["cnt"]) for i, k in enumerate(keys))
+                    own = np.frombuffer(data[x["start"] : x["start"] + x["n"] + length - 1], np.uint8)
+                    first, second = (string_hash(*prefix(p), np.arange(x["n"]), length).view(np.int64) for p in (own, _OTHER[own]))
+                    yield first, second, x
 
-        for part in blocks(strings(), lambda s: 8, BLOCK):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names)
+        for part in blocks(strings(), lambda s: 8 * len(s[0]), BLOCK):
+            columns = [np.concatenate([s[0] for s in part]), np.concatenate([s[1] for s in part])]
+            n = [s[2]["n"] for s in part]
+            columns += [np.repeat([s[2][c] for s in part], n) for c in ("m", "sh")]
+            columns += [np.concatenate([np.arange(k) for k in n]), np.repeat([s[2]["cnt"] for s in part], n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if k == pa.int32() else c, k) for c, k in zip(columns, kinds)], names)
 
     return run
 
@@ -162,36 +162,43 @@ def _runs(mask: np.ndarray):
     return edge[::2].tolist(), (edge[1::2] - edge[::2]).tolist()
 
 
+def _joined_runs(batches):
+    """Runs of the offsets that follow each other."""
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    for batch in batches:
+        out = []
+        for m, sh, offs in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            mask = np.zeros(max(offs) + 1, bool)
+            mask[offs] = True
+            out += [(m, sh, off, n, None, None) for off, n in zip(*_runs(mask))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], ["m", "sh", "off", "n", "d1", "d2"])
+
+
 def _shards(length: int):
-    """Rows come sorted by key. Whole keys gather until a shard is full; its suffix array answers for all of them."""
-    names, kinds = ["m", "sh", "off", "n"], [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    """Rows come sorted by key. Whole keys gather until a shard is full; its suffix array answers for all of them. Segments with copies
+    are repeated as a whole and keep their digest; those without bytes only pass."""
+    names, kinds = ["m", "sh", "off", "n", "d1", "d2"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
 
     def shards(batches):
         shard, held, last = [], 0, None
         for batch in batches:
-            for key, pieces, data in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if key != last and held >= SHARD:
+            for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                if row[0] != last and (held >= SHARD or len(shard) >= SHARD // 32):
                     yield shard
                     shard, held = [], 0
-                shard.append((pieces, data))
-                held, last = held + len(data), key
+                shard.append(row)
+                held, last = held + len(row[5] or b""), row[0]
         if shard:
             yield shard
 
     def run(batches):
         for shard in shards(batches):
-            out: list[list] = [[] for _ in names]
-            for (pieces, _), mask in zip(shard, repeated_starts([s[1] for s in shard], length)):
-                at = 0
-                for x in pieces:
-                    own = mask[at : at + x["n"]]
-                    at += x["n"]
-                    if x["cnt"] > 1:
-                        own[:] = True
-                    for off, n in zip(*_runs(own)):
-                        for c, v in zip(out, (x["m"], x["sh"], off, n)):
-                            c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names)
+            masks = iter(repeated_starts([s[5] for s in shard if s[5] is not None], length))
+            out: list[tuple] = []
+            for m, sh, n, d1, d2, data in shard:
+                mask = None if data is None else next(masks)
+                out += [(m, sh, 0, n, d1, d2)] if d1 is not None else [(m, sh, off, k, None, None) for off, k in zip(*_runs(mask))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 6, kinds)], names)
 
     return run
 
@@ -199,7 +206,7 @@ def _shards(length: int):
 def _cover(runs, size: int, length: int) -> list[tuple[int, int]]:
     """Maximal (begin, end) of bytes covered by strings that start in `runs`."""
     found: list[tuple[int, int]] = []
-    for start, n in sorted((r["s"], r["n"]) for r in runs or ()):
+    for start, n in sorted({(r["s"], r["n"]) for r in runs or ()}):
         end = min(size, start + n + length - 1)
         if found and start <= found[-1][1]:
             found[-1] = (found[-1][0], max(found[-1][1], end))
@@ -208,6 +215,14 @@ def _cover(runs, size: int, length: int) -> list[tuple[int, int]]:
     return found
 
 
+def _checked(data: bytes, runs, length: int):
+    """`runs`, whose copied segments have the bytes that they should have."""
+    for r in runs or ():
+        if r["d1"] is not None and _digest(data[r["s"] : r["s"] + r["n"] + length - 1]) != (r["d1"], r["d2"]):
+            raise ValueError("two segments of other bytes share a 64-bit hash within one key")
+    return runs
+
+
 def _inward(data: bytes, begin: int, end: int) -> tuple[int, int]:
     """The whole characters between these bytes."""
     while begin < end and data[begin] & 0xC0 == 0x80:
@@ -231,7 +246,7 @@ def _digests(length: int):
             columns: list[list] = [[] for _ in names]
             for r1, r2, text, runs in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 data = text.encode("utf-8", "surrogatepass")
-                spans = _cover(runs, len(data), length)
+                spans = _cover(_checked(data, runs, length), len(data), length)
                 kept = _outside(data, spans)
                 row = (None if r1 & 1 else r2, len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
                 for c, v in zip(columns, row):
@@ -251,7 +266,7 @@ def _texts(length: int):
             for text, runs in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
                 if runs:
                     data = text.encode("utf-8", "surrogatepass")
-                    text = _outside(data, [_inward(data, *s) for s in _cover(runs, len(data), length)]).decode("utf-8", "surrogatepass")
+                    text = _outside(data, [_inward(data, *s) for s in _cover(_checked(data, runs, length), len(data), length)]).decode("utf-8", "surrogatepass")
                 left.append(text)
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(left, pa.string())
@@ -274,13 +289,15 @@ def repeated_runs(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     item = F.struct("m", "sh", F.col("at.start").alias("start"), F.col("at.n").alias("n"), "cnt", ((F.col("cnt") == F.col("c")) & (F.col("cnt") > 1)).alias("sole"))
     one = one.select(F.col("at.r1").alias("r1"), F.col("at.r2").alias("r2"), item.alias("item"), (F.col("c") > HOT).alias("hot"))
     wanted = lambda which: keyed.join(one.filter(which).groupBy("r1", "r2").agg(F.collect_list("item").alias("items")), ["r1", "r2"]).select("r1", "r2", "text", "items")
-    cut = wanted("not hot").mapInArrow(_cut(length), "key long, pieces array<struct<m:long,sh:long,n:int,cnt:long>>, bytes binary")
-    repeated = cut.repartition("key").sortWithinPartitions("key").mapInArrow(_shards(length), "m long, sh long, off int, n int")
-    strings = materialise(wanted("hot").mapInArrow(_hash_strings(length), "key long, m long, sh long, off int, cnt long"), "strings")
-    again = strings.groupBy("key", "m").agg(F.sum("cnt").alias("c")).filter("c > 1").select("key", "m")
-    repeated = repeated.unionByName(strings.join(again, ["key", "m"], "left_semi").select("m", "sh", "off", F.lit(1).alias("n")))
+    cut = wanted("not hot").mapInArrow(_cut(length), "m long, sh long, n int, d1 long, d2 long, bytes binary")
+    repeated = cut.repartition("m").sortWithinPartitions("m").mapInArrow(_shards(length), "m long, sh long, off int, n int, d1 long, d2 long")
+    strings = materialise(wanted("hot").mapInArrow(_hash_strings(length), "key long, also long, m long, sh long, off int, cnt long"), "strings")
+    again = strings.groupBy("key", "also", "m").agg(F.sum("cnt").alias("c")).filter("c > 1").select("key", "also", "m")
+    offsets = strings.join(again, ["key", "also", "m"], "left_semi").groupBy("m", "sh").agg(F.collect_set("off").alias("offs"))  # RUN at most
+    repeated = repeated.unionByName(offsets.mapInArrow(_joined_runs, "m long, sh long, off int, n int, d1 long, d2 long"))
     back = candidates.select("m", "sh", "r1", "r2", "start").join(repeated, ["m", "sh"])
-    return back.groupBy("r1", "r2").agg(F.collect_list(F.struct((F.col("start") + F.col("off")).alias("s"), F.col("n").alias("n"))).alias("runs"))
+    run = F.struct((F.col("start") + F.col("off")).alias("s"), F.col("n").alias("n"), "d1", "d2")
+    return back.groupBy("r1", "r2").agg(F.collect_set(run).alias("runs"))  # a row that is repeated has its runs once
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
