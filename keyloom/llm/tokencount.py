@@ -5,7 +5,8 @@ with array operations, in any order; a running maximum over the blocks' last sep
 place where its first document began, however many blocks that document fills.
 
 Defined results: a null or empty text has 0 tokens; repeated rows are each counted; a null doc_id is carried along; text that
-spells a special token is ordinary text, so the separator stands only between documents; extra columns are dropped.
+spells a special token is ordinary text, so the separator stands only between documents; extra columns are dropped; an empty table
+gives an empty result. A very long text fills several blocks and files' worth of ids; it is encoded whole, in one task.
 """
 
 from __future__ import annotations
@@ -90,4 +91,5 @@ def count(docs: DataFrame) -> DataFrame:
     written = materialise(write_tokens(docs, folder), "documents-of-tokens")
     files = written.filter("ordinal = -1").select("file", F.col("value").alias("n_ids"))
     counts = scan(folder, files)
-    return written.filter("ordinal >= 0").select("file", "ordinal", F.col("value").alias("doc_id")).join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "start")
+    # a row per document on both sides: merged, never broadcast
+    return written.filter("ordinal >= 0").select("file", "ordinal", F.col("value").alias("doc_id")).join(counts.hint("merge"), ["file", "ordinal"]).select("doc_id", "n_tokens", "start")
