@@ -3,7 +3,8 @@ go, and a document that loses too much of its text is rejected. Only built-in ex
 
 Defined results: a null text counts as empty (all counts 0, base_failed, not kept); blank lines are neither judged nor
 counted; a null doc_id is carried along; repeated rows are each judged; extra columns are kept by `clean` and
-dropped by `measure`.
+dropped by `measure`. A very long text or line is judged whole, within one row; every line pattern is linear in the line. Windows of words
+that occur equally often all count, each word once.
 """
 
 from __future__ import annotations
@@ -18,17 +19,26 @@ from .common import bind, own_columns, spare, whole_text
 
 SPACES = r"[\x09-\x0D\x20]+"
 NOT_SPACE = r"[^\x09-\x0D\x20]"
-#: A line has to end in one of these, closing quotes and brackets may follow.
-TERMINAL = r"""[.!?:;…。！？][\x22')\]»”’*#$%&]*$"""
-CLOSERS = r"""^[\x22')\]»”’*#$%&]+$"""
-#: Four or more items in a row divided by single bars or arrows, and four or more words in a row that end in doubled exclamation marks.
-#: Only lines with so many marks are searched; a search starts at the first mark, so it doesn't go back.
+#: A line has to end in one of these, closing quotes, brackets and white space may follow: stops of many scripts, and the letters of
+#: Thai and Lao, which are written without stops.
+STOPS = ".!?:;…。！？．｡；：।॥؟۔՞։።፧၊။៕ก-໿"
+CLOSING = r"\x22')\]»”’›）」』】》*#$%&"
+TERMINAL = f"[{STOPS}][{CLOSING}]*$"
+CLOSERS = f"^[{CLOSING}]+$"
+BLANKS = " \t\x0b\x0c\r"
+#: Four or more items in a row divided by single bars, dots or arrows, and four or more words in a row that end in doubled exclamation
+#: marks. Only lines with so many marks are searched; a search starts at the first mark, so it doesn't go back. A » divides nothing in
+#: lines that also hold «.
 ITEMS = 4
-NAVIGATION = r"[^|»][|»]([^|»]+[|»]){3}"
+DIVIDERS = "|›·•"
+NAVIGATION = f"[^{DIVIDERS}»][{DIVIDERS}»]([^{DIVIDERS}»]+[{DIVIDERS}»]){{3}}"
+NAVIGATION_OF_QUOTES = f"[^{DIVIDERS}][{DIVIDERS}]([^{DIVIDERS}]+[{DIVIDERS}]){{3}}"
 SHOUTING = r"[^\x09-\x0D\x20]!!(\x20|$)([^\x09-\x0D\x20]+!!(\x20|$)){3}"
 BOILERPLATE = (
     "all rights reserved", "licensed under", "released under", "terms of use", "terms of service", "privacy policy",
     "accept cookies", "accept all cookies", "enable javascript", "lorem ipsum", "click here", "subscribe to our", "sign up for our",
+    "alle rechte vorbehalten", "datenschutzerklärung", "cookies akzeptieren", "tous droits réservés", "politique de confidentialité", "accepter les cookies",
+    "todos los derechos reservados", "política de privacidad", "aceptar cookies", "aceptar las cookies", "все права защищены", "版权所有", "無断転載",
 )
 
 
@@ -67,17 +77,19 @@ def _repeat_words(words: Column) -> Column:
 
 
 def _line_keeps(line: Column, rules: QualityRules) -> Column:
-    size, low = F.length(line), F.lower(line)
-    marks = F.length(F.regexp_replace(line, r"[^#*$%&|<>»]+", ""))  # few lines have any: the others need no second look
+    size = F.length(line)
+    marks = F.length(F.regexp_replace(line, f"[^#*$%&|<>»{DIVIDERS}]+", ""))  # few lines have any: the others need no second look
     symbols = F.length(F.regexp_replace(line, r"[^#*$%&|<>]+", ""))
-    bars = F.length(F.regexp_replace(line, r"[^|»]+", ""))
+    bars = F.length(F.regexp_replace(line, f"[^»{DIVIDERS}]+", ""))
     shouts = (size - F.length(F.replace(line, F.lit("!!"), F.lit("")))) / 2
-    end = F.right(F.rtrim(line), F.lit(12))  # most lines end in a few closers at most
+    bare = F.rtrim(line, F.lit(BLANKS))
+    end = F.right(bare, F.lit(12))  # most lines end in a few closers at most
+    navigation = line.rlike(NAVIGATION) & (~F.contains(line, F.lit("«")) | line.rlike(NAVIGATION_OF_QUOTES))
     return (
-        (end.rlike(TERMINAL) | (end.rlike(CLOSERS) & F.rtrim(line).rlike(TERMINAL)))
-        & ((marks == 0) | (((bars < ITEMS) | ~line.rlike(NAVIGATION)) & (symbols * 100 <= size * rules.max_symbol_percent)))
+        (end.rlike(TERMINAL) | (end.rlike(CLOSERS) & bare.rlike(TERMINAL)))
+        & ((marks == 0) | (((bars < ITEMS) | ~navigation) & (symbols * 100 <= size * rules.max_symbol_percent)))
         & ((shouts < ITEMS) | ~line.rlike(SHOUTING))
-        & ~functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE])
+        & ~bind(F.lower(line), lambda low: functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in BOILERPLATE]))
     )
 
 
@@ -145,10 +157,12 @@ v AS (SELECT rid, i, array_to_string(ws[i:i+4], ' ') AS k FROM w),
 r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS c FROM v) WHERE c > 1),
 c AS (SELECT rid, count(*) AS n FROM (SELECT DISTINCT rid, i + j AS p FROM r, range(0, 5) AS o(j)) GROUP BY rid),
 g AS (
-  SELECT *, list_filter(ls, lambda x: regexp_matches(rtrim(x, ' '), '[.!?:;…。！？][\x22''\)\]»”’*#$%&]*$')
-      AND (length(x) - length(replace(x, '!!', ''))) < 8
-      AND length(regexp_replace(x, '[^|»]+', '', 'g')) < 4
-      AND NOT regexp_matches(lower(x), 'all rights reserved|licensed under|released under|terms of (use|service)|privacy policy|accept (all )?cookies|enable javascript|lorem ipsum|click here|subscribe to our|sign up for our')
+  SELECT *, list_filter(ls, lambda x: regexp_matches(rtrim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), '[.!?:;…。！？．｡；：।॥؟۔՞։።፧၊။៕{LETTERS}][\x22''\)\]»”’›）」』】》*#$%&]*$')
+      AND NOT regexp_matches(x, '([^\x09-\x0D\x20]+!!( |$)){4}')
+      AND NOT (regexp_matches(x, '[^|›·•»][|›·•»]([^|›·•»]+[|›·•»]){3}') AND (NOT contains(x, '«') OR regexp_matches(x, '[^|›·•][|›·•]([^|›·•]+[|›·•]){3}')))
+      AND NOT regexp_matches(lower(x), 'all rights reserved|licensed under|released under|terms of (use|service)|privacy policy|accept (all )?cookies|enable javascript|lorem ipsum|click here|subscribe to our|sign up for our'
+        || '|alle rechte vorbehalten|datenschutzerklärung|cookies akzeptieren|tous droits réservés|politique de confidentialité|accepter les cookies'
+        || '|todos los derechos reservados|política de privacidad|aceptar (las )?cookies|все права защищены|版权所有|無断転載')
       AND length(regexp_replace(x, '[^#*$%&|<>]+', '', 'g')) * 100 <= length(x) * 8) AS ok
   FROM d),
 m AS (
@@ -163,4 +177,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND (word_chars - left_chars) * 100 <= word_chars * 50) AS kept,
   n_lines, n_lines_failed
 FROM m
-"""
+""".replace("{LETTERS}", "\u0e01-\u0eff")  # Thai and Lao
