@@ -58,6 +58,31 @@ def test_line_rules_against_plain_patterns(spark):
     assert got == {i: int(bool(re.search(shouting, x) or re.search(navigation, x) or s or not re.search(terminal, x.rstrip(" ")))) for i, (x, s) in enumerate(zip(lines, symbols))}
 
 
+def test_lines_of_many_scripts(spark):
+    """Ten words or more each: kept are texts of any script whose lines end as that script does."""
+    good = [
+        "यह एक लंबा वाक्य है जो बहुत से शब्दों से बना है और ठीक से समाप्त होता है।", "هل هذا نص طويل مكتوب بكلمات كثيرة حتى يكون له عشر كلمات أو أكثر؟", "یہ ایک لمبا جملہ ہے جس میں دس سے زیادہ الفاظ ہیں اور ختم ہوتا ہے۔",
+        "นี่ คือ ข้อความ ยาว ที่ เขียน ด้วย คำ มาก กว่า สิบ คำ ใน ภาษา ไทย", "ນີ້ ແມ່ນ ຂໍ້ຄວາມ ຍາວ ທີ່ ມີ ຫຼາຍ ກວ່າ ສິບ ຄຳ ໃນ ພາສາ ລາວ", "这 是 一 个 很 长 的 句 子 它 有 十 多 个 词。", "Это длинное предложение, в котором больше десяти слов и есть точка в самом конце.",
+        "« Un » et « deux » et « trois » et « quatre » sont des mots de cette phrase.", "A line of ten words or more that has a carriage return at its end.\r\nAnd another one.\r",
+    ]
+    bad = ["Home | News | Sport | Money | More of it and all the other pages that we have.", "Home › News › Sport › Money › all of the pages that are here for you to read.", "Alle Rechte vorbehalten, und das gilt für jedes einzelne Wort auf dieser langen Seite.", "a line of ten words or more that never comes to any end"]
+    df = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.measure(df).collect()}
+    assert got == {i: (False, i < len(good)) for i in range(len(good) + len(bad))}
+
+
+def test_quality_sql_on_odd_lines(spark):
+    import duckdb
+
+    ends = ["so great!! it was!! and then!! at last!! it ended.", "so!! very!! very!! great!!", "Great!!!!!!!! it was.", "a || b || c.", "a | b | c | d | e.", "a » b » c » d » e.", "« a » « b » « c » « d ».", "he said." + "'" * 13, "end", "end.\r", "ไทย", "क।", "x #### y."]
+    line = "These are the words of a plain line that is long enough to hold a few marks without being full of them, "
+    rows = [(i, f"{line}{e}\n{line}{line}.") for i, e in enumerate(ends)] + [(100 + i, line * 3 + e) for i, e in enumerate(ends)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    assert rows_of(quality.measure(df).toPandas()) == rows_of(con.execute(quality.ORACLE).df())
+
+
 def test_quality_uses_no_python(docs):
     plan = quality.measure(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "Exchange" not in plan
@@ -116,14 +141,47 @@ def test_sharding_uses_no_python(docs):
 # ---- 9 packing, 3 token counts
 
 
-def test_ids_are_those_of_the_tokenizer(docs):
+ODD_IDS = ["hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|><|endoftext|>b", "<|endoftext", "  \n\t<|endoftext|>\n ", "", "don't 123 \u00e9\u4e2d\U0001f600"]
+
+
+def tokenizer():
     import public_tokenizers as public
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    for _, text in texts(docs):
-        assert t.encode(text or "", add_special_tokens=False).ids == encoder()(text or "")
+    return Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+
+
+def test_ids_are_those_of_the_tokenizer(docs, odd):
+    plain, ordinary = tokenizer(), tokenizer()
+    ordinary.encode_special_tokens = True
+    for text in [t or "" for df in (docs, odd) for _, t in texts(df)] + ODD_IDS:
+        assert plain.encode(text, add_special_tokens=False).ids == list(encoder(special=True)(text))
+        assert ordinary.encode(text, add_special_tokens=False).ids == encoder()(text)
+
+
+def test_packing_against_the_tokenizer_and_plain_cuts(spark, docs, odd):
+    t = tokenizer()
+    for df in (docs, odd, spark.createDataFrame(list(enumerate(ODD_IDS)), "doc_id long, text string")):
+        want = Counter()
+        for doc_id, text in texts(df):
+            ids, at = [*t.encode(text or "", add_special_tokens=False).ids, 1], 0
+            n = len(ids)
+            while at < n:
+                size = min(2048, 1 << ((n - at).bit_length() - 1))
+                want[doc_id, at, size, zlib.crc32(np.array(ids[at : at + size], "<u4").tobytes()), n] += 1
+                at += size
+        got = packing.pack(df).collect()
+        assert Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
+        assert sorted(r["sequence_id"] for r in got) == list(range(len(got)))
+        assert [r["bucket"] for r in sorted(got, key=lambda r: r["sequence_id"])] == sorted(r["bucket"] for r in got)
+
+
+def test_sequences_do_not_depend_on_partitions(spark, docs, tmp_path):
+    numbered = lambda df: sorted(tuple(r) for r in packing.pack(df).collect())
+    assert numbered(docs.repartition(1)) == numbered(docs.repartition(13))
+    packing.write(docs, f"file://{tmp_path}/buckets")
+    for r in spark.read.parquet(f"file://{tmp_path}/buckets").selectExpr("bucket", "size(ids) n").distinct().collect():
+        assert r["n"] == 1 << r["bucket"]
 
 
 def test_packing_puts_documents_together_again(docs):
@@ -132,7 +190,7 @@ def test_packing_puts_documents_together_again(docs):
         by_doc[r["doc_id"]].append(r)
     assert len(by_doc) == docs.count()
     for i, text in texts(docs):
-        want, at = [*encoder()(text or ""), 1], 0
+        want, at = [*encoder(special=True)(text or ""), 1], 0
         for r in sorted(by_doc[i], key=lambda r: r["start"]):
             assert (r["start"], r["length"], r["doc_tokens"]) == (at, len(r["ids"]), len(want)) and r["ids"] == want[at : at + r["length"]]
             at += r["length"]
@@ -146,7 +204,7 @@ def test_packing_of_odd_texts(odd, nothing):
         assert r["length"] == 1 << r["bucket"] <= 2048 and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
     want = Counter()
     for i, text in texts(odd):
-        want[i] += len(encoder()(text or "")) + 1
+        want[i] += len(encoder(special=True)(text or "")) + 1
     have = Counter()
     for r in got:
         have[r["doc_id"]] += r["length"]
@@ -181,6 +239,37 @@ def test_languages_held_out(docs):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_languages_equal_plain_nearest_centroids(docs):
+    """Every prediction against a plain version: trigrams counted one by one, cosine with each centroid, the largest wins."""
+    model = langid.train(docs)
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    fold = lambda c: chr(c) if c >= 128 or chr(c).isalpha() else " "
+    for i, text in texts(docs):
+        coded = (" " + " ".join((text or "").lower().split()) + " ").encode()
+        coded = bytes(ord(fold(c)) for c in coded)
+        tf = Counter(((coded[k] << 16 | coded[k + 1] << 8 | coded[k + 2]) * 2654435761 % 2**32) >> 19 for k in range(len(coded) - 2))
+        vector = {k: np.log1p(v) * float(model.idf[k]) for k, v in tf.items()}
+        norm = sum(v * v for v in vector.values()) ** 0.5
+        cosine = [sum(v * float(c[k]) for k, v in vector.items()) / norm for c in model.centroids]
+        best = int(np.argmax(cosine))
+        assert got[i]["score"] == pytest.approx(cosine[best], abs=1e-4)
+        assert got[i]["lang_pred"] == model.langs[model.owner[best]] or max(c for c, o in zip(cosine, model.owner) if model.langs[o] == got[i]["lang_pred"]) > cosine[best] - 1e-5
+
+
+def test_language_sample_has_a_true_limit(spark):
+    """Of any language at most so many texts, also where one row is repeated very often or has no doc_id."""
+    rows = spark.range(20_000).selectExpr("cast(null as long) doc_id", "concat('some words ', id) text", "'aa' lang").union(spark.range(20_000).selectExpr("id doc_id", "'the same text' text", "'bb' lang")).union(spark.range(30).selectExpr("id doc_id", "concat('few ', id) text", "'cc' lang"))
+    n = Counter(r["lang"] for r in langid.sample(rows, 50).collect())
+    assert n["aa"] == 50 and n["bb"] == 1 and 0 < n["cc"] <= 30
+
+
+def test_counts_of_long_texts_in_pieces(monkeypatch):
+    words = ["some words and more words " * 50, "", "é" * 99, "x"]
+    whole = langid.counts(words)
+    monkeypatch.setattr(langid, "CHUNK", 7)
+    assert (langid.counts(words) == whole).all()
+
+
 def test_languages_of_odd_texts(odd, nothing):
     got = langid.identify(odd, langid.train(odd)).collect()
     und = {r["doc_id"] for r in got if r["lang_pred"] == "und"}
@@ -269,6 +358,27 @@ def test_suffix_dedup_short_strings(spark):
             assert (i, len(t), removed) in {k[:3] for k in want}
 
 
+def test_suffix_dedup_of_a_row_repeated_very_often(spark):
+    """A row repeated twenty thousand times, with many segments: its runs come back once, not once a copy."""
+    rng = np.random.default_rng(2)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 9999, 300))
+    df = spark.range(20_000).selectExpr("7L doc_id", f"'{text}' text").union(spark.createDataFrame([(8, "short"), (9, text[:500])], "doc_id long, text string"))
+    got = Counter(tuple(r) for r in suffixdedup.remove_repeats(df).collect())
+    empty = hashlib.sha256(b"").hexdigest()
+    assert got == {(7, len(text), len(text), 1, empty): 20_000, (8, 5, 0, 0, hashlib.sha256(b"short").hexdigest()): 1, (9, 500, 500, 1, empty): 1}
+    runs = suffixdedup.repeated_runs(suffixdedup.row_keyed(df)).collect()
+    assert max(len(r["runs"]) for r in runs) < len(text) / 10
+
+
+def test_copied_segments_are_held_against_their_bytes():
+    data = b"abcdefgh" * 40
+    good = {"s": 0, "n": 3, "d1": None, "d2": None}
+    d1, d2 = suffixdedup._digest(data[:202])
+    assert suffixdedup._checked(data, [good, {**good, "d1": d1, "d2": d2}], 200)
+    with pytest.raises(ValueError):
+        suffixdedup._checked(data, [{**good, "d1": d1, "d2": d2 + 1}], 200)
+
+
 def test_strip_keeps_columns_and_characters(spark, odd, nothing):
     out = suffixdedup.strip(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
