@@ -54,4 +54,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_suffix_array_dedup": suffixdedup.ORACLE, "op6_quality_rules": quality.ORACLE, "op7_warc_index": warc.ORACLE}
+    return {"op5_suffix_array_dedup": suffixdedup.ORACLE, "op6_quality_rules": quality.ORACLE, "op7_warc_index": warc.ORACLE, "op8_rendezvous_shards": sharding.ORACLE}

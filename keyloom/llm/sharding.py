@@ -4,7 +4,8 @@ Every shard draws a number from the key and its own name; the smallest wins. Sha
 stays where it is or goes to the new shard. Law: `key`.
 
 Defined results: a null text has no bytes (size 1, crc 0); a null doc_id is a key of its own; rows that agree in
-doc_id, size and crc are interchangeable and get neighbouring slots; extra columns are dropped by `place`.
+doc_id, size and crc are interchangeable and get neighbouring slots; extra columns are dropped by `place`; an empty table has no rows. Of
+a very long text only its size and checksum go on. Equal draws of two shards go to the lower one.
 """
 
 from __future__ import annotations
@@ -54,3 +55,18 @@ def place(docs: DataFrame, n_shards: int = 8, weights: list[float] | None = None
 
     placed = placed.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_first") + F.col("_at") + F.col("_k")).alias("slot"), "grown_shard")
+
+
+#: DuckDB SQL for `place` with eight equal shards, where no record is repeated more than CHUNK times. A checksum is folded over a text's
+#: bytes with its table of 256 remainders; the least of -ln(u) is the largest draw.
+ORACLE = """
+WITH t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, 'null') AS k, encode(coalesce(text, '')) AS b FROM documents),
+c AS (SELECT doc_id, k, octet_length(b) + 1 AS size,
+  xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(b), '..'), lambda e: ('0x' || e)::BIGINT)), lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8)), 4294967295) AS crc FROM d, t),
+e AS (SELECT doc_id, size, crc, ('0x' || substr(md5(k || ':' || size || ':' || crc), 20, 8))::BIGINT % 4096 AS bucket, list_transform(range(9), lambda s: ('0x' || substr(md5(k || ':' || s), 1, 13))::BIGINT) AS u FROM c),
+p AS (SELECT *, list_position(u[:8], list_max(u[:8])) - 1 AS shard, list_position(u, list_max(u)) - 1 AS grown FROM e)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, size, crc) - 1 AS slot, grown::INT AS grown_shard
+FROM p
+"""

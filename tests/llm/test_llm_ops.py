@@ -118,6 +118,11 @@ def test_shards(spark, docs, odd, nothing):
     assert sharding.place(nothing).count() == 0
 
 
+def test_shards_equal_sql(spark, duck):
+    ours, theirs = rows_of(registered.op8_rendezvous_shards(spark, SMALL).toPandas()), rows_of(duck.execute(sharding.ORACLE).df())
+    assert ours == theirs
+
+
 def test_shards_of_one_repeated_record(spark, monkeypatch):
     monkeypatch.setattr(sharding, "CHUNK", 10)
     df = spark.createDataFrame([(1, "x")] * 500 + [(i, "y") for i in range(100)], "doc_id long, text string").repartition(4)

@@ -1,23 +1,70 @@
+import hashlib
+from collections import Counter, defaultdict
+
 from helpers import SMALL
+from test_llm_ops import plain_leaks, plain_removal, tokenizer
 
 import corpus_pipeline
-from keyloom.llm import decontam, neardup, quality
+from keyloom.llm import neardup, quality, suffixdedup
 
 
-def test_stages(spark, odd):
+def test_stages(spark, odd, nothing):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "MinHash near-dedup", "suffix-array dedup", "benchmark decontamination", "packing"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, SMALL).columns == odd.columns
+        assert stage(spark, nothing, SMALL).count() == 0
+
+
+def exact_classes(rows, idf):
+    """Components of the pairs at 0.8 by weighted Jaccard similarity, over all pairs."""
+    import numpy as np
+
+    text, h, tf, _ = neardup.shingles([(t or "").lower().encode() for t in rows])
+    w = tf * idf[neardup._slot(h)]
+    total = np.bincount(text, w, len(rows))
+    places = defaultdict(list)
+    for k, x in enumerate(h.tolist()):
+        places[x].append(k)
+    low = Counter()
+    for ks in places.values():
+        for i, a in enumerate(ks):
+            for b in ks[:i]:
+                low[int(text[b]), int(text[a])] += min(w[a], w[b])
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for (a, b), x in low.items():
+        if x >= 0.8 * (total[a] + total[b] - x) - 1e-9:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    return [root(i) for i in range(len(rows))]
 
 
-def test_run(spark, docs):
-    pieces = corpus_pipeline.run(spark, SMALL).collect()
-    kept = {r["doc_id"] for r in quality.measure(docs).filter("kept").collect()}
-    got = {r["doc_id"] for r in pieces}
-    assert got and got <= kept
-    cleaned = quality.clean(docs)
-    first = {r["class_id"] for r in neardup.classes(cleaned).collect()}
-    assert got <= first
-    leaked = {r["doc_id"] for r in decontam.leaks(cleaned, spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
-    assert len(first - got) <= len(leaked)
-    assert {r["length"] & (r["length"] - 1) for r in pieces} == {0}
+def test_run_equals_the_stages_in_plain_python(spark, docs):
+    """Surviving texts of every stage, and the pieces at the end."""
+    cleaned = sorted((r["doc_id"], r["text"]) for r in quality.clean(docs).collect())  # held against SQL in its own tests
+    idf = neardup.idf(quality.clean(docs))
+    classes = exact_classes([t for _, t in cleaned], idf)
+    first = [cleaned[k] for k in sorted(set(classes))]
+    removed = plain_removal(first, 200)
+    stripped = {r["doc_id"]: r["text"] for r in suffixdedup.strip(spark.createDataFrame(first, "doc_id long, text string")).collect()}
+    assert set(stripped) == {i for i, _ in first}
+    for i, n, gone, spans, digest in removed:
+        if not gone:
+            assert hashlib.sha256(stripped[i].encode()).hexdigest() == digest
+        else:
+            assert n - gone <= len(stripped[i].encode()) <= n - gone + 6 * spans
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect() if r["text"]]
+    leaked = {x[0] for x in plain_leaks(sorted(stripped.items()), items)}
+    t, want = tokenizer(), Counter()
+    for i, text in stripped.items():
+        if i not in leaked:
+            want[i] += len(t.encode(text, add_special_tokens=False).ids) + 1
+    got = Counter()
+    for r in corpus_pipeline.run(spark, SMALL).collect():
+        got[r["doc_id"]] += r["length"]
+        assert r["length"] & (r["length"] - 1) == 0 and r["doc_tokens"] == want[r["doc_id"]]
+    assert got == want and len(got) > 50
