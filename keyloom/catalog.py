@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .errors import InvalidArgument
 from .functions import text as X
 from .operators import batches, cells, dedup, encoding, layout, metrics, regions, verify
-from .plans import rules
+from .plans import directory, rules
 from .plans.convert import convert, counters, keyed, visible
 from .plans.options import ConvertOptions
 from .sources import cells_io, mock
@@ -193,13 +194,8 @@ def skip_empty_keys(spark, sf):
 
 @query("SELECT lpad(o_custkey::VARCHAR, 10, '0') AS row, row_number() OVER (ORDER BY lpad(o_custkey::VARCHAR, 10, '0'))::BIGINT AS rank FROM (SELECT DISTINCT o_custkey FROM orders)")
 def sorted_cells_rank(spark, sf):
-    """Ranks over the whole order from range partitions: the rows before a partition, and the place in it."""
     rows = _keys(_read(spark, sf, "orders"), "CUST,1,false,10", "o_orderkey").select(F.col("rk").alias("row")).distinct()
-    placed = rows.repartitionByRange("row").withColumn("_p", F.spark_partition_id())
-    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    first = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b._p") < F.col("a._p"), "left").groupBy(F.col("a._p").alias("_p")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
-    local = F.row_number().over(Window.partitionBy("_p").orderBy("row"))
-    return placed.withColumn("_r", local).join(F.broadcast(first), "_p").select("row", (F.col("_r") + F.col("_before")).alias("rank"))
+    return regions.ranked(rows, "row")
 
 
 @query(
@@ -427,22 +423,101 @@ def bloom_row_keys(spark, sf):
     return layout.bloom_keys(rows, "row")
 
 
-@query()  # SQL has no such hash
+_M = 4294967295
+#: Bytes of a text as numbers, and steps of the hash over them, each modulo 2^32; a product of two factors stays below 2^63.
+_BYTES = "list_transform(regexp_extract_all(hex(encode({0})), '..'), lambda e: ('0x' || e)::BIGINT)"
+_WORDS = (
+    "list_transform(list_transform(range(len({0}) // 4), lambda i: (({0}[4 * i + 1] + {0}[4 * i + 2] * 256 + {0}[4 * i + 3] * 65536 + {0}[4 * i + 4] * 16777216) * 1540483477) & 4294967295), "
+    "lambda k: (xor(k, k >> 24) * 1540483477) & 4294967295)"
+)
+_TAIL = "list_transform(range(len({0}) % 4), lambda i: (CASE WHEN {0}[len({0}) // 4 * 4 + i + 1] > 127 THEN {0}[len({0}) // 4 * 4 + i + 1] - 256 ELSE {0}[len({0}) // 4 * 4 + i + 1] END * (1 << (8 * i)::INT)) & 4294967295)"
+
+
+def _murmur(source: str, columns: str, seed: str = "0") -> str:
+    """SQL that adds `h`, the unsigned hash of the bytes `b`, to the columns of `source`."""
+    body = f"list_reduce(list_prepend(xor(({seed}) & {_M}, len(b)), w), lambda x, k: xor((x * 1540483477) & {_M}, k))"
+    tail = f"CASE WHEN len(t) > 0 THEN (list_reduce(list_prepend(x, t), lambda p, q: xor(p, q)) * 1540483477) & {_M} ELSE x END"
+    return (
+        f"(SELECT {columns}, xor(z, z >> 15) AS h FROM (SELECT *, (xor(y, y >> 13) * 1540483477) & {_M} AS z FROM (SELECT *, {tail} AS y FROM (SELECT *, {body} AS x "
+        f"FROM (SELECT *, {_WORDS.format('b')} AS w, {_TAIL.format('b')} AS t FROM {source})))))"
+    )
+
+
+_SIGNED = "CASE WHEN {0} > 2147483647 THEN {0} - 4294967296 ELSE {0} END"
+
+
+def _positions(source: str, columns: str, hashes: int, bits: int) -> str:
+    """SQL that adds `at`, the list of places in a filter, to the columns of `source` (with bytes `b`)."""
+    first = _murmur(source, f"{columns}, b")
+    both = _murmur(f"(SELECT * EXCLUDE (h), h AS g FROM {first})", f"{columns}, g", "g")
+    mixed = f"list_transform(range({hashes}), lambda i: (g + i * h) & {_M})"
+    return f"(SELECT {columns}, list_transform({mixed}, lambda v: abs({_SIGNED.format('v')}) % {bits}) AS spots FROM {both})"
+
+
+@query(f"SELECT c_custkey, ({_SIGNED.format('h')})::INT AS hash FROM {_murmur('(SELECT c_custkey, ' + _BYTES.format('c_name') + ' AS b FROM customer)', 'c_custkey')}")
 def bloom_murmur(spark, sf):
     return _read(spark, sf, "customer").select("c_custkey", layout.murmur_hash(F.col("c_name")).alias("hash"))
 
 
-@query()  # nor filters over it
-def bloom_build(spark, sf):
+def _filters(spark, sf):
     keys = _read(spark, sf, "orders").select("o_orderpriority", F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("row"))
-    return layout.bloom_chunks(keys, ["o_orderpriority"], "row", 500, 7, 1024).select("o_orderpriority", "chunk", "n_keys", F.hex("first_key").alias("first_key"), F.bit_count(F.crc32("bits")).alias("bits_mark"))
+    return layout.bloom_chunks(keys, ["o_orderpriority"], "row", 500, 7, 1024)
+
+
+_KEYS = "(SELECT DISTINCT o_orderpriority, lpad(o_custkey::VARCHAR, 10, '0') AS row FROM orders)"
+_CHUNKS = f"(SELECT *, (row_number() OVER (PARTITION BY o_orderpriority ORDER BY row) - 1) // 500 AS chunk, {_BYTES.format('row')} AS b FROM {_KEYS})"
+_PLACES = _positions(_CHUNKS, "o_orderpriority, row, chunk", 7, 8192)
+
+
+@query(
+    f"""WITH p AS (SELECT * FROM {_PLACES}), n AS (SELECT o_orderpriority, chunk, count(*)::BIGINT AS n_keys, hex(encode(min(row))) AS first_key FROM p GROUP BY 1, 2),
+s AS (SELECT o_orderpriority, chunk, count(DISTINCT v)::BIGINT AS n_bits, sum(DISTINCT v)::BIGINT AS sum_of_places FROM (SELECT o_orderpriority, chunk, unnest(spots) AS v FROM p) GROUP BY 1, 2)
+SELECT o_orderpriority, chunk, n_keys, first_key, n_bits, sum_of_places FROM n JOIN s USING (o_orderpriority, chunk)"""
+)
+def bloom_build(spark, sf):
+    """Every filter by its keys, its first key, how many bits it has and the sum of their places."""
+    byte = lambda i: F.conv(F.substring(F.hex("bits"), i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    places = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.when(F.getbit(byte(i), j) == 1, i * 8 + j)), lambda v: v.isNotNull())))
+    f = _filters(spark, sf).withColumn("at", places)
+    return f.select("o_orderpriority", "chunk", "n_keys", F.hex("first_key").alias("first_key"), F.size("at").cast("long").alias("n_bits"), F.aggregate("at", F.lit(0).cast("long"), lambda a, v: a + v).alias("sum_of_places"))
+
+
+@query(
+    f"""WITH p AS (SELECT * FROM {_PLACES}), f AS (SELECT o_orderpriority, chunk, min(row) AS first_key, list(DISTINCT v) AS bits FROM (SELECT o_orderpriority, row, chunk, unnest(spots) AS v FROM p) GROUP BY 1, 2),
+a AS (SELECT c_custkey, f.p AS o_orderpriority, lpad(c_custkey::VARCHAR, 10, '0') AS row FROM customer, (SELECT DISTINCT o_orderpriority AS p FROM orders) AS f),
+q AS (SELECT * FROM {_positions('(SELECT *, ' + _BYTES.format('row') + ' AS b FROM a)', 'c_custkey, o_orderpriority, row', 7, 8192)}),
+w AS (SELECT q.*, (SELECT max(chunk) FROM f WHERE f.o_orderpriority = q.o_orderpriority AND f.first_key <= q.row) AS chunk FROM q)
+SELECT w.o_orderpriority, count(*)::BIGINT AS asked, count(*) FILTER (list_has_all(f.bits, w.spots))::BIGINT AS may_contain,
+  count(*) FILTER (o.row IS NOT NULL)::BIGINT AS held, count(*) FILTER (o.row IS NOT NULL AND NOT coalesce(list_has_all(f.bits, w.spots), false))::BIGINT AS missed
+FROM w LEFT JOIN f ON f.o_orderpriority = w.o_orderpriority AND f.chunk = w.chunk LEFT JOIN {_KEYS} AS o ON o.o_orderpriority = w.o_orderpriority AND o.row = w.row GROUP BY 1"""
+)
+def filter_probe(spark, sf):
+    """Every customer asked of every priority's filters: how many may be there, how many are, and how many of these a filter missed."""
+    files = _read(spark, sf, "orders").select("o_orderpriority").distinct()
+    asked = _read(spark, sf, "customer").select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("row"), F.explode(F.array(*[F.lit(r[0]) for r in files.collect()])).alias("o_orderpriority"))  # five files
+    probed = layout.filter_probe(asked, _filters(spark, sf), "row", 7)
+    held = _read(spark, sf, "orders").select("o_orderpriority", F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("row"), F.lit(True).alias("held")).distinct()
+    both = probed.join(held, ["o_orderpriority", "row"], "left")
+    return both.groupBy("o_orderpriority").agg(
+        F.count(F.lit(1)).alias("asked"), F.count_if("may_contain").alias("may_contain"), F.count_if("held").alias("held"), F.count_if(F.col("held") & ~F.col("may_contain")).alias("missed")
+    )
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
 def might_contain(spark, sf):
-    """Membership as a semi join: exact where a filter only may say yes."""
-    keys = _read(spark, sf, "orders").filter(F.col("o_orderpriority").startswith("1")).select(F.col("o_custkey").alias("c_custkey"))
-    return _read(spark, sf, "customer").select("c_custkey").join(keys, "c_custkey", "left_semi")
+    """Members of one file: its filters rule most others out, a join settles the rest."""
+    keys = _read(spark, sf, "orders").filter(F.col("o_orderpriority").startswith("1")).select("o_orderpriority", F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("row"))
+    chunks = layout.bloom_chunks(keys, ["o_orderpriority"], "row", 500, 7, 1024)
+    asked = _read(spark, sf, "customer").select("c_custkey", F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("row"), F.lit("1-URGENT").alias("o_orderpriority"))
+    return layout.filter_probe(asked, chunks, "row", 7).filter("may_contain").join(keys, ["o_orderpriority", "row"], "left_semi").select("c_custkey")
+
+
+@query(
+    "SELECT o_orderkey, lpad(hex(strlen(lpad(o_custkey::VARCHAR, 10, '0'))), 4, '0') || hex(encode(lpad(o_custkey::VARCHAR, 10, '0'))) || '00' || hex(encode(o_orderpriority)) || '7F' || repeat('FF', 8) AS filter_key FROM orders"
+)
+def bloom_rowcol_keys(spark, sf):
+    cells_ = _read(spark, sf, "orders").select("o_orderkey", F.lpad(F.col("o_custkey").cast("string"), 10, "0").alias("row"), F.col("o_orderpriority").alias("qualifier"))
+    return cells_.select("o_orderkey", F.hex(layout.rowcol_column(F.col("row"), F.col("qualifier"))).alias("filter_key"))
 
 
 @query(
@@ -476,12 +551,12 @@ def merge_conflict_dedup(spark, sf):
     return merged.crossJoin(files)  # one row each
 
 
-_FILES = "SELECT 'f' || lpad(c_custkey::VARCHAR, 8, '0') AS path, (c_custkey * 7919 % 300 + 1) * 1048576 AS bytes, c_custkey * 9000 AS mtime_ms FROM customer WHERE c_custkey <= 150"
+_FILES = "SELECT 'f' || lpad(c_custkey::VARCHAR, 8, '0') AS path, (c_custkey * 7919 % 300 + 1) * 1048576 AS bytes, c_custkey * 9000 AS mtime_ms FROM customer"
 
 
 def _files(spark, sf):
     k = F.col("c_custkey")
-    return _read(spark, sf, "customer").filter(k <= 150).select(F.concat(F.lit("f"), F.lpad(k.cast("string"), 8, "0")).alias("path"), ((k * 7919 % 300 + 1) * 1048576).alias("bytes"), (k * 9000).alias("mtime_ms"))
+    return _read(spark, sf, "customer").select(F.concat(F.lit("f"), F.lpad(k.cast("string"), 8, "0")).alias("path"), ((k * 7919 % 300 + 1) * 1048576).alias("bytes"), (k * 9000).alias("mtime_ms"))
 
 
 @query(
@@ -518,6 +593,27 @@ def skip_existing(spark, sf):
     return cells_io.not_yet_written(_read(spark, sf, "customer").select("c_custkey"), done, "c_custkey")
 
 
+_DIRECTORY = ("nation", "region", "supplier", "customer", "part")
+
+
+@query(
+    "SELECT 'region' AS name, 1 AS error_code, 0::BIGINT AS cells UNION ALL SELECT 'nation', 0, count(*) FROM nation UNION ALL SELECT 'supplier', 0, count(*) FROM supplier "
+    "UNION ALL SELECT 'customer', 0, count(*) FROM customer UNION ALL SELECT 'part', 0, count(*) FROM part"
+)
+def directory_convert(spark, sf):
+    """Five files at once, each to cells of its own; one of them isn't there, and the others go on."""
+    names = {name: f"{sf}/{name}.parquet" for name in _DIRECTORY}
+    how, target = directory.DirectoryOptions(form="parquet", parallelism=4), cells_io.scratch(spark, "directory-convert")
+
+    def one(path: str, output: str) -> tuple[int, int]:
+        if path.endswith("region.parquet"):
+            raise InvalidArgument("this file is refused")
+        return directory.write(*directory.read(spark, how.form, path), output, ConvertOptions(rule="KEY,0,false,10"), how.sink)
+
+    outcome = batches.convert_each(spark, [(p, f"{target}/{n}") for n, p in names.items()], one, how.parallelism)
+    return outcome.select(F.element_at(F.split("output", "/"), -1).alias("name"), "error_code", "cells")
+
+
 # ---- verification
 
 
@@ -581,7 +677,16 @@ def metadata_expect(spark, sf):
     """Every file's entry count against what the source says."""
     source = _read(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     stats = cells.file_stats(_order_cells(spark, sf), ["o_orderpriority"]).join(source, "o_orderpriority")
-    return stats.select("o_orderpriority", "entries", F.col("entries").eqNullSafe(F.col("n")).alias("entries_ok"))
+    return verify.metadata_check(stats, entries=F.col("n")).select("o_orderpriority", "entries", "entries_ok")
+
+
+@query("SELECT o_orderkey AS row, 'OK' AS status FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey % 89 <> 0 AND ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 100 < 10 "
+       "UNION ALL SELECT o_orderkey, 'MISMATCH' FROM orders WHERE o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0 AND ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 100 < 10 "
+       "UNION ALL SELECT o_orderkey, 'MISSING' FROM orders WHERE o_orderkey % 97 = 0 AND ('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 100 < 10")
+def sampled_verify(spark, sf):
+    """The check of a tenth of all rows: both sides draw the same."""
+    draw = lambda df: verify.sampled(df, "row", 10)
+    return verify.deep_verify(draw(_expected(spark, sf)), draw(_actual(spark, sf)), ["row", "family"]).select("row", "status")
 
 
 @query("SELECT count(*)::BIGINT AS n FROM (SELECT 1 WHERE false)")
@@ -616,17 +721,17 @@ def metric_gauges(spark, sf):
     return metrics.gauges(_read(spark, sf, "events"), "event_type", "value", "event_id")
 
 
-_RUNS = """SELECT 's' || lpad((r.k // 6)::VARCHAR, 3, '0') AS scenario, CASE WHEN r.k % 2 = 0 THEN 'native' ELSE 'java' END AS implementation, (r.k // 2 % 3)::INT AS iteration,
+_RUNS = """SELECT 's' || lpad((r.k // 6)::VARCHAR, 9, '0') AS scenario, CASE WHEN r.k % 2 = 0 THEN 'native' ELSE 'java' END AS implementation, (r.k // 2 % 3)::INT AS iteration,
   CASE WHEN r.k // 6 % 5 = 1 AND r.k % 2 = 1 THEN 'parallel-convert' ELSE 'merge-then-convert' END AS strategy, 4 AS worker_parallelism, (CASE WHEN r.k // 6 % 5 = 2 AND r.k % 2 = 1 THEN 2 ELSE 1 END)::INT AS file_count,
-  (1000 + CASE WHEN r.k // 6 % 5 = 3 AND r.k % 2 = 1 THEN 1 ELSE 0 END)::BIGINT AS cell_count, (100 + r.k * 37 % 91)::BIGINT AS elapsed_ms, NOT (r.k // 6 % 5 = 4 AND r.k % 6 = 5) AS success FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey BETWEEN 6 AND 125) r"""
+  (1000 + CASE WHEN r.k // 6 % 5 = 3 AND r.k % 2 = 1 THEN 1 ELSE 0 END)::BIGINT AS cell_count, (100 + r.k * 37 % 91)::BIGINT AS elapsed_ms, NOT (r.k // 6 % 5 = 4 AND r.k % 6 = 5) AS success FROM (SELECT c_custkey AS k FROM customer) r"""
 
 
 def _runs(spark, sf):
     k = F.col("c_custkey")
     s = F.floor(k / 6)
     java = k % 2 == 1
-    return _read(spark, sf, "customer").filter(k.between(6, 125)).select(
-        F.concat(F.lit("s"), F.lpad(s.cast("string"), 3, "0")).alias("scenario"), F.when(java, "java").otherwise("native").alias("implementation"), (F.floor(k / 2) % 3).cast("int").alias("iteration"),
+    return _read(spark, sf, "customer").select(
+        F.concat(F.lit("s"), F.lpad(s.cast("string"), 9, "0")).alias("scenario"), F.when(java, "java").otherwise("native").alias("implementation"), (F.floor(k / 2) % 3).cast("int").alias("iteration"),
         F.when((s % 5 == 1) & java, "parallel-convert").otherwise("merge-then-convert").alias("strategy"), F.lit(4).alias("worker_parallelism"), F.when((s % 5 == 2) & java, 2).otherwise(1).alias("file_count"),
         (F.lit(1000) + F.when((s % 5 == 3) & java, 1).otherwise(0)).cast("long").alias("cell_count"), (F.lit(100) + k * 37 % 91).alias("elapsed_ms"), (~((s % 5 == 4) & (k % 6 == 5))).alias("success"),
     )

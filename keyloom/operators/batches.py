@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import SchemaMismatch
+from ..errors import SchemaMismatch, code_of
 
 
 def check_schemas(frames: list[DataFrame]) -> None:
@@ -42,15 +45,51 @@ def strategy(files: DataFrame, policy: Policy = Policy()) -> DataFrame:
 
 
 def batch_ids(files: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Greedy batches over files in name order (path, bytes, mtime_ms), as a fold over the sorted list of a directory's files.
+    """Greedy batches over files in name order (path, bytes, mtime_ms).
 
-    The fold needs every file before it, so it is one expression over the list; a list of files is metadata.
+    The fold needs every file before it, so the listing, which is metadata, runs through one task in order; a handful of numbers is kept.
     """
-    listed = files.agg(F.array_sort(F.collect_list(F.struct("path", "bytes", "mtime_ms"))).alias("f"))
-    start = "named_struct('id', 0L, 'size', 0L, 'n', 0L, 'since', f[0].mtime_ms, 'out', cast(array() as array<struct<path:string,batch:bigint>>))"
-    cut = f"(a.n > 0 and (a.size + x.bytes >= {policy.size} or a.n >= {policy.count} or x.mtime_ms - a.since >= {policy.interval_ms}))"
-    step = (
-        f"named_struct('id', a.id + if({cut}, 1L, 0L), 'size', if({cut}, 0L, a.size) + x.bytes, 'n', if({cut}, 0L, a.n) + 1L, 'since', if({cut}, x.mtime_ms, a.since), "
-        f"'out', concat(a.out, array(named_struct('path', x.path, 'batch', a.id + if({cut}, 1L, 0L)))))"
-    )
-    return listed.filter("size(f) > 0").selectExpr(f"explode(aggregate(f, {start}, (a, x) -> {step}, a -> a.out)) as x").select("x.path", "x.batch")
+
+    def run(batches):
+        number, size, n, since = 0, 0, 0, None
+        for batch in batches:
+            out = []
+            for path, held, mtime in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if n and (size + held >= policy.size or n >= policy.count or mtime - since >= policy.interval_ms):
+                    number, size, n, since = number + 1, 0, 0, None
+                size, n, since = size + held, n + 1, mtime if since is None else since
+                out.append((path, number))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], ["path", "batch"])
+
+    order = ["path", "bytes", "mtime_ms"]
+    listed = files.select("path", F.col("bytes").cast("long").alias("bytes"), F.col("mtime_ms").cast("long").alias("mtime_ms"))
+    return listed.coalesce(1).sortWithinPartitions(*order).mapInArrow(run, "path string, batch long")
+
+
+#: One row per input of a batch.
+OUTCOME = "path string, output string, error_code int, error string, cells long, bytes long"
+
+
+def convert_each(spark: SparkSession, inputs: list[tuple[str, str]], convert_one: Callable[[str, str], tuple[int, int]], parallelism: int = 4, done: Callable[[dict], None] | None = None) -> DataFrame:
+    """Convert (path, output) pairs, `parallelism` at a time, each by Spark jobs of its own; one row per pair as in OUTCOME.
+
+    `convert_one` gives cells and bytes. An input that fails keeps its error and its code, and the others go on. `done` hears of each
+    outcome as it is known. The driver holds a row per file, as a listing does.
+    """
+
+    def run(pair: tuple[str, str]) -> dict:
+        path, output = pair
+        try:
+            cells, size = convert_one(path, output)
+            found = {"path": path, "output": output, "error_code": 0, "error": None, "cells": cells, "bytes": size}
+        except Exception as e:  # whatever it is, it is this input's outcome
+            found = {"path": path, "output": output, "error_code": code_of(e), "error": f"{type(e).__name__}: {e}"[:500], "cells": 0, "bytes": 0}
+        if done:
+            done(found)
+        return found
+
+    if parallelism < 1:
+        raise ValueError("parallelism must be 1 or more")
+    with ThreadPoolExecutor(min(parallelism, max(1, len(inputs)))) as pool:
+        outcomes = list(pool.map(run, inputs))
+    return spark.createDataFrame([tuple(x.values()) for x in outcomes], OUTCOME)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import math
+import struct
 
 import numpy as np
 import pandas as pd
@@ -107,26 +109,51 @@ def murmur(data: bytes, seed: int = 0) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
+def murmur_all(keys: list[bytes], seeds: np.ndarray | int = 0) -> np.ndarray:
+    """`murmur` of many keys (signed), those of one length at a time with array operations."""
+    seeds = np.broadcast_to(np.asarray(seeds, np.int64) & 0xFFFFFFFF, len(keys)).astype(np.uint32)
+    sizes, out, m = np.array([len(k) for k in keys], np.int64), np.zeros(len(keys), np.uint32), np.uint32(MURMUR_M)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        data = np.frombuffer(b"".join([keys[i] for i in at]), np.uint8).reshape(len(at), size)
+        h, full = seeds[at] ^ np.uint32(size), int(size) & ~3
+        for k in np.ascontiguousarray(data[:, :full]).view("<u4").T:
+            k = k * m
+            h = h * m ^ (k ^ k >> np.uint32(MURMUR_R)) * m
+        if size > full:
+            for place, byte in enumerate(data[:, full:].view(np.int8).T):
+                h ^= byte.astype(np.int32).view(np.uint32) << np.uint32(8 * place)
+            h *= m
+        h = (h ^ h >> np.uint32(13)) * m
+        out[at] = h ^ h >> np.uint32(15)
+    return out.view(np.int32)
+
+
+def _bytes(values: list) -> list[bytes]:
+    return [b"" if v is None else bytes(v) if isinstance(v, (bytes, bytearray, memoryview)) else v.encode("utf-8", "surrogatepass") for v in values]
+
+
 @F.pandas_udf(T.IntegerType())
 def murmur_hash(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else murmur(v if isinstance(v, (bytes, bytearray)) else v.encode("utf-8")), na_action="ignore").astype("Int32")
+    return pd.Series(murmur_all(_bytes(x.tolist())), dtype="Int32").mask(x.isna().to_numpy())
+
+
+def bloom_positions(keys: list[bytes], hashes: int, bits: int) -> np.ndarray:
+    """(keys, hashes) places in a filter of `bits`."""
+    first = murmur_all(keys)
+    second = murmur_all(keys, first)
+    mixed = first[:, None].view(np.uint32) + np.arange(hashes, dtype=np.uint32) * second[:, None].view(np.uint32)
+    return np.abs(mixed.view(np.int32).astype(np.int64)) % bits
 
 
 def bloom_bits(data: bytes, hashes: int, bits: int) -> list[int]:
-    first = murmur(data)
-    second = murmur(data, first)
-    found = []
-    for k in range(hashes):
-        h = (first + k * second) & 0xFFFFFFFF
-        h = h - (1 << 32) if h >> 31 else h
-        found.append(abs(h) % bits)
-    return found
+    return bloom_positions([data], hashes, bits)[0].tolist()
 
 
 def bloom_chunks(keys: DataFrame, by: list[str], key: str, most: int, hashes: int, byte_size: int) -> DataFrame:
     """Filters over distinct keys in order: chunk, keys, first key and bits of each; a chunk ends at `most` keys."""
     schema = T.StructType([*[f for f in keys.schema.fields if f.name in by], *T.StructType.fromDDL("chunk long, n_keys long, first_key binary, bits binary").fields])
-    kinds = {n: pa_type for n, pa_type in zip(by, [None] * len(by))}
+    kinds = {}
 
     def run(batches):
         state = None
@@ -136,17 +163,21 @@ def bloom_chunks(keys: DataFrame, by: list[str], key: str, most: int, hashes: in
 
         for batch in batches:
             out = []
-            values = [batch.column(batch.schema.get_field_index(k)) for k in (*by, key)]
-            for *file, data in zip(*(v.to_pylist() for v in values)):
-                data = data.encode("utf-8") if isinstance(data, str) else data
-                if state is None or state["by"] != file or state["n"] >= most:
+            columns = [batch.column(batch.schema.get_field_index(k)) for k in (*by, key)]
+            kinds.update({k: v.type for k, v in zip(by, columns)})
+            files, data = list(zip(*(c.to_pylist() for c in columns[:-1]))) if by else [()] * batch.num_rows, _bytes(columns[-1].to_pylist())
+            places = bloom_positions(data, hashes, byte_size * 8)
+            at = 0
+            while at < len(data):
+                if state is None or state["by"] != files[at] or state["n"] >= most:
                     if state:
                         out.append(done())
-                    state = {"by": file, "chunk": state["chunk"] + 1 if state and state["by"] == file else 0, "n": 0, "first": data, "bits": np.zeros(byte_size, np.uint8)}
-                for bit in bloom_bits(data, hashes, byte_size * 8):
-                    state["bits"][bit >> 3] |= 1 << (bit & 7)
-                state["n"] += 1
-            kinds.update({k: v.type for k, v in zip(by, values)})
+                    state = {"by": files[at], "chunk": state["chunk"] + 1 if state and state["by"] == files[at] else 0, "n": 0, "first": data[at], "bits": np.zeros(byte_size, np.uint8)}
+                room = range(at, min(len(data), at + most - state["n"]))
+                end = at + bisect.bisect_left(room, True, key=lambda i, file=files[at]: files[i] != file)  # files come one after another
+                spots = places[at:end].ravel()
+                np.bitwise_or.at(state["bits"], spots >> 3, (1 << (spots & 7)).astype(np.uint8))
+                state["n"], at = state["n"] + end - at, end
             if out:
                 yield _rows(out)
         if state:
@@ -164,12 +195,52 @@ def might_contain(bits: bytes, data: bytes, hashes: int) -> bool:
     return all(bits[b >> 3] >> (b & 7) & 1 for b in bloom_bits(data, hashes, len(bits) * 8))
 
 
+def filter_probe(wanted: DataFrame, chunks: DataFrame, key: str, hashes: int, name: str = "may_contain") -> DataFrame:
+    """`wanted` with whether its file's filter may hold the key. `chunks` are `bloom_chunks` of the columns that both tables share; a key
+    is asked of the chunk with the last first key that is not above it, and keys below every chunk are not there."""
+    by = [c for c in chunks.columns if c in wanted.columns and c not in ("chunk", "n_keys", "first_key", "bits", key)]
+    asked = wanted.withColumn("_key", F.col(key).cast("binary"))
+    # chunk borders of a file are a sorted array of at most keys / `most` entries; the bits are joined by chunk afterwards
+    borders = chunks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("first_key", "chunk"))).alias("_borders"))
+    at = F.expr("filter(_borders, b -> b.first_key <= _key)")
+    asked = asked.join(borders, by, "left").withColumn("chunk", F.try_element_at(at, F.lit(-1))["chunk"]).drop("_borders")
+    met = asked.join(chunks.select(*by, "chunk", "bits"), [*by, "chunk"], "left")
+
+    @F.pandas_udf(T.BooleanType())
+    def probe(data: pd.Series, bits: pd.Series) -> pd.Series:
+        keys, out = _bytes(data.tolist()), np.zeros(len(data), bool)
+        sizes = np.array([-1 if b is None else len(b) for b in bits])
+        for size in np.unique(sizes[sizes > 0]):
+            rows = np.flatnonzero(sizes == size)
+            places = bloom_positions([keys[i] for i in rows], hashes, int(size) * 8)
+            filters = [np.frombuffer(bits.iloc[i], np.uint8) for i in rows]
+            out[rows] = [bool((f[p >> 3] >> (p & 7) & 1).all()) for f, p in zip(filters, places)]
+        return pd.Series(out)
+
+    return met.select(*wanted.columns, probe("_key", "bits").alias(name))
+
+
+#: What follows row and qualifier in the key of a filter over both: no family, the latest time and the highest type. Fixed values.
+ROWCOL_END = b"\x7f" + b"\xff" * 8
+
+
+def rowcol_key(row: bytes, qualifier: bytes) -> bytes:
+    """The logical key by which a filter over rows and qualifiers is filled and asked: of the latest cell there, without a family."""
+    return struct.pack(">H", len(row)) + row + b"\0" + qualifier + ROWCOL_END
+
+
+def rowcol_column(row: Column, qualifier: Column) -> Column:
+    """`rowcol_key` in built-in expressions."""
+    size = F.octet_length(row)
+    return F.concat(F.unhex(F.lpad(F.hex(size), 4, "0")), row.cast("binary"), F.unhex(F.lit("00")), qualifier.cast("binary"), F.unhex(F.lit(ROWCOL_END.hex())))
+
+
 def bloom_keys(cells: DataFrame, kind: str) -> DataFrame:
-    """What a filter gets: each row once, every cell's row and qualifier, or nothing."""
+    """What a filter gets: each row once, the logical key of every cell's row and qualifier, or nothing."""
     if kind == "row":
         return cells.select("row").distinct()
     if kind == "rowcol":
-        return cells.select("row", "qualifier")
+        return cells.select(rowcol_column(F.col("row"), F.col("qualifier")).alias("row"))
     return cells.select("row").limit(0)
 
 
@@ -185,14 +256,22 @@ def separator(left: bytes | None, right: bytes) -> bytes | None:
     return right[:same] + b"\x00" if same < len(right) else None
 
 
+def text_separator(left: str | None, right: str) -> str:
+    """`separator` of texts, whose characters are in the order of their bytes; equal keys and a first key give the right one."""
+    if left is None or left == right:
+        return right
+    if left > right:
+        raise ValueError("keys are out of order")
+    same = next((i for i, (a, b) in enumerate(zip(left, right)) if a != b), min(len(left), len(right)))
+    if same == len(left):
+        return right[:same] + "\0"
+    above = ord(left[same]) + 1
+    return left[:same] + chr(0xE000 if above == 0xD800 else above)
+
+
 @F.pandas_udf(T.StringType())
 def separator_text(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Of ASCII keys; equal keys and a first key give the right one."""
-    out = []
-    for a, b in zip(left, right):
-        found = separator(None if a is None else a.encode("latin-1"), b.encode("latin-1"))
-        out.append(b if found is None else found.decode("latin-1"))
-    return pd.Series(out)
+    return pd.Series([text_separator(a, b) for a, b in zip(left, right)], dtype=object)
 
 
 def block_separators(stats: DataFrame, by: list[str]) -> DataFrame:

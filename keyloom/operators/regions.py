@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,3 +40,14 @@ def assign(df: DataFrame, key: str, splits: list[str]) -> DataFrame:
         return keys.map(lambda k: None if k is None else bisect.bisect_right(edges, k.encode()), na_action="ignore").astype("Int32")
 
     return df.withColumn("region", search(key))
+
+
+def ranked(df: DataFrame, key: str, name: str = "rank", ranges: int = 1024) -> DataFrame:
+    """`df` with its rank (from 1) in the order of `key`, whose values differ. The borders of `ranges` ranges are keys with the smallest
+    hashes, an even draw of bounded size; a row's range follows from its key alone, so no task has to see a whole order."""
+    drawn = df.select(F.col(key).alias("k")).filter("k is not null").orderBy(F.xxhash64("k"), "k").limit(ranges - 1).collect()
+    placed = assign(df, key, sorted({r["k"] for r in drawn}, key=str.encode))
+    before = Window.orderBy("region").rowsBetween(Window.unboundedPreceding, -1)  # over a row per range
+    first = placed.groupBy("region").agg(F.count(F.lit(1)).alias("_n")).select("region", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("region").orderBy(key))
+    return placed.withColumn("_at", within).join(F.broadcast(first), "region").withColumn(name, F.col("_before") + F.col("_at")).drop("region", "_at", "_before")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .layout import REQUIRED_META, TAG_META
@@ -25,7 +25,8 @@ def verdict(verified: DataFrame) -> DataFrame:
 
 def sampled(df: DataFrame, key: str, percent: int) -> DataFrame:
     """A stable sample by key hash, so that both sides of a check draw the same rows."""
-    return df.filter(F.pmod(F.xxhash64(key), F.lit(100)) < percent)
+    draw = F.conv(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    return df.filter(draw % 100 < percent)
 
 
 def row_count_check(actual: DataFrame, row: str, at_least: int) -> DataFrame:
@@ -48,7 +49,7 @@ def required_meta(entries: DataFrame, by: list[str], name: str = "name", require
 
 def metadata_check(stats: DataFrame, **expected) -> DataFrame:
     """Of each expected column value, whether the row has it."""
-    return stats.select("*", *[F.col(k).eqNullSafe(F.lit(v)).alias(f"{k}_ok") for k, v in expected.items()])
+    return stats.select("*", *[F.col(k).eqNullSafe(v if isinstance(v, Column) else F.lit(v)).alias(f"{k}_ok") for k, v in expected.items()])
 
 
 def table_diff(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -59,7 +60,3 @@ def table_diff(left: DataFrame, right: DataFrame) -> DataFrame:
 def first_cells(cells: DataFrame, order: list, n: int) -> DataFrame:
     """The first `n` cells in order: the limit of a report."""
     return cells.orderBy(*order).limit(n)
-
-
-def ranked(df: DataFrame, order: list, by: list[str] | None = None, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over((Window.partitionBy(*by) if by else Window).orderBy(*order)).cast("long"))

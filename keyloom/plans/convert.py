@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import InvalidArgument
 from ..functions.text import row_value
+from ..operators.cells import validate
 from ..operators.dedup import first_wins
 from . import rules
 from .options import ConvertOptions
@@ -27,6 +28,7 @@ def visible(df: DataFrame, excluded=(), prefixes=()) -> list[tuple[str, T.DataTy
 class Outcome:
     cells: DataFrame
     counters: DataFrame
+    rejected: DataFrame
 
     def json(self) -> DataFrame:
         """The counters as one JSON text."""
@@ -62,7 +64,8 @@ def fast_path_guard(df: DataFrame, options: ConvertOptions) -> Column:
 def convert(df: DataFrame, options: ConvertOptions) -> Outcome:
     """Sorted cells (row, family, qualifier, ts, type, value) and one row of counters.
 
-    One shuffle groups the keys, after a partial aggregation on the map side; the range sort moves only the rows that are left.
+    One shuffle groups the keys, after a partial aggregation on the map side; the range sort moves only the rows that are left. Cells that
+    are not valid go by `error_policy`: the batches of `skip_batch` are source files, or the values of the first order column.
     """
     if options.numeric_sort_fast_path.lower() == "on":
         ok = fast_path_guard(df, options)
@@ -70,12 +73,16 @@ def convert(df: DataFrame, options: ConvertOptions) -> Outcome:
     rows, columns = keyed(df, options)
     value = row_value(columns)
     ts = F.lit(options.default_timestamp_ms).cast("long") if options.default_timestamp_ms > 0 else F.unix_millis(F.current_timestamp())
-    slim = rows.select("_key", "_order", value.alias("_value"))
+    policy = options.error_policy.lower()
+    place = F.col("_order")[options.order[0] if options.order else "file_path"]
+    batch = [place.alias("_batch")] if policy == "skip_batch" else []
+    slim = rows.select("_key", "_order", value.alias("_value"), *batch)
     kept = first_wins(slim.filter(F.length("_key") > 0), ["_key"], "_order")
     cells = kept.select(
-        F.col("_key").alias("row"), F.lit(options.column_family).alias("family"), F.lit("").alias("qualifier"), ts.alias("ts"), F.lit(PUT).cast("short").alias("type"), F.col("_value").alias("value")
-    ).orderBy("row")
-    return Outcome(cells, counters(slim))
+        F.col("_key").alias("row"), F.lit(options.column_family).alias("family"), F.lit("").alias("qualifier"), ts.alias("ts"), F.lit(PUT).cast("short").alias("type"), F.col("_value").alias("value"), *(["_batch"] if batch else [])
+    )
+    accepted, rejected = validate(cells, policy, options.max_errors, "_batch")
+    return Outcome(accepted.drop("_batch").orderBy("row"), counters(slim), rejected.drop("_batch"))
 
 
 def counters(rows: DataFrame) -> DataFrame:
@@ -88,9 +95,3 @@ def counters(rows: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(real, F.col("n") - 1).otherwise(F.col("n"))), F.lit(0)).alias("skipped"),
         F.count_if(real & (F.col("n") > 1)).alias("duplicate_keys"),
     )
-
-
-def observed(df: DataFrame, name: str = "conversion") -> tuple[DataFrame, Observation]:
-    """Row counts taken while another action runs."""
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows_read")), seen

@@ -17,10 +17,15 @@ CHOICES = {
     "compression": ("none", "gz", "gzip"), "data_block_encoding": ("none",), "fsync_policy": ("safe", "fast", "paranoid"), "error_policy": ("strict", "skip_row", "skip_batch"),
     "bloom_type": ("none", "row", "rowcol"), "numeric_sort_fast_path": ("auto", "on", "off"),
 }
+#: Accepted only as 0.
+SPARK_DECIDES = ("max_memory_bytes", "compression_threads", "compression_queue_depth")
 
 
 @dataclass(frozen=True)
 class ConvertOptions:
+    """`compression`, `compression_level`, `block_size`, `bloom_type` and `fsync_policy` shape cell files; `error_policy` and `max_errors` say what
+    becomes of cells that are not valid; converted cells have no MVCC number, so `include_mvcc` writes the same bytes either way."""
+
     rule: str = ""
     table_name: str = ""
     column_family: str = "cf"
@@ -38,6 +43,7 @@ class ConvertOptions:
     error_policy: str = "skip_row"
     bloom_type: str = "row"
     include_mvcc: bool = False
+    max_errors: int = 0
     max_memory_bytes: int = 0
     compression_threads: int = 0
     compression_queue_depth: int = 0
@@ -47,6 +53,9 @@ class ConvertOptions:
         for name, values in CHOICES.items():
             if str(getattr(self, name)).lower() not in values:
                 raise InvalidArgument(f"{name} must be one of {', '.join(values)}")
+        for name in SPARK_DECIDES:
+            if getattr(self, name):
+                raise InvalidArgument(f"{name}: Spark's memory settings and task slots decide this; leave it 0")
         if not 0 <= self.compression_level <= 9:
             raise InvalidArgument("compression_level must be 0 to 9")
         if self.block_size <= 0:

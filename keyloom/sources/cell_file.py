@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import functools
 import gzip
+import os
 import struct
 import time
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -25,6 +27,8 @@ from .arrow_stream import _filesystem
 DATA, LEAF, ROOT, META_INDEX, INFO, FILTER, FILTER_META, TRAILER = b"DATABLK*", b"IDXLEAF2", b"IDXROOT2", b"IDXROOT2", b"FILEINF2", b"BLMFBLK2", b"BLMFMET2", b'TRABLK"$'
 HEADER, CHECKSUM_CRC32C, TRAILER_SIZE, VERSION = 33, 2, 4096, 3 << 24 | 3
 CODECS = {"gz": 1, "none": 2}
+#: Keys of a filter that are hashed at once.
+PENDING = 4096
 COMPARATOR = "org.apache.hadoop.hbase.InnerStoreCellComparator"
 HASH_TYPE, FILTER_VERSION = 1, 3
 
@@ -46,12 +50,14 @@ def _field(number: int, value) -> bytes:
 class Writer:
     """Blocks of one file, in the order of its cells."""
 
-    def __init__(self, out, compression: str = "gz", level: int = 1, block_size: int = layout.BLOCK_SIZE, filter_keys: int = 0, leaf_target: int = layout.LEAF_TARGET):
+    def __init__(self, out, compression: str = "gz", level: int = 1, block_size: int = layout.BLOCK_SIZE, filter_keys: int = 0, leaf_target: int = layout.LEAF_TARGET, filter_kind: str = "row"):
+        self.filter_kind, self.last_filtered = filter_kind, None
         self.out, self.compression, self.level, self.block_size, self.leaf_target = out, compression, level, block_size, leaf_target
         self.at, self.raw, self.before = 0, 0, {}
         self.block, self.first_key, self.leaf, self.root, self.leaf_bytes, self.index_bytes = bytearray(), None, [], [], layout.LEAF_HEADER, 0
         self.entries, self.key_bytes, self.value_bytes, self.last, self.last_order, self.biggest = 0, 0, 0, None, None, (0, b"")
         self.first_block = self.last_block = 0
+        self.pending: list[bytes] = []
         self.filter_keys, self.filters, self.filter, self.filter_n, self.filter_first, self.last_row, self.n_rows = filter_keys, [], bytearray(layout.CHUNK_BYTES), 0, b"", None, 0
 
     def _put(self, magic: bytes, data: bytes, packed: bool = True) -> tuple[int, int]:
@@ -77,8 +83,11 @@ class Writer:
         key = cell_key(row, family, qualifier, ts, kind)
         if not self.block:
             self.first_key = self._separator(row, qualifier, family, key)
-        if self.filter_keys and row != self.last_row:
-            self._filter(row)
+        if self.filter_keys:
+            filtered = layout.rowcol_key(row, qualifier) if self.filter_kind == "rowcol" else row
+            if filtered != self.last_filtered:
+                self._filter(filtered)
+                self.last_filtered = filtered
         self.block += encode_cell(key, value)
         self.entries, self.key_bytes, self.value_bytes = self.entries + 1, self.key_bytes + len(key), self.value_bytes + len(value)
         if 12 + len(key) + len(value) > self.biggest[0]:
@@ -96,19 +105,28 @@ class Writer:
             return struct.pack(">H", len(row)) + row + bytes([len(family)]) + family + layout.separator(self.last_order[2], qualifier) + latest
         return key
 
-    def _filter(self, row: bytes) -> None:
+    def _filter(self, key: bytes) -> None:
         if self.filter_n == self.filter_keys:
             self._close_filter()
         if not self.filter_n:
-            self.filter_first = row
-        for bit in layout.bloom_bits(row, self.hashes, len(self.filter) * 8):
-            self.filter[bit >> 3] |= 1 << (bit & 7)
+            self.filter_first = key
+        self.pending.append(key)
+        if len(self.pending) == PENDING:
+            self._hash_pending()
         self.filter_n, self.n_rows = self.filter_n + 1, self.n_rows + 1
 
+    def _hash_pending(self) -> None:
+        if self.pending:
+            places = layout.bloom_positions(self.pending, self.hashes, len(self.filter) * 8).ravel()
+            bits = np.frombuffer(self.filter, np.uint8)
+            np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
+            self.pending = []
+
     hashes = 7
 
     def _close_filter(self) -> None:
         if self.filter_n:
+            self._hash_pending()
             bits, most = bytes(self.filter), self.filter_keys
             while len(bits) % 2 == 0 and most > self.filter_n * 2:
                 half = len(bits) // 2
@@ -170,7 +188,7 @@ class Writer:
             "hfile.MAX_TAGS_LEN": struct.pack(">i", 0), "hfile.TAGS_COMPRESSED": b"\0",
         }
         if self.filters:
-            info |= {"BLOOM_FILTER_TYPE": b"ROW", "LAST_BLOOM_KEY": self.last_row}
+            info |= {"BLOOM_FILTER_TYPE": self.filter_kind.upper().encode(), "LAST_BLOOM_KEY": self.last_filtered}
         pairs = b"".join(_field(1, _field(1, k.encode()) + _field(2, v)) for k, v in sorted(info.items()))
         info_at, _ = self._put(INFO, b"PBUF" + varint(len(pairs)) + pairs)
         if self.filters:
@@ -191,10 +209,19 @@ def _most_keys() -> int:
     return int(-bits / Writer.hashes * math.log(1 - math.exp(math.log(layout.ERROR_RATE) / Writer.hashes)))
 
 
-def write(cells: DataFrame, folder: str, compression: str = "gz", level: int = 1, block_size: int = layout.BLOCK_SIZE, row_filter: bool = True) -> DataFrame:
+def _flush(path: str) -> None:
+    handle = os.open(path, os.O_RDONLY)
+    try:
+        os.fsync(handle)
+    finally:
+        os.close(handle)
+
+
+def write(cells: DataFrame, folder: str, compression: str = "gz", level: int = 1, block_size: int = layout.BLOCK_SIZE, bloom_type: str = "row", fsync: str = "safe") -> DataFrame:
     """Write sorted files of disjoint row ranges; path, entries, file_bytes, first_row and last_row of each, when an action runs.
 
-    A file is written under a name of its own and renamed when it is whole; a lost attempt's file is in no result.
+    A file is written under a name of its own and renamed when it is whole; a lost attempt's file is in no result. `fsync` holds where the
+    folder is on a local disk: `safe` flushes a file before it is renamed, `paranoid` its folder too, `fast` neither.
     """
     names = ["path", "entries", "file_bytes", "first_row", "last_row"]
 
@@ -206,13 +233,17 @@ def write(cells: DataFrame, folder: str, compression: str = "gz", level: int = 1
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if writer is None:
                     out = system.open_output_stream(f"{path}/.tmp-{name}", compression=None)
-                    writer = Writer(out, compression, level, block_size, _most_keys() if row_filter else 0)
+                    writer = Writer(out, "gz" if compression == "gzip" else compression, level, block_size, _most_keys() if bloom_type != "none" else 0, filter_kind=bloom_type)
                     first = row[0]
                 writer.append(*row)
         if writer is not None:
             done = writer.finish()
             out.close()
+            if system.type_name == "local" and fsync != "fast":
+                _flush(f"{path}/.tmp-{name}")
             system.move(f"{path}/.tmp-{name}", f"{path}/{name}")
+            if system.type_name == "local" and fsync == "paranoid":
+                _flush(path)
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{name}"]), pa.array([done["entries"]], pa.int64()), pa.array([done["file_bytes"]], pa.int64()), pa.array([first], pa.binary()), pa.array([done["last_row"]], pa.binary())], names)
 
     columns = [f"cast({c} as binary) {c}" for c in ("row", "family", "qualifier")]
@@ -317,8 +348,9 @@ class File:
                 yield key[2 : 2 + n], key[3 + n : 3 + n + f], key[3 + n + f : -9], *struct.unpack(">qB", key[-9:]), value
                 at += 10 + k + v
 
-    def may_hold(self, row: bytes) -> bool:
-        return not self.filters or any(layout.might_contain(c, row, Writer.hashes) for c in self.filters)
+    def may_hold(self, row: bytes, qualifier: bytes = b"") -> bool:
+        key = layout.rowcol_key(row, qualifier) if self.info.get("BLOOM_FILTER_TYPE") == b"ROWCOL" else row
+        return not self.filters or any(layout.might_contain(c, key, Writer.hashes) for c in self.filters)
 
     @functools.cached_property
     def filters(self) -> list[bytes]:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,14 @@ def write_cells(cells: DataFrame, path: str, compression: str = "gzip", mode: st
     cells.repartitionByRange("row").sortWithinPartitions("row").write.mode(mode).option("compression", compression).option("parquet.bloom.filter.enabled#row", "true").parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for an example's output: in `spark.checkpoint.dir`, or where that is unset on a local master, in its own folder."""
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(shared or f'file://{tempfile.gettempdir()}').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def output_name(source: Column) -> Column:
     """`a.arrow` as `a.cells`."""
     return F.concat(F.regexp_replace(source, r"\.arrow$", ""), F.lit(".cells"))
