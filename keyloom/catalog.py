@@ -318,9 +318,15 @@ def vint_bytes(spark, sf):
     return _read(spark, sf, "orders").select("o_orderkey", F.hex(encoding.writable_vint_bytes(v)).alias("code"))
 
 
-@query()  # nor this polynomial
+@query(
+    """WITH t AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 2197175160) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda e: ('0x' || e)::BIGINT) AS b FROM documents),
+c AS (SELECT doc_id, chunk, b[(chunk * 16384 + 1):((chunk + 1) * 16384)] AS p FROM (SELECT doc_id, b, unnest(range((len(b) + 16383) // 16384)) AS chunk FROM b))
+SELECT doc_id, chunk, xor(list_reduce(list_prepend(4294967295::BIGINT, p), lambda c, v: xor(t[(xor(c, v) & 255) + 1], c >> 8)), 4294967295) AS checksum FROM c, t"""
+)
 def block_checksums(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", encoding.checksums(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("checksums"))
+    sums = encoding.checksums(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return _read(spark, sf, "documents").select("doc_id", F.posexplode(sums).alias("chunk", "checksum")).withColumn("chunk", F.col("chunk").cast("long"))
 
 
 @query(

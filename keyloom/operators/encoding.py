@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,14 +84,22 @@ def crc32c(data: bytes, chunk: int = CHUNK) -> list[int]:
     return out
 
 
-@F.pandas_udf(T.BinaryType())
-def writable_vint_bytes(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else writable_vint(int(v)), na_action="ignore")
+def writable_vint_bytes(v: Column) -> Column:
+    """`writable_vint` in built-in expressions."""
+    v = v.cast("long")
+    digits = F.hex(F.when(v < 0, F.bitwise_not(v)).otherwise(v))
+    n = F.ceil(F.length(digits) / 2).cast("int")
+    long = F.concat(F.hex((F.when(v < 0, F.lit(136)).otherwise(F.lit(144)) - n).cast("long")), F.lpad(digits, n * 2, F.lit("0")))
+    return F.unhex(F.when(v.between(-112, 127), F.lpad(F.hex(v.bitwiseAND(F.lit(255).cast("long"))), 2, "0")).otherwise(long))
 
 
-@F.pandas_udf(T.BinaryType())
-def varint_bytes(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None else varint(int(v)), na_action="ignore")
+def varint_bytes(v: Column) -> Column:
+    """`varint` of numbers of 0 or more in built-in expressions."""
+    v = v.cast("long")
+    n = F.greatest(F.lit(1), F.ceil(F.length(F.bin(v)) / 7)).cast("int")
+    seven = lambda i: F.call_function("shiftright", v, (i * 7).cast("int")).bitwiseAND(F.lit(127).cast("long"))
+    byte = lambda i: F.lpad(F.hex(seven(i) + F.when(i < n - 1, F.lit(128)).otherwise(F.lit(0)).cast("long")), 2, "0")
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), byte), ""))
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))

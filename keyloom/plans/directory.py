@@ -8,7 +8,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import InvalidArgument
+from ..errors import InvalidArgument, SchemaMismatch
 from ..operators import batches
 from ..sources import arrow_stream, cell_file, cells_io
 from .convert import convert
@@ -39,6 +39,9 @@ class DirectoryOptions:
 def read(spark: SparkSession, form: str, *paths: str) -> tuple[DataFrame, tuple[str, ...]]:
     """The rows of these files and the columns that order them; none: their place in their files."""
     if form == "arrow":
+        schemas = [arrow_stream.peek_schema(p) for p in paths]
+        if any(s.names != schemas[0].names for s in schemas):
+            raise SchemaMismatch(f"files beside {paths[0]} have other columns")
         return arrow_stream.read(spark, None, files=list(paths), position=True), ("_file", "_batch", "_row")
     frames = [spark.read.format(form).load(p) for p in paths]
     batches.check_schemas(frames)

@@ -67,3 +67,11 @@ def test_written_by_spark(spark, tmp_path):
         assert sum(b for _, b in parts) == f["file_bytes"] and sum(c == "FILE_INFO" for c, _ in parts) == 1
         read += list(cell_file.File(open(f["path"], "rb").read()).cells())
     assert [(r[0].decode(), r[5].decode()) for r in read] == [(r["row"], r["value"]) for r in cells.orderBy("row").collect()]
+
+
+def test_filters_over_rows_and_qualifiers():
+    cells, data, _ = made(filter_kind="rowcol")
+    file = cell_file.File(data)
+    assert file.info["BLOOM_FILTER_TYPE"] == b"ROWCOL" and file.info["LAST_BLOOM_KEY"] == layout.rowcol_key(cells[-1][0], cells[-1][2])
+    assert all(file.may_hold(c[0], c[2]) for c in cells[::7])
+    assert sum(file.may_hold(c[0], b"none") for c in cells[::7]) < 60 and len(file.filters) == 3

@@ -5,8 +5,9 @@ import pytest
 
 from keyloom.cli import Session
 from keyloom.errors import InvalidArgument, SchemaMismatch, SourceError
+from keyloom.plans import directory
 from keyloom.plans.options import ConvertOptions
-from keyloom.sources import arrow_stream, cells_io, mock
+from keyloom.sources import arrow_stream, cell_file, cells_io, mock
 from keyloom.streaming import microbatch
 
 
@@ -87,3 +88,77 @@ def test_stream_of_files(spark, tmp_path):
     query = microbatch.start(microbatch.stream(spark, str(tmp_path / "in"), df.schema), options, str(tmp_path / "out"), str(tmp_path / "check"), available_now=True)
     query.awaitTermination(120)
     assert [r["row"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("row").collect()] == ["a", "b"]
+
+
+def folder_of_three(spark, tmp_path):
+    import pyarrow as pa
+
+    (tmp_path / "in").mkdir()
+    for name, ids in (("one", ["b", "a"]), ("two", ["a", "c", "c"])):
+        with pa.ipc.new_stream(str(tmp_path / "in" / f"{name}.arrow"), pa.schema([("id", pa.string()), ("v", pa.int64())])) as w:
+            w.write_batch(pa.record_batch([pa.array(ids), pa.array(range(len(ids)), pa.int64())], ["id", "v"]))
+    (tmp_path / "in" / "bad.arrow").write_bytes(b"no such stream")
+    return str(tmp_path / "in")
+
+
+@pytest.mark.parametrize("sink", ["parquet", "cells"])
+def test_directory_conversion(spark, tmp_path, sink):
+    source, heard = folder_of_three(spark, tmp_path), []
+    s = Session(spark)
+    how = directory.DirectoryOptions(sink=sink, parallelism=2)
+    got = {r["output"].rsplit("/", 1)[-1]: r for r in s.convert_directory(source, str(tmp_path / "out"), "t", "ID,0,false,0", how, heard.append).collect()}
+    assert {k: (r["error_code"], r["cells"]) for k, r in got.items()} == {"bad.cells": (2, 0), "one.cells": (0, 2), "two.cells": (0, 2)}
+    assert "bad.arrow" in got["bad.cells"]["error"] and len(heard) == 3
+    totals = json.loads(s.last_result())
+    assert (totals["succeeded"], totals["failed"], totals["cells"]) == (2, 1, 4) and (totals["bytes"] > 0) == (sink == "cells")
+    again = s.convert_directory(source, str(tmp_path / "out"), "t", "ID,0,false,0", directory.DirectoryOptions(sink=sink, skip_existing=True)).collect()
+    assert [r["output"].rsplit("/", 1)[-1] for r in again] == ["bad.cells"]
+    assert all(r["error_code"] for r in s.convert_directory(source, str(tmp_path / "out"), "t", "ID,0,false,0", how).collect())
+
+
+def test_merged_directory_conversion(spark, tmp_path):
+    source = folder_of_three(spark, tmp_path)
+    (tmp_path / "in" / "bad.arrow").unlink()
+    s = Session(spark)
+    for strategy in ("merge-then-convert", "auto"):
+        got = s.convert_directory(source, str(tmp_path / strategy), "my table", "ID,0,false,0", directory.DirectoryOptions(strategy=strategy)).collect()
+        assert [(r["output"].rsplit("/", 1)[-1], r["cells"]) for r in got] == [("my_table_000.cells", 3)]
+    with pytest.raises(InvalidArgument):
+        directory.DirectoryOptions(strategy="other")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from keyloom import cli
+
+    source = folder_of_three(spark, tmp_path)
+    given = ["--input", f"{source}/one.arrow", "--rule", "ID,0,false,0", "--sink", "cells", "--compression", "none", "--block-size", "512", "--bloom-type", "rowcol", "--fsync-policy", "paranoid", "--default-timestamp-ms", "7", "--column-family", "x"]
+    assert cli.main([*given, "--output", str(tmp_path / "a")]) == 0
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["written"] == 2
+    read = [c for f in sorted((tmp_path / "a").glob("*.cells")) for c in cell_file.File(f.read_bytes()).cells()]
+    assert sorted(c[:5] for c in read) == [(b"a", b"x", b"", 7, 4), (b"b", b"x", b"", 7, 4)]
+    files = [cell_file.File(f.read_bytes()) for f in (tmp_path / "a").glob("*.cells")]
+    assert {f.info["BLOOM_FILTER_TYPE"] for f in files} == {b"ROWCOL"} and {f.codec for f in files} == {2}
+    assert cli.main([*given, "--output", str(tmp_path / "b"), "--max-memory-bytes", "5"]) == 1
+    assert cli.main(["--batch", "--input", source, "--output", str(tmp_path / "c"), "--rule", "ID,0,false,0", "--progress"]) == 20
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1])["failed"] == 1
+
+
+def test_error_policies_of_a_conversion(spark):
+    from pyspark.errors import PySparkException
+
+    from keyloom.plans.convert import convert
+
+    df = spark.createDataFrame([(0, "f", "k" * 40_000), (1, "f", "good"), (2, "g", "fine")], "_o int, file string, id string")
+    base = {"rule": "ID,1,false,0", "default_timestamp_ms": 1, "excluded_columns": ("_o",)}
+    out = convert(df, ConvertOptions(**base, order=("_o",)))
+    assert {r["row"] for r in out.cells.collect()} == {"good", "fine"} and [r["error_reason"] for r in out.rejected.collect()] == ["ROW_TOO_LONG"]
+    assert {r["row"] for r in convert(df, ConvertOptions(**base, order=("file", "_o"), error_policy="skip_batch")).cells.collect()} == {"fine"}
+    with pytest.raises(PySparkException):
+        convert(df, ConvertOptions(**base, order=("_o",), error_policy="strict")).cells.collect()
+
+
+@pytest.mark.parametrize("name", ["max_memory_bytes", "compression_threads", "compression_queue_depth"])
+def test_options_that_spark_decides_are_refused(name):
+    assert getattr(ConvertOptions.from_json(json.dumps({name: 0})), name) == 0
+    with pytest.raises(InvalidArgument):
+        ConvertOptions.from_json(json.dumps({name: 3}))

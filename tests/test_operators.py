@@ -114,3 +114,77 @@ def test_checksums_per_chunk():
     assert encoding.crc32c(data) == [plain ^ 0xFFFFFFFF]
     assert encoding.crc32c(b"") == [] and encoding.crc32c(b"123456789" * 2, 9) == [0xE3069283] * 2
     assert len(encoding.crc32c(b"x" * 40_000)) == 3
+
+
+#: Hashes (unsigned) of bytes by seed, as the format demands them.
+HASHES = [
+    (b"\x01\x02\x03", 0, 0x3AA63325), (b"row_0", 0, 0xB06BB73A), (b"row_0", -123456789, 0x3AD85E04), (b"\x80", 0, 0xFDAB6E14), (b"\x80", 0xFDAB6E14, 0x97CFE73A),
+    (b"\xc3\xa9", 0, 0x20A5A987), (b"\xc3\xa9", 0x20A5A987, 0x47B788B2),
+]
+
+
+def test_hash_vectors(spark):
+    for data, seed, want in HASHES:
+        assert layout.murmur(data, seed) & 0xFFFFFFFF == want
+        assert int(layout.murmur_all([data, b"xyz", data], seed)[2]) & 0xFFFFFFFF == want
+    assert layout.rowcol_key(b"row", b"q") == b"\x00\x03row\x00q\x7f" + b"\xff" * 8
+    first = layout.murmur(layout.rowcol_key(b"row", b"q"))
+    assert (first & 0xFFFFFFFF, layout.murmur(layout.rowcol_key(b"row", b"q"), first) & 0xFFFFFFFF) == (0x9350B067, 0xF1A34EC0)
+    df = spark.createDataFrame([("row", "q"), ("r\u00e9", "")], "row string, qualifier string")
+    got = layout.bloom_keys(df, "rowcol").collect()
+    assert [bytes(r["row"]) for r in got] == [layout.rowcol_key(b"row", b"q"), layout.rowcol_key("r\u00e9".encode(), b"")]
+
+
+def test_hashes_of_many_keys():
+    import random
+
+    rng = random.Random(4)
+    keys = [rng.randbytes(rng.randrange(0, 23)) for _ in range(500)]
+    assert layout.murmur_all(keys).tolist() == [layout.murmur(k) for k in keys]
+    seeds = [rng.randrange(-(2**31), 2**31) for _ in keys]
+    import numpy as np
+
+    assert layout.murmur_all(keys, np.array(seeds)).tolist() == [layout.murmur(k, s) for k, s in zip(keys, seeds)]
+    assert layout.murmur_all([]).tolist() == []
+
+
+def test_filters_of_several_files_and_chunks(spark):
+    df = spark.createDataFrame([(f, f"{f}{i:04}") for f in "ab" for i in range(250)] + [("c", "c1")], "file string, row string")
+    chunks = layout.bloom_chunks(df, ["file"], "row", 100, 5, 256)
+    got = sorted((r["file"], r["chunk"], r["n_keys"], bytes(r["first_key"]), bytes(r["bits"])) for r in chunks.collect())
+    assert [(f, c, n, k.decode()) for f, c, n, k, _ in got] == [(f, c, n, f"{f}{c * 100:04}") for f in "ab" for c, n in enumerate((100, 100, 50))] + [("c", 0, 1, "c1")]
+    for f, c, n, _, bits in got[:-1]:
+        want = {p for i in range(100 * c, 100 * c + n) for p in layout.bloom_bits(f"{f}{i:04}".encode(), 5, 2048)}
+        assert {8 * i + j for i, b in enumerate(bits) for j in range(8) if b >> j & 1} == want
+    asked = spark.createDataFrame([("a", "a0000"), ("a", "a0249"), ("b", "b0100"), ("a", "0"), ("d", "x"), ("a", None)], "file string, row string")
+    assert {(r["file"], r["row"]): r["may_contain"] for r in layout.filter_probe(asked, chunks, "row", 5).collect()} == {("a", "a0000"): True, ("a", "a0249"): True, ("b", "b0100"): True, ("a", "0"): False, ("d", "x"): False, ("a", None): False}
+
+
+def test_separators_of_any_script(spark):
+    df = spark.createDataFrame([("f", k, a, z) for k, (a, z) in enumerate([("\u043a\u043b\u044e\u0447", "\u043b"), ("\u6771", "\u6771\u4eac"), ("\u6771\u4eac", "\U0001f600"), ("\U0001f601", "\U0001f602")])], "f string, block int, first_key string, last_key string")
+    keys = [r["index_key"] for r in layout.block_separators(df, ["f"]).orderBy("block").collect()]
+    rows = df.orderBy("block").collect()
+    assert all(a["last_key"].encode() < k.encode() <= b["first_key"].encode() for a, k, b in zip(rows, keys[1:], rows[1:]) if a["last_key"] < b["first_key"])
+    assert layout.text_separator("ab\ud7ff", "b") == "b" or layout.text_separator("ab\ud7ff", "ab\ue001") == "ab\ue000"
+
+
+def test_integer_codes_in_expressions(spark):
+    values = [0, 1, 127, 128, 300, 2**31, 2**63 - 1, -1, -112, -113, -129, -(2**63)]
+    df = spark.createDataFrame([(v,) for v in values], "x long")
+    assert [bytes(r[0]) for r in df.select(encoding.writable_vint_bytes(F.col("x"))).collect()] == [encoding.writable_vint(v) for v in values]
+    plain = [v for v in values if v >= 0]
+    df = spark.createDataFrame([(v,) for v in plain], "x long")
+    assert [bytes(r[0]) for r in df.select(encoding.varint_bytes(F.col("x"))).collect()] == [encoding.varint(v) for v in plain]
+
+
+def test_ranks_over_drawn_borders(spark):
+    df = spark.range(500).selectExpr("concat('k', id) k").repartition(7)
+    want = {k: i + 1 for i, k in enumerate(sorted(f"k{i}" for i in range(500)))}
+    for ranges in (1, 2, 50):
+        assert {r["k"]: r["rank"] for r in regions.ranked(df, "k", ranges=ranges).collect()} == want
+
+
+def test_batches_of_many_files(spark):
+    files = spark.range(3000).selectExpr("concat('f', lpad(id, 6, '0')) path", "1L bytes", "0L mtime_ms").repartition(5)
+    got = batches.batch_ids(files, batches.Policy(size=10**9, count=7)).collect()
+    assert {r["path"]: r["batch"] for r in got} == {f"f{i:06}": i // 7 for i in range(3000)}
