@@ -396,11 +396,19 @@ def test_strip_keeps_columns_and_characters(spark, odd, nothing):
 # ---- 2 near-duplicates
 
 
-def plain_classes(rows, similar=0.8):
-    sets = []
-    for _, t in rows:
-        w = (t or "").lower().split()
-        sets.append(frozenset(zip(*[w[i:] for i in range(5)])) if len(w) >= 5 else frozenset([tuple(w)] if w else []))
+def exact_classes(rows, idf):
+    """(roots, links): components of the pairs at 0.8 by weighted Jaccard similarity, over all pairs, and these pairs."""
+    text, h, tf, _ = neardup.shingles([(t or "").lower().encode() for t in rows])
+    w = tf * idf[neardup._slot(h)]
+    total = np.bincount(text, w, len(rows))
+    places = defaultdict(list)
+    for k, x in enumerate(h.tolist()):
+        places[x].append(k)
+    low = Counter()
+    for ks in places.values():
+        for i, a in enumerate(ks):
+            for b in ks[:i]:
+                low[int(text[b]), int(text[a])] += min(w[a], w[b])
     parent = list(range(len(rows)))
 
     def root(i):
@@ -408,13 +416,10 @@ def plain_classes(rows, similar=0.8):
             i = parent[i]
         return i
 
-    for i, a in enumerate(sets):
-        for j in range(i):
-            b = sets[j]
-            if a and b and (a == b or len(a & b) >= similar * len(a | b)):
-                x, y = root(i), root(j)
-                parent[max(x, y)] = min(x, y)
-    return [root(i) for i in range(len(rows))]
+    links = [(a, b) for (a, b), x in low.items() if x >= 0.8 * (total[a] + total[b] - x) - 1e-9]
+    for a, b in links:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    return [root(i) for i in range(len(rows))], links
 
 
 def groups(pairs):
@@ -424,14 +429,53 @@ def groups(pairs):
     return sorted(sorted(v) for v in out.values())
 
 
-def test_near_duplicates_equal_brute_force(docs):
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_near_duplicates_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
     rows = sorted(texts(docs))
     got = {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect()}
-    want = plain_classes(rows)
-    assert groups((i, got[i]) for i, _ in rows) == groups((i, w) for (i, _), w in zip(rows, want))
+    roots, _ = exact_classes([t for _, t in rows], neardup.idf(docs))
+    assert groups((i, got[i]) for i, _ in rows) == groups((i, w) for (i, _), w in zip(rows, roots))
     assert all(got[c] == c for c in got.values())
 
 
+def planted(seed=9):
+    """Clusters of up to 150 members whose links run from below 0.8 to nearly 1, and texts of their own."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for size in (150, 150, 40, 40, 12, 5, 5, 3, 2, 2, *[1] * 120):
+        base = [f"w{x}" for x in rng.integers(0, 50_000, int(rng.integers(80, 400)))]
+        for _ in range(size):
+            own = base[:]
+            for at in rng.integers(0, len(own), int(len(own) * rng.uniform(0, 0.03)) if size > 1 else 0):
+                own[at] = f"n{rng.integers(0, 10**6)}"
+            rows.append(" ".join(own))
+    return list(enumerate(rows))
+
+
+def test_recall_among_planted_clusters(spark):
+    rows = planted()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["class_id"] for r in neardup.classes(df).collect()}
+    roots, links = exact_classes([t for _, t in rows], neardup.idf(df))
+    assert len(links) > 5000 and np.mean([got[a] == got[b] for a, b in links]) >= 0.99
+    assert all(roots[i] == roots[c] for i, c in got.items())  # nothing joins that no chain of links joins
+
+
+def test_classes_do_not_depend_on_partitions(spark):
+    df = spark.createDataFrame(planted(4), "doc_id long, text string")
+    found, before = [], {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({r["doc_id"]: r["class_id"] for r in neardup.classes(df.repartition(n)).collect()})
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0] == found[1] == found[2]
+
+
 def test_near_duplicates_of_edited_texts(spark):
     rng = np.random.default_rng(3)
     base = [" ".join(f"w{x}" for x in rng.integers(0, 3000, 300)) for _ in range(40)]

@@ -1,8 +1,8 @@
 import hashlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 from helpers import SMALL
-from test_llm_ops import plain_leaks, plain_removal, tokenizer
+from test_llm_ops import exact_classes, plain_leaks, plain_removal, tokenizer
 
 import corpus_pipeline
 from keyloom.llm import neardup, quality, suffixdedup
@@ -15,39 +15,11 @@ def test_stages(spark, odd, nothing):
         assert stage(spark, nothing, SMALL).count() == 0
 
 
-def exact_classes(rows, idf):
-    """Components of the pairs at 0.8 by weighted Jaccard similarity, over all pairs."""
-    import numpy as np
-
-    text, h, tf, _ = neardup.shingles([(t or "").lower().encode() for t in rows])
-    w = tf * idf[neardup._slot(h)]
-    total = np.bincount(text, w, len(rows))
-    places = defaultdict(list)
-    for k, x in enumerate(h.tolist()):
-        places[x].append(k)
-    low = Counter()
-    for ks in places.values():
-        for i, a in enumerate(ks):
-            for b in ks[:i]:
-                low[int(text[b]), int(text[a])] += min(w[a], w[b])
-    parent = list(range(len(rows)))
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for (a, b), x in low.items():
-        if x >= 0.8 * (total[a] + total[b] - x) - 1e-9:
-            parent[max(root(a), root(b))] = min(root(a), root(b))
-    return [root(i) for i in range(len(rows))]
-
-
 def test_run_equals_the_stages_in_plain_python(spark, docs):
     """Surviving texts of every stage, and the pieces at the end."""
     cleaned = sorted((r["doc_id"], r["text"]) for r in quality.clean(docs).collect())  # held against SQL in its own tests
     idf = neardup.idf(quality.clean(docs))
-    classes = exact_classes([t for _, t in cleaned], idf)
+    classes, _ = exact_classes([t for _, t in cleaned], idf)
     first = [cleaned[k] for k in sorted(set(classes))]
     removed = plain_removal(first, 200)
     stripped = {r["doc_id"]: r["text"] for r in suffixdedup.strip(spark.createDataFrame(first, "doc_id long, text string")).collect()}
