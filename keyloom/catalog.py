@@ -218,7 +218,7 @@ def _lineitem_cells(spark, sf):
     "lag(struct_pack(r := lpad(l_orderkey::VARCHAR, 10, '0'), q := l_linestatus, t := -l_suppkey)) OVER (PARTITION BY l_returnflag ORDER BY l_partkey, l_suppkey, l_orderkey, l_linenumber, l_quantity, l_extendedprice) AS b FROM lineitem) WHERE k <= b GROUP BY l_returnflag"
 )
 def sort_violations(spark, sf):
-    return cells.sort_violations(_lineitem_cells(spark, sf), ["l_returnflag"], F.col("_o")).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    return cells.sort_violations(_lineitem_cells(spark, sf), ["l_returnflag"], F.col("_o"), along=F.col("_o.l_partkey")).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
 # ---- cells

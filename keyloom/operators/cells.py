@@ -26,11 +26,28 @@ def ordered_key() -> Column:
     return F.struct("row", "family", "qualifier", (-F.col("ts")).alias("ts"), (-F.col("type")).alias("type"))
 
 
-def sort_violations(df: DataFrame, by: list[str], order: Column, key: Column | None = None) -> DataFrame:
-    """Cells that are not above the one before them in `order`, within each group of `by` (a file)."""
+def sort_violations(df: DataFrame, by: list[str], order: Column, key: Column | None = None, along: Column | None = None, ranges: int = 64) -> DataFrame:
+    """Cells that are not above the one before them in `order`, within each group of `by` (a file).
+
+    `along`, a number that never falls in `order` (its first part, say), splits large files: they are looked at in ranges of it, whose
+    borders are an even draw of bounded size, and the first cell of a range is held against the last one before the range.
+    """
     key = ordered_key() if key is None else key
-    before = F.lag(key).over(Window.partitionBy(*by).orderBy(order))
-    return df.withColumn("_before", before).withColumn("_key", key).filter(F.col("_key") <= F.col("_before")).drop("_before", "_key")
+    rows = df.withColumn("_key", key).withColumn("_order", order)
+    part = F.lit(0)
+    if along is not None:
+        rows = rows.withColumn("_along", along)
+        drawn = rows.select("_along").filter("_along is not null").distinct().orderBy(F.xxhash64("_along"), "_along").limit(ranges - 1).collect()
+        for border in sorted(r["_along"] for r in drawn):
+            part = part + F.when(F.col("_along") >= F.lit(border), 1).otherwise(0)
+    rows = rows.withColumn("_part", part)
+    last = rows.groupBy(*by, "_part").agg(F.max_by("_key", "_order").alias("_last"))
+    edge = last.withColumn("_edge", F.lag("_last").over(Window.partitionBy(*by).orderBy("_part"))).drop("_last")  # a row per file and range
+    before = F.lag("_key").over(Window.partitionBy(*by, "_part").orderBy("_order"))
+    first = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_order")) == 1
+    seen = rows.withColumn("_before", before).withColumn("_first", first).join(edge, [*by, "_part"])
+    found = seen.filter(F.col("_key") <= F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_before")))
+    return found.select(*df.columns)
 
 
 def duplicate_cells(df: DataFrame, keys: list[str]) -> DataFrame:

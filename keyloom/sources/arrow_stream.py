@@ -72,6 +72,30 @@ def _column(column: pa.Array, kind: pa.DataType) -> pa.Array:
 POSITION = (("_file", pa.string()), ("_batch", pa.int64()), ("_row", pa.int64()))
 
 
+def position_fields() -> list:
+    """The columns of a row's place, as Spark's fields."""
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    return list(from_arrow_schema(pa.schema([pa.field(n, t) for n, t in POSITION])))
+
+
+def record_batches(source, path: str, names: list[str], position: bool = True):
+    """The batches of one stream, in the types that Spark has, with the rows' places."""
+    try:
+        stream = pa.ipc.open_stream(source)
+        if stream.schema.names != names:
+            raise SchemaMismatch(f"{path} has other columns than the first file")
+        kinds = [_plain(f.type) for f in stream.schema]
+        for k, batch in enumerate(stream):
+            columns = [_column(c, t) for c, t in zip(batch.columns, kinds)]
+            if position:
+                n = batch.num_rows
+                columns += [pa.array([path] * n, pa.string()), pa.array([k] * n, pa.int64()), pa.array(range(n), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *[n for n, _ in POSITION] * position])
+    except (OSError, pa.ArrowInvalid) as e:
+        raise SourceError(f"{path}: {e}") from e
+
+
 class ArrowFile(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -85,21 +109,9 @@ class ArrowStreamReader(DataSourceReader):
         return [ArrowFile(f) for f in self.files] or [ArrowFile("")]
 
     def read(self, partition):
-        if not partition.path:
-            return
-        stream = open_stream(partition.path)
-        if stream.schema.names != self.names:
-            raise SchemaMismatch(f"{partition.path} has other columns than the first file")
-        kinds = [_plain(f.type) for f in stream.schema]
-        try:
-            for k, batch in enumerate(stream):
-                columns = [_column(c, t) for c, t in zip(batch.columns, kinds)]
-                if self.position:
-                    n = batch.num_rows
-                    columns += [pa.array([partition.path] * n, pa.string()), pa.array([k] * n, pa.int64()), pa.array(range(n), pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, [*self.names, *[n for n, _ in POSITION] * self.position])
-        except (OSError, pa.ArrowInvalid) as e:
-            raise SourceError(f"{partition.path}: {e}") from e
+        if partition.path:
+            system, name = _filesystem(partition.path)
+            yield from record_batches(system.open_input_stream(name, compression=None), partition.path, self.names, self.position)
 
 
 class ArrowStreamSource(DataSource):

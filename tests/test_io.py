@@ -162,3 +162,15 @@ def test_options_that_spark_decides_are_refused(name):
     assert getattr(ConvertOptions.from_json(json.dumps({name: 0})), name) == 0
     with pytest.raises(InvalidArgument):
         ConvertOptions.from_json(json.dumps({name: 3}))
+
+
+def test_stream_of_arrow_files(spark, tmp_path):
+    source = folder_of_three(spark, tmp_path)
+    (tmp_path / "in" / "bad.arrow").unlink()
+    schema = spark.createDataFrame([], "id string, v long").schema
+    place = ("_file", "_batch", "_row")
+    options = ConvertOptions(rule="ID,0,false,0", default_timestamp_ms=1, order=place, excluded_columns=place)
+    query = microbatch.start(microbatch.stream_arrow(spark, source, schema), options, str(tmp_path / "out"), str(tmp_path / "check"), available_now=True)
+    query.awaitTermination(120)
+    got = [(r["row"], r["value"]) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("row").collect()]
+    assert got == [("a", "a|1"), ("b", "b|0"), ("c", "c|1")]

@@ -188,3 +188,16 @@ def test_batches_of_many_files(spark):
     files = spark.range(3000).selectExpr("concat('f', lpad(id, 6, '0')) path", "1L bytes", "0L mtime_ms").repartition(5)
     got = batches.batch_ids(files, batches.Policy(size=10**9, count=7)).collect()
     assert {r["path"]: r["batch"] for r in got} == {f"f{i:06}": i // 7 for i in range(3000)}
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 9])
+def test_sort_violations_across_ranges(spark, ranges):
+    import random
+
+    rng = random.Random(ranges)
+    rows = [(f, k, f"r{rng.randint(0, 30):02}") for f in "ab" for k in range(120)]
+    df = spark.createDataFrame(rows, "f string, k long, row string").repartition(5)
+    want = {(f, k) for (g, j, a), (f, k, b) in zip(rows, rows[1:]) if f == g and b <= a}
+    got = cells.sort_violations(df, ["f"], F.col("k"), F.col("row"), along=F.col("k"), ranges=ranges)
+    assert {(r["f"], r["k"]) for r in got.collect()} == want and got.columns == df.columns
+    assert {(r["f"], r["k"]) for r in cells.sort_violations(df, ["f"], F.col("k"), F.col("row")).collect()} == want
