@@ -18,7 +18,7 @@ def write_cells(cells: DataFrame, path: str, compression: str = "gzip", mode: st
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for an example's output: in `spark.checkpoint.dir`, or where that is unset on a local master, in its own folder."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(shared or f'file://{tempfile.gettempdir()}').rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
