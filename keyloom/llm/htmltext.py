@@ -419,17 +419,18 @@ def classify(node: Node, row) -> bool:
     return node.label
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page) if page else []
-    return "\n".join(" ".join(b.words) for b, row in zip(found, features(found)) if classify(tree(), row))
+def main_text(page: str | None, trained: Node | None = None) -> str:
+    found, trained = blocks(page) if page else [], trained or tree()
+    return "\n".join(" ".join(b.words) for b, row in zip(found, features(found)) if classify(trained, row))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    trained = tree()  # once, on the driver
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(p) for p in batch.column(2).to_pylist()]
+            texts = [main_text(p, trained) for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
