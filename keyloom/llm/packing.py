@@ -62,7 +62,8 @@ def pieces(docs: DataFrame, most: int = 2048, vocabulary: str = "byte_bpe_50k",
 
 def pack(docs: DataFrame, most: int = 2048, vocabulary: str = "byte_bpe_50k", with_ids: bool = False) -> DataFrame:
     """One row per piece, each a sequence of its own (offset 0), numbered bucket by bucket."""
-    found = pieces(docs, most, vocabulary, with_ids).withColumn("tie", F.monotonically_increasing_id())  # parts a piece that is repeated often
+    found = materialise(pieces(docs, most, vocabulary, with_ids), "cut")  # drawing ranges reads it once more, which must not encode again
+    found = found.withColumn("tie", F.monotonically_increasing_id())  # parts a piece that is repeated often
     order = ["bucket", "doc_id", "start", "ids_crc32", "doc_tokens", "tie"]
     ranged = found.repartitionByRange(*order).sortWithinPartitions(*order).drop("tie").withColumn("at", F.monotonically_increasing_id())
     ranged = materialise(ranged, "pieces")  # the ranges are drawn once
