@@ -482,10 +482,8 @@ SELECT o_orderpriority, chunk, n_keys, first_key, n_bits, sum_of_places FROM n J
 )
 def bloom_build(spark, sf):
     """Every filter by its keys, its first key, how many bits it has and the sum of their places."""
-    byte = lambda i: F.conv(F.substring(F.hex("bits"), i * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    places = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.when(F.getbit(byte(i), j) == 1, i * 8 + j)), lambda v: v.isNotNull())))
-    f = _filters(spark, sf).withColumn("at", places)
-    return f.select("o_orderpriority", "chunk", "n_keys", F.hex("first_key").alias("first_key"), F.size("at").cast("long").alias("n_bits"), F.aggregate("at", F.lit(0).cast("long"), lambda a, v: a + v).alias("sum_of_places"))
+    f = _filters(spark, sf).withColumn("m", layout.bloom_marks("bits"))
+    return f.select("o_orderpriority", "chunk", "n_keys", F.hex("first_key").alias("first_key"), "m.n_bits", "m.sum_of_places")
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SortViolation
 from ..functions.keycodes import big_endian
+from .regions import bisected
 
 #: Fixed values of the cell format.
 TYPES = {"Put": 4, "Delete": 8, "DeleteColumn": 12, "DeleteFamily": 14, "Maximum": 255}
@@ -36,18 +37,15 @@ def sort_violations(df: DataFrame, by: list[str], order: Column, key: Column | N
     rows = df.withColumn("_key", key).withColumn("_order", order)
     part = F.lit(0)
     if along is not None:
-        rows = rows.withColumn("_along", along)
-        drawn = rows.select("_along").filter("_along is not null").distinct().orderBy(F.xxhash64("_along"), "_along").limit(ranges - 1).collect()
-        for border in sorted(r["_along"] for r in drawn):
-            part = part + F.when(F.col("_along") >= F.lit(border), 1).otherwise(0)
+        drawn = rows.select(along.alias("a")).filter("a is not null").distinct().orderBy(F.xxhash64("a"), "a").limit(ranges - 1).collect()
+        part = F.when(along.isNull(), 0).otherwise(bisected(along, sorted(r["a"] for r in drawn)))
     rows = rows.withColumn("_part", part)
-    last = rows.groupBy(*by, "_part").agg(F.max_by("_key", "_order").alias("_last"))
-    edge = last.withColumn("_edge", F.lag("_last").over(Window.partitionBy(*by).orderBy("_part"))).drop("_last")  # a row per file and range
-    before = F.lag("_key").over(Window.partitionBy(*by, "_part").orderBy("_order"))
-    first = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_order")) == 1
-    seen = rows.withColumn("_before", before).withColumn("_first", first).join(edge, [*by, "_part"])
-    found = seen.filter(F.col("_key") <= F.when(F.col("_first"), F.col("_edge")).otherwise(F.col("_before")))
-    return found.select(*df.columns)
+    within = Window.partitionBy(*by, "_part").orderBy("_order")
+    seen = rows.withColumn("_before", F.lag("_key").over(within)).withColumn("_first", F.row_number().over(within) == 1).withColumn("_last", F.lead("_part").over(within).isNull())
+    inner = seen.filter(~F.col("_first") & (F.col("_key") <= F.col("_before")))
+    # of each range the first and the last cell: two rows, in the order of the file
+    edges = seen.filter("_first or _last").withColumn("_before", F.lag("_key").over(Window.partitionBy(*by).orderBy("_order")))
+    return inner.unionByName(edges.filter(F.col("_first") & (F.col("_key") <= F.col("_before")))).select(*df.columns)
 
 
 def duplicate_cells(df: DataFrame, keys: list[str]) -> DataFrame:

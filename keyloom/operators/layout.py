@@ -191,6 +191,13 @@ def bloom_chunks(keys: DataFrame, by: list[str], key: str, most: int, hashes: in
     return distinct.repartition(*by).sortWithinPartitions(*by, key).mapInArrow(run, schema)
 
 
+@F.pandas_udf(T.StructType([T.StructField("n_bits", T.LongType()), T.StructField("sum_of_places", T.LongType())]))
+def bloom_marks(bits: pd.Series) -> pd.DataFrame:
+    """How many bits each filter has, and the sum of their places."""
+    places = [np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8), bitorder="little")) for b in bits]
+    return pd.DataFrame({"n_bits": [len(p) for p in places], "sum_of_places": [int(p.sum()) for p in places]})
+
+
 def might_contain(bits: bytes, data: bytes, hashes: int) -> bool:
     return all(bits[b >> 3] >> (b & 7) & 1 for b in bloom_bits(data, hashes, len(bits) * 8))
 

@@ -13,6 +13,8 @@ from ..errors import InvalidArgument
 
 #: Up to so many split points are a literal array in the plan; more are searched by bisection.
 LITERAL = 4096
+#: Up to so many are a tree of comparisons.
+TREE = 128
 
 
 def check_splits(splits: list[str]) -> None:
@@ -20,11 +22,19 @@ def check_splits(splits: list[str]) -> None:
         raise InvalidArgument("split points must rise strictly")
 
 
+def bisected(value: Column, borders: list, low: int = 0) -> Column:
+    """The number of borders at or below `value`, by bisection: a tree of comparisons."""
+    if not borders:
+        return F.lit(low)
+    mid = len(borders) // 2
+    return F.when(value >= F.lit(borders[mid]), bisected(value, borders[mid + 1 :], low + mid + 1)).otherwise(bisected(value, borders[:mid], low))
+
+
 def region_of(key: Column, splits: list[str]) -> Column:
     """The number of split points at or below `key`."""
     check_splits(splits)
-    if not splits:
-        return F.lit(0)
+    if len(splits) <= TREE:
+        return bisected(key, splits)
     return F.size(F.filter(F.array(*[F.lit(s) for s in splits]), lambda s: s <= key))
 
 
@@ -42,7 +52,7 @@ def assign(df: DataFrame, key: str, splits: list[str]) -> DataFrame:
     return df.withColumn("region", search(key))
 
 
-def ranked(df: DataFrame, key: str, name: str = "rank", ranges: int = 1024) -> DataFrame:
+def ranked(df: DataFrame, key: str, name: str = "rank", ranges: int = 128) -> DataFrame:
     """`df` with its rank (from 1) in the order of `key`, whose values differ. The borders of `ranges` ranges are keys with the smallest
     hashes, an even draw of bounded size; a row's range follows from its key alone, so no task has to see a whole order."""
     drawn = df.select(F.col(key).alias("k")).filter("k is not null").orderBy(F.xxhash64("k"), "k").limit(ranges - 1).collect()
