@@ -4,8 +4,9 @@ with other numbers or names is found too.
 
 What a token is depends on the token itself (a unit of one letter also on the number before it), never on where it stands, so a
 passage has the same template in every text. A word with a capital is a name unless it is a common word; letters and digits are
-parted, so `5km` and `20%` are a number and a unit. Pronouns change with names and are not held to a mapping; two numbers of a question
-may be equal by chance, so fewer of them have to map one to one.
+parted, so `5km` and `20%` are a number and a unit. Names or numbers in a row are one, so those at an item's edge may run on into the
+words around it and are not held to a mapping, nor are pronouns, which change with names. Two numbers of a question may be equal by
+chance, so fewer of them have to map one to one.
 
 The benchmark's index is shared with all tasks while its text is within `limit` bytes; a larger one is joined by shuffle, with the
 same result: of each item only its rarest windows, one of which every leak must hold, propose pairs.
@@ -249,7 +250,10 @@ class Index:
         kind = self.template.kind[there[:, 0]]
         there, kind = there[kind != LITERAL], kind[kind != LITERAL]
         same = self.template.value[there[:, 0]] == doc.value[there[:, 1]]
-        there, kind = there[kind != PRONOUN], kind[kind != PRONOUN]
+        # a name or number at the item's edge may go on in the words around it
+        own = self.template.text == self.template.text[i[0]]
+        edge = np.isin(there[:, 0], np.flatnonzero(own)[[0, -1]]) & ((kind == NAME) | (kind == NUMBER))
+        there, kind = there[(kind != PRONOUN) & ~edge], kind[(kind != PRONOUN) & ~edge]
         if not len(there):
             return bool(same.all()), 1.0, True
         pairs, of = np.unique(np.c_[self.template.value[there[:, 0]], doc.value[there[:, 1]]], axis=0, return_inverse=True)

@@ -623,7 +623,7 @@ def plain_leaks(docs, items):
         same = all(item[i][2] == doc[d][2] for i, d in slots)
         pairs = {}
         for i, d in sorted(slots):
-            if item[i][1] != decontam.PRONOUN:
+            if item[i][1] != decontam.PRONOUN and not (i in (0, len(item) - 1) and item[i][1] in (decontam.NAME, decontam.NUMBER)):
                 pairs[item[i][2], doc[d][2]] = item[i][1]
         left, right = Counter(a for a, _ in pairs), Counter(b for _, b in pairs)
         single = {p: left[p[0]] == 1 and right[p[1]] == 1 for p in pairs}
@@ -695,6 +695,15 @@ def test_questions_with_other_names_and_units(spark, options):
     assert got == {(10 * k + j, k): j == 0 for k in range(len(ASKED)) for j in range(2)}
 
 
+def test_a_passage_after_a_name(spark):
+    """The passage begins with a name that stands in it again, and a capital stands before it."""
+    item = "Anna met the old man at the gate and gave the bread to Anna before the bell rang, so Anna left the gate at last"
+    docs = spark.createDataFrame([(1, f"it was Maria {item} and so on."), (2, f"it was Maria. {item}")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    for options in ({}, {"limit": 0}):
+        assert {r["doc_id"] for r in decontam.leaks(docs, items, **options).collect()} == {1, 2}
+
+
 def test_templates_do_not_depend_on_the_place():
     for item, *_ in ASKED.values():
         alone, within = decontam.canonical([item]), decontam.canonical(["Anna und Peter. " + item + " Ja, Anna!"])
